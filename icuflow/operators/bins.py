@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icuflow.functions.time import MICROS, ceil_div, floor_div, hours_between, micros
@@ -94,6 +95,7 @@ def aggregate_bins(
     tie: str | None = None,
     plain_flag: bool = False,
     keys: Sequence[str] = ("stay_id", "bin"),
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Mean, last, min and max per stay, bin and channel in one pivoting aggregate.
 
@@ -111,7 +113,7 @@ def aggregate_bins(
         seen = F.count(F.when(mine, F.lit(1) if plain_flag else F.col("value")))
         any_set = F.max(F.when(mine, F.coalesce(F.col(name), F.lit(0))))
         aggs.append(F.when(seen > 0, any_set).cast("int").alias(name))
-    return binned.groupBy(*keys).agg(*aggs)
+    return binned.groupBy(*keys).agg(*aggs, *extra)
 
 
 def present_stays(aggregated: DataFrame, channels: Sequence[str]) -> DataFrame:
@@ -133,25 +135,38 @@ def bin_all(
     p: Params,
     flag: tuple[str, str] | None = None,
     tie: str | None = None,
-    presence: Sequence[str] | None = None,
+    presence: dict[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Every bin of every stay that has all channels; bins without readings are empty.
 
-    Equal to joining one table per channel on stay and bin, without the joins.
-    ``presence`` names the channels that must be present, when these differ
-    from the channels aggregated.
+    Equal to joining one table per channel on stay and bin, without the joins:
+    the spine's rows go into the aggregate together with the readings, so a
+    single pass over the readings gives full and empty bins alike. Which stays
+    have all channels is then seen from the bins of the stay, at most the cap.
+
+    ``presence`` maps a source to its channels when one row of any of them
+    makes the source present (default: every channel on its own).
     """
-    aggregated = bin_aggregate(within_stay(readings, stays), channels, p, flag, tie)
+    spine = bin_spine(stays, p)
+    ids = [c for c in spine.columns if c not in ("stay_id", "bin")]
+    binned = assign_bin(within_stay(readings, stays), p)
+    columns = ["stay_id", "bin", "ts", "channel", "value"]
+    columns += [c for c in (flag[0] if flag else None, tie) if c]
+    together = binned.select(*columns).unionByName(spine, allowMissingColumns=True)
+    aggregated = aggregate_bins(together, channels, flag, tie, extra=[F.max(c).alias(c) for c in ids])
+    sources = presence or {c: [c] for c in channels}
+    stay = W.partitionBy("stay_id")
+    has_all = reduce(
+        lambda a, b: a & b,
+        [F.sum(sum(F.col(f"_rows_{c}") for c in cs)).over(stay) > 0 for cs in sources.values()],
+    )
     features = channel_features(channels, flag[0] if flag else None)
-    spine = bin_spine(stays, p).join(
-        present_stays(aggregated, presence or channels), "stay_id", "left_semi"
+    head = [c for c in ids if c not in ("bin_start", "bin_end")]
+    return (
+        aggregated.withColumn("_all", has_all)
+        .filter(F.col("_all") & F.col("bin").isNotNull())
+        .select(*head, "stay_id", "bin", "bin_start", "bin_end", *features)
     )
-    ids = [c for c in spine.columns if c not in ("bin", "bin_start", "bin_end")]
-    return spine.join(
-        aggregated.filter(F.col("bin").isNotNull()).select("stay_id", "bin", *features),
-        ["stay_id", "bin"],
-        "left",
-    ).select(*ids, "bin", "bin_start", "bin_end", *features)
 
 
 def merge_channels(

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icuflow.functions.arrays import sanitize_sequence
+from icuflow.functions.cut import cut
 from icuflow.functions.ordering import hash_ranked, shuffle_key
 from icuflow.operators.quality import cells_tall, subject_labels
 
@@ -40,9 +41,10 @@ def split_subjects(
 
     Subjects are ordered by a seeded md5. The test share is taken within the
     positive and the negative subjects apart; the validation share is taken
-    from the remaining ones together.
+    from the remaining ones together. The subjects are written once, because
+    both rankings read them again.
     """
-    subjects = subject_labels(windows, label).select("subject_id", "subject_label")
+    subjects = cut(subject_labels(windows, label).select("subject_id", "subject_label"))
     keyed = subjects.withColumn("_key", shuffle_key(f"{seed}", "subject_id"))
     by_class = hash_ranked(keyed, ["subject_label"], "_key")
     tested = by_class.withColumn(
@@ -82,16 +84,25 @@ def undersample(
     """All positives and as many negatives, in seeded md5 order, as the target rate allows.
 
     Nothing is removed when a class is empty, or when ``only_below`` is given
-    and the positive rate is not below it.
+    and the positive rate is not below it. Only the negatives' keys are ranked,
+    to find the last key to keep; the windows themselves are just filtered. The
+    input is read several times, so it should be a stored table.
     """
     keyed = windows.withColumn("_key", shuffle_key(seed, *keys))
-    in_order = hash_ranked(keyed, [label], "_key", "_rank", "_size").drop("_size")
-    positive = F.count_if(F.col(label) == 1)
-    rate = F.avg(F.col(label).cast("double"))
+    negatives = keyed.filter(F.col(label) == 0).select("_key")
+    positive, n = F.count_if(F.col(label) == 1), F.count(F.lit(1))
     quota = F.floor(positive * F.lit(1.0 - ratio) / F.lit(ratio) + F.lit(1e-9))
-    keep_all = (positive == 0) | (rate >= only_below) if only_below is not None else positive == 0
-    limit = windows.agg(F.when(keep_all, F.count(F.lit(1))).otherwise(quota).alias("n")).scalar()
-    return in_order.filter((F.col(label) == 1) | (F.col("_rank") <= limit)).drop("_key", "_rank")
+    keep_all = positive == 0
+    if only_below is not None:
+        keep_all = keep_all | (F.avg(F.col(label).cast("double")) >= only_below)
+    limit = windows.agg(F.when(keep_all, n).otherwise(quota).alias("n")).scalar()
+    last = (
+        hash_ranked(negatives, [], "_key")
+        .filter(F.col("rank") <= limit)
+        .agg(F.max("_key").alias("last"))
+        .scalar()
+    )
+    return keyed.filter((F.col(label) == 1) | (F.col("_key") <= last)).drop("_key")
 
 
 def fit_scaler(

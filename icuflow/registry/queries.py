@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from icuflow.functions.cut import cut, work_folder
 from icuflow.operators import bins as B
 from icuflow.operators import clean as C
 from icuflow.operators import cohort as D
@@ -36,14 +37,18 @@ BLEND_WEIGHTS = (("F", 0.25), ("O", -0.5))
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Round doubles to six places and show times without a zone, for comparison."""
+    """Round doubles to six places and show times without a zone, for comparison.
+
+    Rounding goes through nine places, so that a mean that lies exactly half way
+    does not depend on the last bit of a sum.
+    """
     columns: list[Column] = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(F.round(c.cast("double"), 9), 6) + F.lit(0.0)
         columns.append(c.alias(f.name))
     return df.select(*columns)
 
@@ -83,14 +88,25 @@ def _bins(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _kept_bins(spark: SparkSession, root: str) -> DataFrame:
+    """The bins as a stored table, for steps that read them more than once."""
+    return cut(_bins(spark, root), "bins")
+
+
 def _candidates(spark: SparkSession, root: str, sequences: bool = False) -> DataFrame:
     return W.candidate_windows(
-        _bins(spark, root), V.stays(spark, root), FEATURES, PARAMS, sequences
+        _kept_bins(spark, root), V.stays(spark, root), FEATURES, PARAMS, sequences
     )
 
 
 def _windows(spark: SparkSession, root: str, sequences: bool = False) -> DataFrame:
-    return W.build_windows(_bins(spark, root), V.stays(spark, root), FEATURES, PARAMS, sequences)
+    return W.build_windows(
+        _kept_bins(spark, root), V.stays(spark, root), FEATURES, PARAMS, sequences
+    )
+
+
+def _kept_windows(spark: SparkSession, root: str, sequences: bool = False) -> DataFrame:
+    return cut(_windows(spark, root, sequences), "windows")
 
 
 def _statics(spark: SparkSession, root: str) -> DataFrame:
@@ -108,7 +124,7 @@ def _final(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, root: str) -> DataFrame:
-    windows = _windows(spark, root)
+    windows = _kept_windows(spark, root)
     return S.assign_split(windows, S.split_subjects(windows))
 
 
@@ -410,7 +426,7 @@ def window_completeness(spark, root):
 
 @query
 def window_completeness_rows(spark, root):
-    bins = _bins(spark, root)
+    bins = _kept_bins(spark, root)
     seen = bins.filter(W.filled_cells(FEATURES) > 0)
     return W.window_completeness(
         W.window_starts(bins, PARAMS), seen, FEATURES, PARAMS, "rows"
@@ -454,7 +470,9 @@ def lost_positives(spark, root):
 
 @query
 def sequences_tall(spark, root):
-    return W.sequences_tall(_windows(spark, root), _bins(spark, root), FEATURES, PARAMS)
+    bins = _kept_bins(spark, root)
+    windows = W.build_windows(bins, V.stays(spark, root), FEATURES, PARAMS, sequences=False)
+    return W.sequences_tall(windows, bins, FEATURES, PARAMS)
 
 
 @query
@@ -473,17 +491,17 @@ def ffill(spark, root):
 
 @query
 def fill_means(spark, root):
-    return G.fill_means(_bins(spark, root).select("subject_id", "bin", *FEATURES), FEATURES)
+    return G.fill_means(_kept_bins(spark, root).select("subject_id", "bin", *FEATURES), FEATURES)
 
 
 @query
 def impute(spark, root):
-    return G.impute(_bins(spark, root).select("subject_id", "bin", *FEATURES), FEATURES)
+    return G.impute(_kept_bins(spark, root).select("subject_id", "bin", *FEATURES), FEATURES)
 
 
 @query
 def missing_delta(spark, root):
-    bins = _bins(spark, root)
+    bins = _kept_bins(spark, root)
     return G.missing_delta(bins, G.impute(bins, FEATURES), FEATURES)
 
 
@@ -595,21 +613,21 @@ def split_subjects(spark, root):
 
 @query
 def split_leakage(spark, root):
-    return (
-        _splits(spark, root)
-        .agg(F.count(F.lit(1)).alias("n_windows"), F.count_distinct("split").alias("n_splits"))
-        .withColumn("n_leaking", S.split_leakage(_splits(spark, root)).agg(F.count("*")).scalar())
-    )
+    split = cut(_splits(spark, root))
+    leaking = S.split_leakage(split).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return split.agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count_distinct("split").alias("n_splits")
+    ).withColumn("n_leaking", leaking)
 
 
 @query
 def undersample(spark, root):
-    return S.undersample(_windows(spark, root), ratio=0.10).select(*_keys(), "label")
+    return S.undersample(_kept_windows(spark, root), ratio=0.10).select(*_keys(), "label")
 
 
 @query
 def undersample_train(spark, root):
-    train = _splits(spark, root).filter("split = 'train'")
+    train = cut(_splits(spark, root).filter("split = 'train'"))
     return S.undersample(train, ratio=0.10, only_below=0.15).select(*_keys(), "label")
 
 
@@ -625,7 +643,7 @@ def fit_scaler_skip(spark, root):
 
 @query
 def apply_scaler(spark, root):
-    windows = _windows(spark, root, sequences=True)
+    windows = _kept_windows(spark, root, sequences=True)
     scaled = S.apply_scaler(windows, S.fit_scaler(windows))
     return H.cells_tall(scaled)
 
@@ -790,10 +808,10 @@ def risk_summary(spark, root):
 
 @query
 def top_factors(spark, root):
-    windows = _windows(spark, root, sequences=True)
+    windows = _kept_windows(spark, root, sequences=True)
     scaled = S.apply_scaler(windows, S.fit_scaler(windows))
     rounded = scaled.withColumn(
-        "x", F.transform("x", lambda row: F.transform(row, lambda v: F.round(v, 6)))
+        "x", F.transform("x", lambda row: F.transform(row, lambda v: F.round(F.round(v, 9), 6)))
     )
     return K.top_factors(rounded, FEATURES, min_abs=0.1)
 
@@ -811,7 +829,7 @@ def global_importance(spark, root):
         _windows(spark, root, sequences=True), V.scores(spark, root), FEATURES
     )
     return K.global_importance(
-        importance.withColumn("importance_score", F.round("importance_score", 6))
+        importance.withColumn("importance_score", F.round(F.round("importance_score", 9), 6))
     )
 
 
@@ -853,7 +871,7 @@ def tile_snapshot(spark, root):
 
 @query
 def score_linear(spark, root):
-    windows = _windows(spark, root, sequences=True)
+    windows = _kept_windows(spark, root, sequences=True)
     scaled = S.apply_scaler(windows, S.fit_scaler(windows))
     weights = spark.createDataFrame(
         [(i, (i % 5 - 2) / 10.0) for i in range(len(FEATURES))], "pos int, weight double"
@@ -869,7 +887,7 @@ def score_linear(spark, root):
 def stream_bins(spark, root):
     raw = V.table(spark, root, "events")
     stream = spark.readStream.schema(raw.schema).parquet(f"{root}/events*.parquet")
-    folder = L.work_folder(spark, "stream_bins")
+    folder = work_folder(spark, "stream_bins")
     bins = L.stream_bins(
         V.readings_of(stream), V.stays(spark, root), CHANNELS, PARAMS, DAY, tie="event_id"
     )
@@ -881,9 +899,9 @@ def stream_bins(spark, root):
 def stream_alerts(spark, root):
     raw = V.table(spark, root, "lineitem")
     stream = spark.readStream.schema(raw.schema).parquet(f"{root}/lineitem*.parquet")
-    folder = L.work_folder(spark, "stream_alerts")
-    A.write_alerts(A.stream_alerts(V.scores_of(stream)), folder).awaitTermination()
-    return spark.read.parquet(f"{folder}/alerts")
+    folder = work_folder(spark, "stream_alerts")
+    A.write_alerts(V.scores_of(stream), folder).awaitTermination()
+    return A.read_alerts(spark, folder)
 
 
 @query

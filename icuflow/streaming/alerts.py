@@ -2,74 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from icuflow.operators.risk import alert_columns, risk_band
 
-_ROW = "obs_start_hour int, tiebreak long, y_prob double, risk_level string"
-_ORDER = ["obs_start_hour", "tiebreak", "y_prob"]
-
-
-def _changes(
-    key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(parts)).sort_values(_ORDER)
-    last_hour, last_band = state.get if state.exists else (None, None)
-    if last_hour is not None:
-        rows = rows[rows["obs_start_hour"] >= last_hour]
-    if rows.empty:
-        return
-    before = rows["risk_level"].shift(1)
-    before.iloc[0] = last_band
-    changed = rows[rows["risk_level"] != before]
-    state.update((int(rows["obs_start_hour"].iloc[-1]), str(rows["risk_level"].iloc[-1])))
-    yield changed.assign(model=key[0], subject_id=key[1])[
-        ["model", "subject_id", *_ORDER, "risk_level"]
-    ]
-
-
-def stream_alerts(scores: DataFrame) -> DataFrame:
-    """Alert columns for every change of band, the first band included.
-
-    Per model and subject only the newest hour and its band are kept as state;
-    scores older than that hour are ignored.
+_SUBJECT = ("model", "subject_id")
+_ORDER = ("obs_start_hour", "tiebreak", "y_prob")
+_STATE = "model string, subject_id long, last_hour int, last_band string"
+
+
+def band_changes(scores: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Scores whose band differs from the subject's score before, the first one included.
+
+    ``state`` holds the last hour and band of subjects seen earlier; scores
+    before that hour are ignored. A subject has a few dozen windows at most.
     """
-    banded = scores.select("model", "subject_id", *_ORDER, risk_band("y_prob").alias("risk_level"))
-    changes = banded.groupBy("model", "subject_id").applyInPandasWithState(
-        _changes,
-        f"model string, subject_id long, {_ROW}",
-        "hour int, band string",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    banded = scores.withColumn("risk_level", risk_band("y_prob"))
+    before = F.lag("risk_level").over(W.partitionBy(*_SUBJECT).orderBy(*_ORDER))
+    if state is not None:
+        known = banded.join(state, list(_SUBJECT), "left")
+        banded = known.filter(
+            F.col("last_hour").isNull() | (F.col("obs_start_hour") >= F.col("last_hour"))
+        )
+        before = F.coalesce(before, F.col("last_band"))
+    return (
+        banded.withColumn("_before", before)
+        .filter(~F.col("risk_level").eqNullSafe(F.col("_before")))
+        .select(*_SUBJECT, *_ORDER, "risk_level")
     )
-    return alert_columns(changes)
 
 
-def write_alerts(alerts: DataFrame, folder: str) -> StreamingQuery:
+def next_state(scores: DataFrame, state: DataFrame) -> DataFrame:
+    """The last hour and band per subject after these scores."""
+    newest = F.struct("obs_start_hour", "tiebreak", "y_prob")
+    batch = scores.groupBy(*_SUBJECT).agg(
+        F.max("obs_start_hour").cast("int").alias("_hour"),
+        F.max_by(risk_band("y_prob"), newest).alias("_band"),
+    )
+    newer = F.col("last_hour").isNull() | (F.col("_hour") >= F.col("last_hour"))
+    return batch.join(state, list(_SUBJECT), "full_outer").select(
+        *_SUBJECT,
+        F.when(newer, F.col("_hour")).otherwise(F.col("last_hour")).alias("last_hour"),
+        F.when(newer, F.col("_band")).otherwise(F.col("last_band")).alias("last_band"),
+    )
+
+
+def batch_alerts(scores: DataFrame) -> DataFrame:
+    """All alerts of a stored table."""
+    return alert_columns(band_changes(scores))
+
+
+def write_alerts(scores: DataFrame, folder: str) -> StreamingQuery:
+    """Write each batch's alerts to ``folder/alerts`` and the bands to ``folder/bands``.
+
+    Batch n reads the bands of batch n - 1 and writes its own, each in a
+    sub-folder by batch number, so a batch that is run again gives the same.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = (
+            spark.read.schema(_STATE).parquet(f"{folder}/bands/batch={batch_id - 1}")
+            if batch_id > 0
+            else spark.createDataFrame([], _STATE)
+        )
+        alerts = alert_columns(band_changes(batch, state))
+        alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
+        bands = next_state(batch, state)
+        bands.write.mode("overwrite").parquet(f"{folder}/bands/batch={batch_id}")
+
     return (
-        alerts.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{folder}/alerts")
-        .option("checkpointLocation", f"{folder}/state")
+        scores.writeStream.option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
+        .foreachBatch(write)
         .start()
     )
 
 
-def batch_alerts(scores: DataFrame) -> DataFrame:
-    """The same alerts from a stored table; a subject has a few dozen windows at most."""
-    banded = scores.withColumn("risk_level", risk_band("y_prob"))
-    before = F.lag("risk_level").over(W.partitionBy("model", "subject_id").orderBy(*_ORDER))
-    changed = banded.withColumn("_before", before).filter(
-        ~F.col("risk_level").eqNullSafe(F.col("_before"))
-    )
-    return alert_columns(
-        changed.select("model", "subject_id", *_ORDER, "risk_level")
-    )
+def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/alerts").drop("batch")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +13,6 @@ from icuflow.operators.bins import aggregate_bins, assign_bin, within_stay
 from icuflow.params import Params, channel_features
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; local only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="icuflow-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-
-
 def stream_bins(
     readings: DataFrame,
     stays: DataFrame,
