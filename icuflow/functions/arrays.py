@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 def null_steps(steps: int, width: int) -> Column:
     """An all-missing sequence."""
-    row = F.array(*[F.lit(None).cast("double") for _ in range(width)])
-    return F.array_repeat(row, steps)
+    return F.array_repeat(F.array_repeat(F.lit(None).cast("double"), width), steps)
 
 
 def count_cells(x: str | Column, test) -> Column:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icuflow.functions.time import MICROS, ceil_div, floor_div, hours_between, micros
@@ -66,13 +65,15 @@ def assign_bin(inside: DataFrame, p: Params) -> DataFrame:
 
 
 def _statistics(channel: str, tie: str | None) -> list[Column]:
-    value = F.when(F.col("channel") == channel, F.col("value"))
-    at = F.col("ts") if tie is None else F.struct("ts", tie)
+    mine = f"FILTER (WHERE channel = '{channel}')"
+    at = "ts" if tie is None else f"struct(ts, {tie})"
+    known = f"FILTER (WHERE channel = '{channel}' AND value IS NOT NULL)"
     return [
-        F.avg(value).alias(f"{channel}_mean"),
-        F.max_by(value, F.when(value.isNotNull(), at)).alias(f"{channel}_last"),
-        F.min(value).alias(f"{channel}_min"),
-        F.max(value).alias(f"{channel}_max"),
+        F.expr(f"avg(value) {mine} AS {channel}_mean"),
+        F.expr(f"max_by(value, {at}) {known} AS {channel}_last"),
+        F.expr(f"min(value) {mine} AS {channel}_min"),
+        F.expr(f"max(value) {mine} AS {channel}_max"),
+        F.expr(f"count(*) {mine} AS _rows_{channel}"),
     ]
 
 
@@ -106,7 +107,6 @@ def aggregate_bins(
     aggregate is hash based and somewhat faster. ``_rows_<channel>`` counts rows.
     """
     aggs = [a for c in channels for a in _statistics(c, tie)]
-    aggs += [F.count_if(F.col("channel") == c).alias(f"_rows_{c}") for c in channels]
     if flag is not None:
         name, channel = flag
         mine = F.col("channel") == channel
@@ -155,10 +155,9 @@ def bin_all(
     together = binned.select(*columns).unionByName(spine, allowMissingColumns=True)
     aggregated = aggregate_bins(together, channels, flag, tie, extra=[F.max(c).alias(c) for c in ids])
     sources = presence or {c: [c] for c in channels}
-    stay = W.partitionBy("stay_id")
-    has_all = reduce(
-        lambda a, b: a & b,
-        [F.sum(sum(F.col(f"_rows_{c}") for c in cs)).over(stay) > 0 for cs in sources.values()],
+    counts = [" + ".join(f"_rows_{c}" for c in cs) for cs in sources.values()]
+    has_all = F.expr(
+        " AND ".join(f"sum({n}) OVER (PARTITION BY stay_id) > 0" for n in counts)
     )
     features = channel_features(channels, flag[0] if flag else None)
     head = [c for c in ids if c not in ("bin_start", "bin_end")]
@@ -201,16 +200,10 @@ def missing_rate(df: DataFrame, columns: Sequence[str], threshold: float = 0.9)
     """Per column: missing share and count, total rows, and whether above the threshold."""
     counts = df.agg(
         F.count(F.lit(1)).alias("_total"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
-    )
-    rows = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("feature"), F.col(c).alias("missing_count"))
-                for c in columns
-            ]
-        )
+        *[F.expr(f"count_if({c} IS NULL) AS {c}") for c in columns],
     )
+    pairs = ", ".join(f"'{c}', {c}" for c in columns)
+    rows = F.expr(f"stack({len(columns)}, {pairs}) AS (feature, missing_count)")
     rate = F.try_divide(F.col("missing_count"), F.col("total_count"))
     return (
         counts.select(F.col("_total").alias("total_count"), rows)

@@ -6,7 +6,6 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icuflow.functions.arrays import pick
@@ -19,9 +18,10 @@ def ffill(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str] = _KEYS, order: str = "bin"
 ) -> DataFrame:
     """Carry the last known value forward. A group is one stay's bins, at most the bin cap."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    filled = {c: F.last(c, ignorenulls=True).over(w) for c in columns}
-    return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    w = f"(PARTITION BY {', '.join(keys)} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    return df.selectExpr(
+        *[f"last({c}, true) OVER {w} AS {c}" if c in columns else c for c in df.columns]
+    )
 
 
 def fill_means(
@@ -35,13 +35,16 @@ def fill_means(
     The whole-column mean is taken from ``original`` (default: the input), so
     it does not depend on the order in which groups are filled.
     """
-    means = (original if original is not None else df).agg(*[F.avg(c).alias(c) for c in columns])
-    overall = means.select(F.struct(*columns).alias("means")).scalar()
-    group = W.partitionBy(*keys)
-    filled = {
-        c: F.coalesce(F.col(c), F.avg(c).over(group), overall.getField(c)) for c in columns
-    }
-    return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    source = original if original is not None else df
+    means = source.selectExpr("struct(" + ", ".join(f"avg({c}) AS {c}" for c in columns) + ")")
+    group = ", ".join(keys)
+    filled = [
+        f"coalesce({c}, avg({c}) OVER (PARTITION BY {group}), _means.{c}) AS {c}"
+        if c in columns
+        else c
+        for c in df.columns
+    ]
+    return df.withColumn("_means", means.scalar()).selectExpr(*filled)
 
 
 def impute(
@@ -63,7 +66,7 @@ def missing_delta(before: DataFrame, after: DataFrame, columns: Sequence[str]) -
     """Missing cells before and after a change, with percentages."""
 
     def missing(df: DataFrame, side: str) -> DataFrame:
-        cells = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0))
+        cells = F.expr(" + ".join(f"bigint({c} IS NULL)" for c in columns))
         return df.agg(
             F.coalesce(F.sum(cells), F.lit(0)).alias("missing"),
             (F.count(F.lit(1)) * len(columns)).alias("cells"),

@@ -102,10 +102,8 @@ def spread_to_windows(bins: DataFrame, p: Params) -> DataFrame:
 
 
 def filled_cells(features: Sequence[str]) -> Column:
-    total = F.lit(0)
-    for f in features:
-        total = total + F.col(f).isNotNull().cast("int")
-    return total
+    """How many of the features a bin has."""
+    return F.expr(" + ".join(f"int({f} IS NOT NULL)" for f in features))
 
 
 def window_completeness(
@@ -148,7 +146,7 @@ def assemble_sequences(
     Also adds the completeness counts, which come from the same shuffle. A
     window without any bin gets an all-missing sequence.
     """
-    row = F.array(*[F.col(f).cast("double") for f in features])
+    row = F.expr("array(" + ", ".join(f"double({f})" for f in features) + ")")
     per_window = spread_to_windows(
         bins.select(
             "stay_id", "bin", row.alias("_row"), filled_cells(features).alias("_filled")
@@ -159,7 +157,7 @@ def assemble_sequences(
         F.sum("_filled").alias("_filled"),
     )
     joined = windows.join(per_window, list(_KEYS), "left")
-    empty = F.array(*[F.lit(None).cast("double") for _ in features])
+    empty = F.array_repeat(F.lit(None).cast("double"), len(features))
     by_step = F.map_from_entries("_steps")
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(p.obs_bins - 1)),

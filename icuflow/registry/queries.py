@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,15 +42,16 @@ def tidy(df: DataFrame) -> DataFrame:
     Rounding goes through nine places, so that a mean that lies exactly half way
     does not depend on the last bit of a sum.
     """
-    columns: list[Column] = []
+    columns = []
     for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(F.round(c.cast("double"), 9), 6) + F.lit(0.0)
-        columns.append(c.alias(f.name))
-    return df.select(*columns)
+        kind = f.dataType
+        if isinstance(kind, T.TimestampType):
+            columns.append(f"CAST({f.name} AS timestamp_ntz) AS {f.name}")
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            columns.append(f"round(round(double({f.name}), 9), 6) + 0.0D AS {f.name}")
+        else:
+            columns.append(f.name)
+    return df.selectExpr(*columns)
 
 
 def query(fn: Query) -> Query:
