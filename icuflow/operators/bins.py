@@ -151,7 +151,7 @@ def bin_all(
     ids = [c for c in spine.columns if c not in ("stay_id", "bin")]
     binned = assign_bin(within_stay(readings, stays), p)
     columns = ["stay_id", "bin", "ts", "channel", "value"]
-    columns += [c for c in (flag[0] if flag else None, tie) if c]
+    columns += [c for c in (flag[0] if flag else None, tie) if c and c not in columns]
     together = binned.select(*columns).unionByName(spine, allowMissingColumns=True)
     aggregated = aggregate_bins(together, channels, flag, tie, extra=[F.max(c).alias(c) for c in ids])
     sources = presence or {c: [c] for c in channels}
