@@ -40,10 +40,12 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<s>`` (inclusive running sum by ``key``) and ``all_<s>`` (group total).
 
-    ``bucket`` must grow with ``key``; ``key`` must be unique within a group.
+    ``bucket`` must grow with ``key``; ``key`` must be unique within a group
+    and not missing. Both reads of ``df`` ask for the same columns and rows, so
+    Spark can share the shuffle below them.
     """
     by = list(by)
-    d = df.withColumn(_BUCKET, bucket)
+    d = df.withColumn(_BUCKET, F.coalesce(bucket, F.lit(0)))
     order = F.col(key).desc() if descending else F.col(key).asc()
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     inside = W.partitionBy(*by, _BUCKET).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
@@ -76,7 +78,7 @@ def ranked(
     Rows are ordered by ``bucket`` first and by ``order`` inside a bucket.
     """
     by = list(by)
-    d = df.withColumn(_BUCKET, bucket)
+    d = df.withColumn(_BUCKET, F.coalesce(bucket, F.lit(0)))
     counts = d.groupBy(*by, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*by).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(

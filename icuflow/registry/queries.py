@@ -83,10 +83,17 @@ def _flagged(spark: SparkSession, root: str) -> DataFrame:
     return flagged.unionByName(others, allowMissingColumns=True)
 
 
+def _stays(spark: SparkSession, root: str) -> DataFrame:
+    """The stays as a stored table; they are derived from all readings."""
+    return cut(V.stays(spark, root), "stays")
+
+
+def _bins_of(spark: SparkSession, root: str, stays: DataFrame) -> DataFrame:
+    return B.bin_all(_flagged(spark, root), stays, CHANNELS, PARAMS, FLAG, tie="event_id")
+
+
 def _bins(spark: SparkSession, root: str) -> DataFrame:
-    return B.bin_all(
-        _flagged(spark, root), V.stays(spark, root), CHANNELS, PARAMS, FLAG, tie="event_id"
-    )
+    return _bins_of(spark, root, _stays(spark, root))
 
 
 def _kept_bins(spark: SparkSession, root: str) -> DataFrame:
@@ -94,16 +101,16 @@ def _kept_bins(spark: SparkSession, root: str) -> DataFrame:
     return cut(_bins(spark, root), "bins")
 
 
-def _candidates(spark: SparkSession, root: str, sequences: bool = False) -> DataFrame:
-    return W.candidate_windows(
-        _kept_bins(spark, root), V.stays(spark, root), FEATURES, PARAMS, sequences
-    )
+def _candidates(spark: SparkSession, root: str) -> DataFrame:
+    stays = _stays(spark, root)
+    bins = cut(_bins_of(spark, root, stays), "bins")
+    return W.candidate_windows(bins, stays, FEATURES, PARAMS, sequences=False)
 
 
 def _windows(spark: SparkSession, root: str, sequences: bool = False) -> DataFrame:
-    return W.build_windows(
-        _kept_bins(spark, root), V.stays(spark, root), FEATURES, PARAMS, sequences
-    )
+    stays = _stays(spark, root)
+    bins = cut(_bins_of(spark, root, stays), "bins")
+    return W.build_windows(bins, stays, FEATURES, PARAMS, sequences)
 
 
 def _kept_windows(spark: SparkSession, root: str, sequences: bool = False) -> DataFrame:
@@ -348,12 +355,12 @@ def bin_aggregate(spark, root):
 
 @query
 def merge_channels(spark, root):
-    tables = []
+    stays, tables = _stays(spark, root), []
     for channel in CHANNELS:
         tables.append(
             B.bin_all(
                 _channel(spark, root, channel),
-                V.stays(spark, root),
+                stays,
                 [channel],
                 PARAMS,
                 tie="event_id",
@@ -397,7 +404,7 @@ def window_starts(spark, root):
 
 @query
 def window_labels(spark, root):
-    stays = V.stays(spark, root)
+    stays = _stays(spark, root)
     bounded = W.window_bounds(W.window_starts(B.bin_spine(stays, PARAMS), PARAMS), stays, PARAMS)
     return W.label_windows(bounded, PARAMS)
 
@@ -405,7 +412,7 @@ def window_labels(spark, root):
 @query
 def window_labels_outlast(spark, root):
     """Bins go on after the event, so that windows with an event inside occur."""
-    stays = V.stays(spark, root)
+    stays = _stays(spark, root)
     spine = B.bin_spine(stays.withColumn("deathtime", F.lit(None).cast("timestamp")), PARAMS)
     bounded = W.window_bounds(W.window_starts(spine, PARAMS), stays, PARAMS)
     return W.label_windows(bounded, PARAMS).select(
@@ -471,8 +478,9 @@ def lost_positives(spark, root):
 
 @query
 def sequences_tall(spark, root):
-    bins = _kept_bins(spark, root)
-    windows = W.build_windows(bins, V.stays(spark, root), FEATURES, PARAMS, sequences=False)
+    stays = _stays(spark, root)
+    bins = cut(_bins_of(spark, root, stays), "bins")
+    windows = W.build_windows(bins, stays, FEATURES, PARAMS, sequences=False)
     return W.sequences_tall(windows, bins, FEATURES, PARAMS)
 
 
@@ -890,7 +898,7 @@ def stream_bins(spark, root):
     stream = spark.readStream.schema(raw.schema).parquet(f"{root}/events*.parquet")
     folder = work_folder(spark, "stream_bins")
     bins = L.stream_bins(
-        V.readings_of(stream), V.stays(spark, root), CHANNELS, PARAMS, DAY, tie="event_id"
+        V.readings_of(stream), _stays(spark, root), CHANNELS, PARAMS, DAY, tie="event_id"
     )
     L.write_changed_bins(bins, folder).awaitTermination()
     return L.newest_bins(spark, folder)
