@@ -136,6 +136,7 @@ def bin_all(
     flag: tuple[str, str] | None = None,
     tie: str | None = None,
     presence: dict[str, Sequence[str]] | None = None,
+    plain_flag: bool = False,
 ) -> DataFrame:
     """Every bin of every stay that has all channels; bins without readings are empty.
 
@@ -153,7 +154,9 @@ def bin_all(
     columns = ["stay_id", "bin", "ts", "channel", "value"]
     columns += [c for c in (flag[0] if flag else None, tie) if c and c not in columns]
     together = binned.select(*columns).unionByName(spine, allowMissingColumns=True)
-    aggregated = aggregate_bins(together, channels, flag, tie, extra=[F.max(c).alias(c) for c in ids])
+    aggregated = aggregate_bins(
+        together, channels, flag, tie, plain_flag, extra=[F.max(c).alias(c) for c in ids]
+    )
     sources = presence or {c: [c] for c in channels}
     counts = [" + ".join(f"_rows_{c}" for c in cs) for cs in sources.values()]
     has_all = F.expr(

@@ -138,6 +138,11 @@ def clean_channels(
     kept = filter_channels(readings, ids, column)
     if rules:
         kept = convert_units(kept, rules, column, value, value)
+    for c in channels:
+        if c.decimals is not None:
+            mine = F.col(column).isin(*c.ids)
+            shown = F.when(mine, F.round(value, c.decimals)).otherwise(F.col(value))
+            kept = kept.withColumn(value, shown)
     kept = kept.filter(valid)
     if "channel" != column:
         kept = kept.withColumn("channel", name)

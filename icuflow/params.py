@@ -11,6 +11,7 @@ class Channel:
 
     ``unit_rules`` maps an id to ``(offset, divisor)``: the kept value is
     ``(value - offset) / divisor``. Ids without a rule keep their value.
+    ``decimals`` rounds the value before its range is checked.
     """
 
     name: str
@@ -19,6 +20,7 @@ class Channel:
     hi: float | None = None
     closed: str = "both"
     unit_rules: dict = field(default_factory=dict)
+    decimals: int | None = None
 
 
 @dataclass(frozen=True)

@@ -73,7 +73,7 @@ def test_flag_needs_a_value(spark):
     )
     bins = B.bin_all(df, stays, ["gcs"], P, ("f", "gcs"))
     assert rows(bins, "bin", "f") == [(0, 1), (1, None), (2, 0)]
-    plain = B.bin_aggregate(B.within_stay(df, stays), ["gcs"], P, ("f", "gcs"), plain_flag=True)
+    plain = B.bin_all(df, stays, ["gcs"], P, ("f", "gcs"), plain_flag=True)
     assert rows(plain, "bin", "f") == [(0, 1), (1, 1), (2, 0)]
 
 

@@ -1,5 +1,6 @@
 import random
 import statistics
+from dataclasses import replace
 from datetime import timedelta
 
 import pytest
@@ -36,6 +37,12 @@ def test_temperature_is_converted_before_its_range(spark):
     ]
 
 
+def test_rounding_is_optional(spark):
+    df = spark.createDataFrame([(1, 223761, 99.0)], "stay_id long, itemid int, value double")
+    kept = C.clean_channel(df, None, replace(TEMPERATURE, decimals=3))
+    assert rows(kept, "value") == [(37.222,)]
+
+
 def test_exact_quantiles_match_brute_force(spark):
     rng = random.Random(3)
     values = [round(rng.gauss(0, 30), 2) for _ in range(997)] + [5.0] * 400
@@ -181,3 +188,14 @@ def test_no_broadcast_is_forced_and_no_cross_join(spark):
     df = readings(spark, [(1, START + timedelta(hours=h), 1.0) for h in range(5)])
     plan = C.flag_near(df, df, 60)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" not in plan and "Cross" not in plan
+
+
+def test_hot_stay_is_split_over_buckets(spark):
+    # One stay holds nearly all rows; its readings land in many groups.
+    data = [(1, at(0, 30 * i), float(i % 7)) for i in range(3000)] + [(2, at(0), 1.0)]
+    df = readings(spark, data)
+    plan = C.rolling_stddev(df, 300)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(stay_id" in plan and "_bucket" in plan.split("hashpartitioning(")[1].split(")")[0]
+    assert C.rolling_stddev(df, 300).count() == len(data)
+    flagged = C.flag_near(df, df, 60)
+    assert flagged.count() == len(data) and flagged.filter("sedated_flag = 1").count() == len(data)
