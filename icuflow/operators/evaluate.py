@@ -149,19 +149,21 @@ def _f1() -> Column:
 def _best(recall_floor: float | None) -> Column:
     """The lowest threshold of the best F1 with enough recall, else of the best F1 at all.
 
-    The end point of the curve has no recall and an F1 of 0, so it never beats
-    a score.
+    A struct with the score and the counts at or above it. The end point of the
+    curve has no recall and an F1 of 0, so it never beats a score.
     """
     at = F.struct(_f1().alias("f1"), (-F.col("y_prob")).alias("low"))
-    best_any = F.max_by("y_prob", at)
+    point = F.struct("y_prob", "cum_pos", "cum_neg")
+    best_any = F.max_by(point, at)
     if recall_floor is None:
         return best_any
-    return F.coalesce(F.max_by("y_prob", F.when(_recall() >= recall_floor, at)), best_any)
+    return F.coalesce(F.max_by(point, F.when(_recall() >= recall_floor, at)), best_any)
 
 
 def best_threshold(scores: DataFrame, recall_floor: float | None = 0.3) -> DataFrame:
     """Per model the threshold with the best F1 among those with at least the floor's recall."""
-    return score_totals(scores).groupBy("model").agg(_best(recall_floor).alias("threshold"))
+    best = score_totals(scores).groupBy("model").agg(_best(recall_floor).alias("best"))
+    return best.select("model", F.col("best.y_prob").alias("threshold"))
 
 
 def _quality(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
@@ -197,20 +199,33 @@ def confusion(scores: DataFrame, thresholds: DataFrame | float) -> DataFrame:
 
 
 def metrics(scores: DataFrame, recall_floor: float | None = 0.3) -> DataFrame:
-    """One row of metrics per model, at its best threshold."""
+    """One row of metrics per model, at its best threshold, from one pass over the scores."""
     summary = score_totals(scores).groupBy("model").agg(
-        _auc_column().alias("auc_roc"), _ap().alias("auc_pr"),
-        _best(recall_floor).alias("threshold"),
+        _auc_column().alias("auc_roc"),
+        _ap().alias("auc_pr"),
+        _best(recall_floor).alias("best"),
+        F.max("all_pos").alias("all_pos"),
+        F.max("all_neg").alias("all_neg"),
+    )
+    cells = summary.withColumns(
+        {
+            "tp": F.col("best.cum_pos"),
+            "fp": F.col("best.cum_neg"),
+            "fn": F.col("all_pos") - F.col("best.cum_pos"),
+            "tn": F.col("all_neg") - F.col("best.cum_neg"),
+        }
     )
-    cells = confusion(scores, summary)
     quality = _quality(*[F.col(c) for c in ("tp", "fp", "tn", "fn")])
-    return (
-        cells.withColumns(quality)
-        .join(summary.select("model", "auc_roc", "auc_pr"), "model")
-        .select(
-            "model", "auc_roc", "auc_pr", *quality, F.col("threshold").alias("threshold_optimal"),
-            "tn", "fp", "fn", "tp",
-        )
+    return cells.withColumns(quality).select(
+        "model",
+        "auc_roc",
+        "auc_pr",
+        *quality,
+        F.col("best.y_prob").alias("threshold_optimal"),
+        "tn",
+        "fp",
+        "fn",
+        "tp",
     )
 
 

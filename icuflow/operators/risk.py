@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icuflow.functions.arrays import sanitize_sequence, sigmoid
+from icuflow.functions.cut import cut
 from icuflow.functions.ordering import ranked
+from icuflow.functions.time import shift
 from icuflow.operators.quality import cells_tall
 
 HIGH, LOW = 0.7, 0.3
@@ -134,9 +137,13 @@ def subject_risk(scores: DataFrame) -> DataFrame:
 
 
 def high_risk(scores: DataFrame, k: int = 50, tie: Sequence[str] = ("tiebreak",)) -> DataFrame:
-    """The ``k`` subjects with the highest score above 0.7, with their trend."""
+    """The ``k`` subjects with the highest score above 0.7, with their trend.
+
+    The few subjects are written first, so that their scores are found by a
+    lookup of known small size and trends are worked out for them only.
+    """
     subjects = subject_risk(scores).filter(F.col("max_risk") > HIGH)
-    top = subjects.orderBy(F.desc("max_risk"), "model", "subject_id").limit(k)
+    top = cut(subjects.orderBy(F.desc("max_risk"), "model", "subject_id").limit(k), "top")
     wanted = scores.join(top.select(*_SUBJECT), list(_SUBJECT), "left_semi")
     return top.join(risk_trend(wanted, tie).select(*_SUBJECT, "risk_trend"), list(_SUBJECT))
 
@@ -235,8 +242,19 @@ def global_importance(importance: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
-def explanation_docs(scores: DataFrame, tie: Sequence[str] = ("tiebreak",)) -> DataFrame:
-    """One nested document per model and subject: highest risk, first outcome, band, factor."""
+def _issued(issued_at: datetime | None, hours: Column | int = 0) -> Column:
+    """ISO time of a prediction, ``hours`` after the documents were issued."""
+    later = F.lit(hours) if isinstance(hours, int) else hours
+    return F.date_format(shift(F.lit(issued_at), later * 3600), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def explanation_docs(
+    scores: DataFrame, tie: Sequence[str] = ("tiebreak",), issued_at: datetime | None = None
+) -> DataFrame:
+    """One nested document per model and subject: highest risk, first outcome, band, factor.
+
+    With ``issued_at`` the document also says when it was made.
+    """
     first = F.min_by("y_true", F.struct("obs_start_hour", *tie, "y_prob"))
     per_subject = scores.groupBy(*_SUBJECT).agg(
         F.max("y_prob").alias("_max"), first.alias("_first")
@@ -246,8 +264,10 @@ def explanation_docs(scores: DataFrame, tie: Sequence[str] = ("tiebreak",)) -> D
         F.col("_max").alias("contribution_score"),
         F.col("_max").alias("value"),
     )
+    stamp = [_issued(issued_at).alias("prediction_timestamp")] if issued_at else []
     document = F.struct(
         F.col("subject_id"),
+        *stamp,
         F.col("_max").alias("death_probability"),
         F.col("_first").alias("actual_death"),
         F.struct(
@@ -257,11 +277,21 @@ def explanation_docs(scores: DataFrame, tie: Sequence[str] = ("tiebreak",)) -> D
     return per_subject.select(*_SUBJECT, document.alias("document"))
 
 
-def trend_docs(scores: DataFrame, tie: Sequence[str] = ("tiebreak",)) -> DataFrame:
-    """One nested document per model and subject: the ordered timeline."""
+def trend_docs(
+    scores: DataFrame, tie: Sequence[str] = ("tiebreak",), issued_at: datetime | None = None
+) -> DataFrame:
+    """One nested document per model and subject: the ordered timeline.
+
+    With ``issued_at`` every point has a time, its hour later than that.
+    """
+
+    def stamp(e: Column) -> list[Column]:
+        return [_issued(issued_at, e.getField("hour")).alias("timestamp")] if issued_at else []
+
     points = F.transform(
         "timeline",
         lambda e: F.struct(
+            *stamp(e),
             e.getField("hour").alias("hour"),
             e.getField("risk_score").alias("death_probability"),
             e.getField("risk_score").alias("risk_score"),

@@ -3,7 +3,7 @@ import statistics
 
 import pandas as pd
 import pytest
-from conftest import rows
+from conftest import START, rows
 from pyspark.sql import functions as F
 
 from icuflow.functions.ordering import hash_ranked, ranked, running_totals, value_bucket
@@ -221,6 +221,20 @@ def test_trends_lists_and_documents(spark):
     assert doc.explanation.top_risk_factors[0].feature_name == "Risk_Score"
     trend = K.trend_docs(s).filter("subject_id = 3").first().document
     assert [p.risk_score for p in trend.predictions_timeline] == [0.8, 0.75, 0.2, 0.1]
+    dated = K.trend_docs(s, issued_at=START).filter("subject_id = 1").first().document
+    assert [p.timestamp for p in dated.predictions_timeline] == [
+        "2024-01-01T00:00:00", "2024-01-01T08:00:00"
+    ]
+    doc = K.explanation_docs(s, issued_at=START).first().document
+    assert doc.prediction_timestamp == "2024-01-01T00:00:00"
+
+
+def test_scores_are_read_once_for_metrics(spark, tmp_path):
+    timeline(spark).write.parquet(str(tmp_path / "s"))
+    measured = J.metrics(spark.read.parquet(str(tmp_path / "s")))
+    measured.collect()
+    plan = measured._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("ReusedExchange") >= 1
 
 
 def test_factors_and_scoring(spark):
