@@ -1068,7 +1068,7 @@ add(
 add(
     "explanation_docs",
     f"""SELECT model, subject_id, {r("max_risk", "death_probability")},
-               (SELECT 0) + first_outcome AS actual_death, {_band("max_risk")} AS risk_level,
+               first_outcome AS actual_death, {_band("max_risk")} AS risk_level,
                {r("max_risk", "factor_value")}
         FROM (SELECT model, subject_id, max(y_prob) AS max_risk,
                      arg_min(y_true, ROW(obs_start_hour, tiebreak, y_prob)) AS first_outcome

@@ -10,7 +10,6 @@ from datetime import timedelta
 import pytest
 from conftest import at, rows
 
-from icuflow.operators import windows as W
 from icuflow.params import CHANNEL_ORDER, Params
 from icuflow.plans import dataset as D
 from icuflow.plans import model as M
