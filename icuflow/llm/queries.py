@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icuflow.llm import bpe, decontamination, exact_dedup, token_counts
+from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, quality, token_counts
 from icuflow.llm.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,32 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+@query
+def op1_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, root, "documents"), words_each=3, num=90, den=100)
+
+
+SQL["op1_jaccard_join"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + least(3, len(w)) - 1), ' ') AS g
+  FROM doc, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(s) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id <> b.doc_id
+       JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM doc
+  UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, r.low AS component_id
+FROM doc JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = doc.doc_id LEFT JOIN size ON size.doc_id = doc.doc_id
+"""
+
+
 @query
 def op4_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.token_counts(table(spark, root, "documents"), tokenizer_path())
@@ -105,3 +131,8 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM plain WINDOW same AS (PARTITION BY t)
 """
+
+
+@query
+def op10_quality(spark: SparkSession, root: str) -> DataFrame:
+    return quality.resample(table(spark, root, "documents"), table(spark, root, "labels"))

@@ -5,17 +5,45 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+import icuflow
+
+_shipped: set[str] = set()
+
 
 def prepare(spark: SparkSession) -> None:
-    """UTC, and a folder for stored results where the session names none, as in tests on one machine."""
+    """UTC, the package on all executors, and a folder for stored results.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset on one machine, as in
+    tests, it is a temporary one.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        context.addPyFile(_archive())
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    context.setCheckpointDir(f"file://{_folder()}")
+
+
+def _folder() -> str:
     folder = tempfile.mkdtemp(prefix="icuflow-llm-")
     atexit.register(shutil.rmtree, folder, True)
-    spark.sparkContext.setCheckpointDir(f"file://{folder}")
+    return folder
+
+
+def _archive() -> str:
+    """The package as a zip file, which Spark hands to the executors."""
+    top = Path(icuflow.__file__).parent
+    path = Path(_folder(), "icuflow.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    return str(path)
