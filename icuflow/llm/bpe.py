@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from icuflow.llm.pretokens import Pieces, pieces, split_special
 from icuflow.llm.text import add_columns
 
-CACHED = 1 << 20  # spellings that a worker remembers
+CACHED = 1 << 18  # spellings that a worker remembers
 
 
 def _byte_names() -> dict[str, int]:
@@ -21,8 +22,8 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Codec:
-    """Encoder and decoder of one byte-level BPE file.
+class Encoder:
+    """Encoder of one byte-level BPE file.
 
     Tokens are numbered by rank inside: 0 to 255 are the bytes, then the results of the merges in
     their order. ``halves`` has the two tokens that a merge joins, ``shorter`` the longest token that
@@ -61,10 +62,6 @@ class Codec:
         self._joins: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        text = {int(i): s for s, i in zip(self.spelling, self.id_of, strict=True)} | {i: s.encode() for s, i in self.special.items()}
-        size = max(text) + 1
-        self.offsets = np.concatenate([[0], np.cumsum([len(text.get(i, b"")) for i in range(size)])])
-        self.bytes = np.frombuffer(b"".join(text.get(i, b"") for i in range(size)), np.uint8)
 
     def joins(self, left: int, right: int) -> bool:
         """Whether merging the spelling of both keeps the border between the two tokens.
@@ -166,6 +163,20 @@ class Codec:
             parts.append(ids[a:b].tobytes())
             ready[found.first + j] = parts, found.last
 
+
+class Decoder:
+    """The bytes of all tokens in a row, and where each begins."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        names = _byte_names()
+        text = {i: bytes(names[c] for c in name) for name, i in spec["model"]["vocab"].items()}
+        text |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        size = max(text) + 1
+        self.offsets = np.concatenate([[0], np.cumsum([len(text.get(i, b"")) for i in range(size)])])
+        self.bytes = np.frombuffer(b"".join(text.get(i, b"") for i in range(size)), np.uint8)
+
     def decode(self, packed) -> list[str]:
         """The text of each row of packed ids; bytes that are no UTF-8 become replacement characters; null is empty."""
         out = []
@@ -184,14 +195,16 @@ def gather(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return values[np.repeat(begin - total + sizes, sizes) + np.arange(total[-1])]
 
 
-_codecs: dict[str, Codec] = {}
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, built once per worker."""
+    return Encoder(path)
 
 
-def codec(path: str) -> Codec:
-    """The codec of a tokenizer file, built once per worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+@cache
+def decoder(path: str) -> Decoder:
+    """The decoder of a tokenizer file, built once per worker."""
+    return Decoder(path)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -202,7 +215,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """
 
     def run(texts: pa.Array) -> list:
-        packed = codec(path).encode(texts)
+        packed = encoder(path).encode(texts)
         return [[len(x) // 4 for x in packed], packed]
 
     return add_columns(docs, text_col, run, "n_tokens bigint, token_ids binary")
@@ -210,7 +223,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
 def decode(docs: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     """All columns of ``docs`` with decoded, the text of the packed ids; null gives an empty text."""
-    return add_columns(docs, ids_col, lambda ids: [codec(path).decode(ids)], "decoded string")
+    return add_columns(docs, ids_col, lambda ids: [decoder(path).decode(ids)], "decoded string")
 
 
 def unpack(packed: np.ndarray | bytes) -> np.ndarray:

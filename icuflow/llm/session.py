@@ -12,16 +12,19 @@ from pyspark.sql import SparkSession
 
 import icuflow
 
+BATCH = 2000
 _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """UTC, the package on all executors, and a folder for stored results.
+    """UTC, small Arrow batches, the package on all executors, and a folder for stored results.
 
+    Python workers hold a batch of whole texts, so BATCH rows bound their memory.
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset on one machine, as in
     tests, it is a temporary one.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)

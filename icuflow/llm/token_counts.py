@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,14 +125,10 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
-
-
+@cache
 def counter(path: str) -> Counter:
     """The counter of a tokenizer file, built once per worker."""
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return Counter(path)
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk: int = 1 << 16, overlap: int = 256) -> DataFrame:
