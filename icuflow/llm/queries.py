@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, quality, token_counts
+from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, quality, token_counts, toxicity
 from icuflow.llm.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,11 +61,23 @@ FROM doc JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = doc.doc
 """
 
 
+@query
+def op3_language_id(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 @query
 def op4_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.token_counts(table(spark, root, "documents"), tokenizer_path())
 
 
+@query
+def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, root, "labels")))
+
+
 @query
 def op7_decontamination(spark: SparkSession, root: str) -> DataFrame:
     found = decontamination.contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))
