@@ -38,6 +38,11 @@ _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uin
 _LOWER_VALUES = _VALUES[_LOWER]
 
 
+def text_values(data: np.ndarray) -> np.ndarray:
+    """The 64-bit values of bytes, A-Z lowered, that make up the hashes of words."""
+    return _LOWER_VALUES[data]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base))
     if n:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -11,24 +12,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icuflow.llm.quality import held_out
-from icuflow.llm.text import ALNUM, add_columns, mix, words
+from icuflow.llm.text import ALNUM, add_columns, mix, range_hashes, text_values, words
 
-BITS = 15  # rows of each of the two embedding tables
+BITS = 15  # rows of each embedding table
+PREFIXES = (4, 5, 6, 7)  # bytes of a longer word that have rows of their own
+TABLES = 2 + len(PREFIXES)
+NONE = TABLES << BITS  # the row of a prefix that a word does not have; always 0
 WIDTHS = (1, 2, 3)
 FILTERS = 4  # of each width
 SIZE = 12  # of an embedding
 GUESS_BITS = 13
+BLOCK = 1 << 17  # words
 
 
-def rows_of(hashes: np.ndarray) -> np.ndarray:
-    """The two rows of each word: two hash functions, so that two words seldom share both."""
+def word_rows(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, embedding rows of each word, word hashes, offsets of the texts).
+
+    A word has two rows by two hash functions, so that two words seldom share both, and one for each prefix,
+    so that a word not seen before is known by its beginning.
+    """
     mask = np.uint64((1 << BITS) - 1)
-    return np.stack([hashes & mask, ((hashes >> np.uint64(20)) & mask) + (mask + np.uint64(1))], axis=1).astype(np.int64)
+    for part in words(texts, ALNUM):
+        n = len(part.hashes)
+        rows = np.full((n, TABLES), NONE, np.int32)
+        rows[:, 0] = part.hashes & mask
+        rows[:, 1] = ((part.hashes >> np.uint64(20)) & mask) + (mask + np.uint64(1))
+        for a in range(0, n, BLOCK):
+            starts, ends = part.starts[a : a + BLOCK], part.ends[a : a + BLOCK]
+            values = text_values(part.data[starts[0] : ends[-1]])
+            for k, size in enumerate(PREFIXES, 2):
+                has = np.flatnonzero(ends - starts > size)
+                begin = starts[has] - starts[0]
+                rows[a + has, k] = (range_hashes(values, begin, begin + size) & mask).astype(np.int32) + (k << BITS)
+        yield part.first, rows, part.hashes, part.offsets
 
 
 @dataclass
 class Net:
-    """embedding: both tables, one above the other; a word is the sum of its two rows. filters: by width, as
+    """embedding: all tables, one above the other; a word is the sum of its rows. filters: by width, as
     (place, embedding, filter). weight: from the maximum of each filter to the log odds."""
 
     embedding: np.ndarray
@@ -36,6 +57,11 @@ class Net:
     offset: np.ndarray
     weight: np.ndarray
     bias: float
+    frozen: np.ndarray | None = None
+
+    def table(self) -> np.ndarray:
+        """What each row adds to each filter at each of its places."""
+        return np.concatenate([np.einsum("re,pef->rpf", self.embedding, f).reshape(len(self.embedding), -1) for f in self.filters], axis=1).astype(np.float32)
 
     def responses(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Responses of every filter at every word of many texts; -1e9 where a filter would pass a text's end.
@@ -43,25 +69,33 @@ class Net:
         A text shorter than a filter is read by that filter's first places.
         """
         n = len(rows)
+        each = self.look_up(rows)
         text = np.searchsorted(starts, np.arange(n), "right") - 1
-        left = np.append(starts[1:], n)[text] - np.arange(n)
-        length = np.append(starts[1:], n)[text] - starts[text]
-        out = np.empty((n, len(WIDTHS) * FILTERS), np.float32)
+        stops = np.append(starts[1:], n)[text]
+        left, length = stops - np.arange(n), stops - starts[text]
+        out = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
+        column = 0
         for k, width in enumerate(WIDTHS):
-            table = np.einsum("re,pef->rpf", self.embedding, self.filters[k]).astype(np.float32) if not hasattr(self, "_tables") else self._tables[k]
-            total = np.zeros((n, FILTERS), np.float32)
+            total = out[:, k * FILTERS : (k + 1) * FILTERS]
             for place in range(width):
-                row = rows[place:]
-                part = table[row[:, 0], place] + table[row[:, 1], place]
-                inside = left[: n - place] > place
-                total[: n - place] += part * inside[:, None]
+                total[: n - place] += each[place:, column : column + FILTERS] * (left[: n - place] > place)[:, None]
+                column += FILTERS
             total[(left < width) & ~((length < width) & (left == length))] = -1e9
-            out[:, k * FILTERS : (k + 1) * FILTERS] = total
         return out
 
+    def look_up(self, rows: np.ndarray) -> np.ndarray:
+        """For each word the sum over its rows of what they add to each filter at each place."""
+        if self.frozen is None:
+            vectors = self.embedding[rows].sum(axis=1)
+            return np.concatenate([np.einsum("ne,pef->npf", vectors, f).reshape(len(rows), -1) for f in self.filters], axis=1)
+        total = self.frozen[rows[:, 0]]
+        for k in range(1, TABLES):
+            total += self.frozen[rows[:, k]]
+        return total
+
     def freeze(self) -> Net:
-        """Keeps what each row adds to each filter at each place, so that scoring only looks up and adds."""
-        self._tables = [np.einsum("re,pef->rpf", self.embedding, f).astype(np.float32) for f in self.filters]
+        """Only looks up and adds from now on."""
+        self.frozen, self.embedding = self.table(), np.empty((0, SIZE))
         return self
 
     def logits(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -80,7 +114,7 @@ class Model:
     thresholds: np.ndarray = field(default_factory=lambda: np.array([0.5]))
     default: float = 0.0
 
-    def scores(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def scores(self, rows: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Scores of texts given by their words; the language's threshold is moved to 0.5."""
         n = len(offsets) - 1
         out = np.full(n, self.default)
@@ -88,7 +122,7 @@ class Model:
         if self.net is None or not len(full):
             return out
         starts = offsets[full]
-        raw = 1 / (1 + np.exp(-self.net.logits(rows_of(hashes), starts)))
+        raw = 1 / (1 + np.exp(-self.net.logits(rows, starts)))
         votes = np.add.reduceat(self.guess[(mix(hashes) >> np.uint64(64 - GUESS_BITS)).astype(np.int64)], starts, axis=0)
         t = self.thresholds[votes.argmax(axis=1)]
         out[full] = np.where(raw < t, 0.5 * raw / t, 0.5 + 0.5 * (raw - t) / (1 - t))
@@ -99,24 +133,27 @@ def _join(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
 
 
-def _log_odds(texts: list[np.ndarray], truth: np.ndarray, pseudo: float = 5.0) -> np.ndarray:
-    """For each embedding row how much more often toxic texts have it, in log odds; 0 for rows that tell nothing."""
-    seen = np.zeros((2, 2 << BITS))
+def _log_odds(texts: list[np.ndarray], truth: np.ndarray, pseudo: float = 10.0, trust: float = 20.0) -> np.ndarray:
+    """For each embedding row how much more often toxic texts have it, in log odds, shrunk where few texts have it."""
+    seen = np.zeros((2, NONE + 1))
     for t, y in zip(texts, truth, strict=True):
-        seen[int(y), np.unique(rows_of(t))] += 1
-    prior = truth.mean()
-    return np.log((seen[1] + pseudo * prior) / (seen[0] + pseudo * (1 - prior))) - np.log(prior / (1 - prior))
+        seen[int(y), np.unique(t)] += 1
+    prior, n = truth.mean(), seen.sum(axis=0)
+    odds = np.log((seen[1] + pseudo * prior) / (seen[0] + pseudo * (1 - prior))) - np.log(prior / (1 - prior))
+    odds[NONE] = 0
+    return odds * n / (n + trust)
 
 
 def fit_net(texts: list[np.ndarray], truth: np.ndarray, epochs: int, batch: int, seed: int) -> Net:
     """Trained by Adagrad on the cross entropy; only the places that win a maximum pass gradients on.
 
-    The first entry of an embedding begins as half the row's log odds, which the first filter of width 1
+    ``texts`` has the rows of the words of each text. The first entry of an embedding begins as half the row's log odds, which the first filter of width 1
     passes on, so that training begins at a linear classifier.
     """
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.02, (2 << BITS, SIZE))
+    embedding = rng.normal(0, 0.02, (NONE + 1, SIZE))
     embedding[:, 0] = 0.5 * _log_odds(texts, truth)
+    embedding[NONE] = 0
     filters = [rng.normal(0, 0.1, (w, SIZE, FILTERS)) for w in WIDTHS]
     filters[0][0, :, 0] = 0
     filters[0][0, 0, 0] = 1
@@ -129,8 +166,8 @@ def fit_net(texts: list[np.ndarray], truth: np.ndarray, epochs: int, batch: int,
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):
             some = order[a : a + batch]
-            hashes, offsets = _join([texts[i] for i in some])
-            rows, starts, stops = rows_of(hashes), offsets[:-1], offsets[1:]
+            rows, offsets = _join([texts[i] for i in some])
+            starts, stops = offsets[:-1], offsets[1:]
             response = net.responses(rows, starts)
             win = np.stack([s + response[s:e].argmax(axis=0) for s, e in zip(starts, stops, strict=True)])
             top = np.take_along_axis(response, win, axis=0) + net.offset
@@ -148,7 +185,7 @@ def fit_net(texts: list[np.ndarray], truth: np.ndarray, epochs: int, batch: int,
                     d_filters[k][place] += np.einsum("bf,bfe->ef", d, vector)
                     back = d[:, :, None] * net.filters[k][place].T[None]
                     for i, f in zip(*np.nonzero(d), strict=True):
-                        for r in word[i, f].tolist():
+                        for r in word[i, f][word[i, f] != NONE].tolist():
                             d_embedding[r] = d_embedding.get(r, 0) + back[i, f]
             found = np.array(list(d_embedding), np.int64)
             if len(found):
@@ -182,7 +219,7 @@ def calibrate(raw: np.ndarray, truth: np.ndarray, language: np.ndarray, n: int,
     return np.array([best(raw[language == j], truth[language == j]) if truth[language == j].sum() >= least else overall for j in range(n)])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = 2500, max_chars: int = 20_000, epochs: int = 6, batch: int = 64, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = 2000, max_chars: int = 20_000, epochs: int = 6, batch: int = 64, seed: int = 11) -> Model:
     """The classifier, fitted on a bounded sample: at most ``per_class`` labelled texts of each class, up to
     ``max_chars`` characters long, chosen by a hash of their id, none of them held out.
 
@@ -199,14 +236,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [p.hashes[a:e].tobytes() for p in words(b.column(3), ALNUM) for a, e in zip(p.offsets[:-1], p.offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], names=["id", "y", "lang", "words"])
+            out = [(h[x:y].tobytes(), r[x:y].tobytes()) for _, r, h, o in word_rows(b.column(3)) for x, y in zip(o[:-1], o[1:], strict=True)]
+            made = [pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=["id", "y", "lang", "words", "rows"])
 
-    found = rows.mapInArrow(read, f"id {dict(rows.dtypes)['id']}, y int, lang string, words binary").collect()
-    found = sorted(({(r["id"], r["y"], r["words"]): r for r in found if r["words"]}).values(), key=lambda r: (hash((r["id"], seed)), r["id"], r["y"]))
+    found = rows.mapInArrow(read, f"id {dict(rows.dtypes)['id']}, y int, lang string, words binary, rows binary").collect()
+    found = sorted(({(r["id"], r["y"], r["words"]): r for r in found if r["words"]}).values(), key=lambda r: (crc32(f"{r['id']}".encode()), r["id"], r["y"]))
     if not found:
         return Model(None)
     texts = [np.frombuffer(r["words"], np.uint64) for r in found]
+    rows = [np.frombuffer(r["rows"], np.int32).reshape(-1, TABLES) for r in found]
     truth = np.array([r["y"] for r in found])
     if truth.min() == truth.max():
         return Model(None, default=float(truth[0]))
@@ -217,15 +256,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         np.add.at(votes[:, place[r["lang"] or ""]], (mix(np.unique(t)) >> np.uint64(64 - GUESS_BITS)).astype(np.int64), 1)
     guess = np.log(votes / votes.sum(axis=0)).astype(np.float32)
     cut = max(1, len(texts) * 3 // 4)
-    net = fit_net(texts[:cut], truth[:cut], epochs, batch, seed).freeze()
+    net = fit_net(rows[:cut], truth[:cut], epochs, batch, seed).freeze()
     model = Model(net, guess, np.full(len(names), 0.5))
     hashes, offsets = _join(texts[cut:] or texts)
     y = truth[cut:] if len(texts) > cut else truth
-    raw = 1 / (1 + np.exp(-net.logits(rows_of(hashes), offsets[:-1])))
+    raw = 1 / (1 + np.exp(-net.logits(_join(rows[cut:] or rows)[0], offsets[:-1])))
     language = np.add.reduceat(guess[(mix(hashes) >> np.uint64(64 - GUESS_BITS)).astype(np.int64)], offsets[:-1], axis=0).argmax(axis=1)
     model.thresholds = calibrate(raw, y, language, len(names))
     model.default = float(raw.min() * 0.5)
-    net.embedding = np.empty((0, SIZE))
     return model
 
 
@@ -240,9 +278,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(texts: pa.Array) -> list:
         out = np.zeros(len(texts))
-        for part in words(texts, ALNUM):
-            found = shared.value.scores(part.hashes, part.offsets)
-            out[part.first : part.first + len(found)] = found
+        for first, rows, hashes, offsets in word_rows(texts):
+            found = shared.value.scores(rows, hashes, offsets)
+            out[first : first + len(found)] = found
         return [out]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
