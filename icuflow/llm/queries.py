@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, quality, token_counts, toxicity
+from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, pii, quality, token_counts, toxicity
 from icuflow.llm.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,21 @@ FROM doc JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = doc.doc
 """
 
 
+@query
+def op2_pii(spark: SparkSession, root: str) -> DataFrame:
+    found = pii.private_spans(table(spark, root, "documents"))
+    names = F.array(*[F.lit(k) for k in (*pii.KINDS, "term")])
+    show = lambda m: F.concat_ws(":", F.element_at(names, m["kind"] + 1), m["start"], m["end"])
+    counts = [F.size(F.filter("base", lambda m, i=i: m["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(pii.KINDS)).alias("kind"), t["end"].alias("end")))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.concat_ws(",", F.transform("base", show)), 256).alias("base_sha256"),
+        F.concat_ws(",", F.transform(F.array_sort(F.concat("base", terms)), show)).alias("spans"),
+    )
+
+
 @query
 def op3_language_id(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
