@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, pii, quality, token_counts, toxicity
+from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, license_scan, pii, quality, token_counts, toxicity
 from icuflow.llm.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,18 @@ def op4_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.token_counts(table(spark, root, "documents"), tokenizer_path())
 
 
+@query
+def op5_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    found = license_scan.license_spans(table(spark, root, "documents"))
+    show = lambda x: F.concat_ws(":", x["license"], x["coverage"], x["start"], x["end"])
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_found"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["coverage"])), F.lit(0.0)).alias("coverage"),
+        F.concat_ws(",", F.transform("found", show)).alias("spans"),
+    )
+
+
 @query
 def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")

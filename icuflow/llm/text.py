@@ -99,6 +99,7 @@ class Words:
 
     hashes, starts, ends: per word; places are bytes from the beginning of ``data``.
     offsets: for each text the number of its first word, and the total at the end.
+    text_starts: the first byte of each text.
     """
 
     first: int
@@ -107,6 +108,7 @@ class Words:
     ends: np.ndarray
     offsets: np.ndarray
     data: np.ndarray
+    text_starts: np.ndarray
 
 
 def _find(data: np.ndarray, begin: int, end: int, rows: np.ndarray, inside: np.ndarray, lower: bool):
@@ -152,7 +154,7 @@ def words(texts: pa.Array, inside: np.ndarray = SPACED, lower: bool = True) -> I
             found = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         else:
             found = _find(data, int(at[row]), int(at[last]), at[row : last + 1], inside, lower)
-        yield Words(row, *found, np.searchsorted(found[1], at[row : last + 1]), data)
+        yield Words(row, *found, np.searchsorted(found[1], at[row : last + 1]), data, at[row:last])
         row = last
 
 
