@@ -38,7 +38,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are in no group and stay.
     """
     prepare(spark)
-    found = jaccard_join.similar(docs, words_each=5, num=80, den=100)
+    found = jaccard_join.similar(docs, jaccard_join.Rule(5, 80, 100))
     return _keep(docs, found.filter("component_id <=> doc_id"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,24 +15,52 @@ from icuflow.functions.cut import cut
 from icuflow.llm.components import components
 from icuflow.llm.text import SPACED, mix, shingles, words
 
-SHORT = 32  # classes in a short inverted list
-SLACK = 24  # long lists that a document may have, at least, before its short lists no longer suffice
 _BITS = 22
 
 
-def overlap(n, num: int, den: int):
-    """The least overlap of a set of n shingles with any partner."""
-    return -(-n * num // den)
+@dataclass(frozen=True)
+class Rule:
+    """Sets of ``words`` words link when den * intersection >= num * union.
 
+    short: classes in a short inverted list, at most. least_slack: long lists that a document may have, at
+    least, before its short lists no longer suffice. Results do not depend on either.
+    """
+
+    words: int = 5
+    num: int = 80
+    den: int = 100
+    short: int = 32
+    least_slack: int = 24
+
+    def overlap(self, n: int) -> int:
+        """The least overlap of a set of n shingles with any partner; the size of its smallest partner too."""
+        return -(-n * self.num // self.den)
+
+    def slack(self, n: int) -> int:
+        """How many common tokens beyond one the prefixes of two partners of n shingles at least share. Grows with n."""
+        p = n - self.overlap(n) + 1
+        return min(n - p, max(self.least_slack, -(-p // 2)))
+
+    def prefix(self, n: int) -> int:
+        """Tokens by which a set of n shingles is indexed."""
+        return n - self.overlap(n) + 1 + self.slack(n)
+
+    def overlap_sql(self, n: str = "n") -> str:
+        return f"(({n} * {self.num} + {self.den - 1}) div {self.den})"
 
-def slack(n: int, num: int, den: int) -> int:
-    """How many common tokens beyond one the prefixes of two partners of n shingles at least share. Grows with n."""
-    p = n - overlap(n, num, den) + 1
-    return min(n - p, max(SLACK, -(-p // 2)))
+    def slack_sql(self, n: str = "n") -> str:
+        p = f"({n} - {self.overlap_sql(n)} + 1)"
+        return f"least({n} - {p}, greatest({self.least_slack}, ({p} + 1) div 2))"
 
+    def prefix_sql(self) -> str:
+        return f"(n - {self.overlap_sql()} + 1 + {self.slack_sql()})"
 
-def prefix_size(n: int, num: int, den: int) -> int:
-    return n - overlap(n, num, den) + 1 + slack(n, num, den)
+    def least_sql(self) -> str:
+        """The slack of the smallest partner of a set of n shingles."""
+        return self.slack_sql(self.overlap_sql())
+
+    def large_enough(self, small: str) -> str:
+        return f"{self.den} * {small} >= {self.num} * n"
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -47,16 +76,16 @@ def fingerprint(tokens: np.ndarray) -> bytes:
     return (np.sum(spread).tobytes() + np.sum(mix(spread ^ np.uint64(0x5851F42D4C957F2D))).tobytes()) if len(tokens) else b""
 
 
-def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """Stored rows fp, n, ids, prefix: one per distinct set of a batch, with the ids of the rows that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, tuple[int, list, np.ndarray]] = {}
-            for i, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
+            for i, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.words), strict=True):
                 fp, n = fingerprint(tokens), len(tokens)
                 if fp not in found:
-                    found[fp] = n, [], tokens[: prefix_size(n, num, den) if n else 0].view(np.int64).copy()
+                    found[fp] = n, [], tokens[: rule.prefix(n) if n else 0].view(np.int64).copy()
                 found[fp][1].append(i)
             columns = [list(found), [x[0] for x in found.values()], [x[1] for x in found.values()], [x[2] for x in found.values()]]
             kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -65,48 +94,63 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return cut(docs.mapInArrow(run, "fp binary, n long, ids array<bigint>, prefix array<bigint>"), "sets")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(token, keys, sizes) of each list of a stream in token order, in parts of at most SHORT + 1 and then the rest."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-        if held:
-            rows = np.concatenate([held.pop(), rows], axis=1)
-        if not rows.shape[1]:
-            continue
-        starts = np.flatnonzero(np.diff(rows[0], prepend=rows[0][0] - 1))
-        last = starts[-1]
-        yield rows[:, :last], starts[:-1]
-        held.append(rows[:, last:])
-    if held:
-        yield held[0], np.zeros(1, np.int64)
+class _Lists:
+    """Inverted lists from posts (token, key, n) in token order; at most ``rule.short`` posts of one token are held at a time."""
 
+    def __init__(self, rule: Rule):
+        self.rule = rule
+        self.held = np.empty((3, 0), np.int64)
+        self.long: int | None = None  # the token of a long list that may go on
 
-def _index(classes: DataFrame, num: int, den: int) -> DataFrame:
+    def add(self, rows: np.ndarray, end: bool) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([self.held, rows], axis=1)
+        if self.long is not None:
+            more = int(np.searchsorted(rows[0], self.long, "right"))
+            yield self._batch(*rows[:, :more], [None] * more)
+            rows = rows[:, more:]
+        if not rows.shape[1]:
+            self.held = rows
+            return
+        starts = np.flatnonzero(np.diff(rows[0], prepend=rows[0][0] - 1))
+        sizes = np.diff(np.append(starts, rows.shape[1]))
+        self.long, self.held = None, rows[:, :0]
+        if not end and sizes[-1] <= self.rule.short:
+            self.held, starts, sizes = rows[:, starts[-1] :], starts[:-1], sizes[:-1]
+        elif sizes[-1] > self.rule.short:
+            self.long = int(rows[0][-1])
+        token, key, n = rows
+        for s, m in zip(starts[sizes > self.rule.short].tolist(), sizes[sizes > self.rule.short].tolist(), strict=True):
+            yield self._batch(token[s : s + m], key[s : s + m], n[s : s + m], [None] * m)
+        short = (sizes > 1) & (sizes <= self.rule.short)
+        at, partners = [], []
+        for s, m in zip(starts[short].tolist(), sizes[short].tolist(), strict=True):
+            for i in range(s + 1, s + m):
+                low = s + int(np.searchsorted(n[s:i], self.rule.overlap(int(n[i]))))
+                if low < i:
+                    at.append(i)
+                    partners.append(np.sort(key[low:i]))
+        yield self._batch(token[at], key[at], n[at], partners)
+
+    @staticmethod
+    def _batch(token, key, n, partners) -> pa.RecordBatch:
+        columns = [pa.array(token, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(partners, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["token", "key", "n", "partners"])
+
+
+def _index(classes: DataFrame, rule: Rule) -> DataFrame:
     """Stored inverted lists: rows token, key, n, partners.
 
-    Of a short list (2 to SHORT classes), each class gets the classes before it, by size and key, that are
+    Of a short list (2 to ``rule.short`` classes), each class gets the classes before it, by size and key, that are
     large enough to be its partners. Of a long list each class gets a row with null partners. Lists of
     one class are left out.
     """
     posts = classes.select(F.explode("prefix").alias("token"), "key", "n").repartition("token").sortWithinPartitions("token", "n", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in _runs(batches):
-            sizes = np.diff(np.append(starts, rows.shape[1]))
-            token, key, n = rows
-            out: list[tuple] = []
-            for s, m in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                if m > SHORT:
-                    out += [(token[s], key[i], n[i], None) for i in range(s, s + m)]
-                    continue
-                for i in range(s + 1, s + m):
-                    low = s + int(np.searchsorted(n[s:i], overlap(int(n[i]), num, den)))
-                    if low < i:
-                        out.append((token[s], key[i], n[i], np.sort(key[low:i])))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["token", "key", "n", "partners"])
+        lists = _Lists(rule)
+        for batch in batches:
+            yield from lists.add(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]), False)
+        yield from lists.add(np.empty((3, 0), np.int64), True)
 
     return cut(posts.mapInArrow(run, "token long, key long, n long, partners array<bigint>"), "lists")
 
@@ -128,7 +172,7 @@ def merge_lists(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]
             yield int(partner), count
 
 
-def _search(lists: DataFrame, n_long: DataFrame, num: int, den: int) -> DataFrame:
+def _search(lists: DataFrame, n_long: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs key, partner, shared from the short lists of each class.
 
     Partners share ``slack + 1`` tokens of their prefixes at least; tokens whose lists are long are skipped
@@ -142,7 +186,7 @@ def _search(lists: DataFrame, n_long: DataFrame, num: int, den: int) -> DataFram
 
         def merged():
             key, n, n_long = now
-            least = slack(overlap(n, num, den), num, den) + 1 - n_long
+            least = rule.slack(rule.overlap(n)) + 1 - n_long
             return [(key, p, c) for p, c in merge_lists(held, max(1, least))]
 
         for batch in batches:
@@ -165,7 +209,7 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "partner", "shared"])
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The stored pairs (a, b) that link: the tokens of one set are looked up in the other by binary search.
 
     Sets are made again from the texts, for the classes in question only: a table of 4 million bits, which
@@ -182,7 +226,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
         bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column(1).to_numpy(zero_copy_only=False)]))
-            found = list(shingle_sets(batch.column(0), k))
+            found = list(shingle_sets(batch.column(0), rule.words))
             columns = [pa.array([fingerprint(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["fp", "tokens"])
 
@@ -198,7 +242,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int(np.count_nonzero(y[at] == x))
-                keep.append(den * common >= num * (len(x) + len(y) - common))
+                keep.append(rule.den * common >= rule.num * (len(x) + len(y) - common))
             linked = batch.select(["key", "partner"]).filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(linked.columns, names=["a", "b"])
 
@@ -206,24 +250,17 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
     return cut(joined.mapInArrow(compare, "a long, b long"), "links")
 
 
-def similar(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words_each: int = 5,
-    num: int = 80,
-    den: int = 100,
-) -> DataFrame:
+def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
-    A document's set is its distinct runs of ``words_each`` words (white space ends a word, A-Z lowered); fewer
+    A document's set is its distinct runs of ``rule.words`` words (white space ends a word, A-Z lowered); fewer
     words are one run. Two documents link when den * intersection >= num * union. component_id is the
     smallest doc_id reachable by links. Null, empty and blank texts have no set, link with nothing and keep
     their own id. Documents with equal sets are one class, so copies are never paired. Rows without id count in
     their class and get its component. Rows that repeat a doc_id stand for themselves. An empty table
     gives no rows. Other columns are not read.
 
-    1. Each class is indexed under its first tokens in hash order (``prefix_size``).
+    1. Each class is indexed under its first tokens in hash order (``Rule.prefix``).
     2. Short lists are merged by a heap; long ones are skipped as long as partners must also meet in a short
        one (DivideSkip). Of its candidates each class first checks the one it shares most with.
     3. Classes with too many long lists take part in these too: each first checks one class per list, the
@@ -232,22 +269,22 @@ def similar(
        that meets in a long list often enough, if the two are still in different components.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = _sets(docs, words_each, num, den)
+    sets = _sets(docs, rule)
     grouped = sets.filter("n > 0").groupBy("fp").agg(F.min(F.array_min("ids")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = cut(grouped.withColumn("key", F.monotonically_increasing_id()), "classes")
-    lists = _index(classes, num, den)
+    lists = _index(classes, rule)
 
     n_long = lists.filter("partners IS NULL").groupBy("key", "n").agg(F.count(F.lit(1)).alias("n_long"))
-    least = _least_sql(num, den)
+    least = rule.least_sql()
     dense = cut(n_long.filter(f"n_long > {least}"), "dense")
-    candidates = cut(_search(lists, n_long.select("key", "n_long"), num, den), "candidates")
+    candidates = cut(_search(lists, n_long.select("key", "n_long"), rule), "candidates")
     meeting = cut(lists.filter("partners IS NULL").select("token", "key", "n").join(dense.select("key", "n_long"), "key"), "meeting")
     first = meeting.groupBy("token").agg(F.min(F.struct("n", "key")).alias("first"))
-    first = meeting.join(first, "token").filter(f"key <> first.key AND {den} * first.n >= {num} * n")
+    first = meeting.join(first, "token").filter(f"key <> first.key AND {rule.large_enough('first.n')}")
     first = first.groupBy("key", F.col("first.key").alias("partner")).agg(F.count(F.lit(1)).alias("shared"))
     best = candidates.unionByName(first).groupBy("key").agg(F.max_by("partner", F.struct("shared", -F.col("partner"))).alias("partner"))
     best = cut(best, "best")
-    links = _verify(best, classes, docs, words_each, num, den)
+    links = _verify(best, classes, docs, rule)
 
     roots = cut(components(links), "roots")
     place = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
@@ -255,14 +292,14 @@ def similar(
     open_lists = met.groupBy("token").agg(F.min("key_root").alias("low"), F.max("key_root").alias("high")).filter("low <> high").select("token")
     met = met.join(open_lists, "token")
     other = met.select("token", F.col("key").alias("partner"), F.col("n").alias("m"), F.col("key_root").alias("partner_root"))
-    crossing = met.join(other, "token").filter(f"key_root <> partner_root AND (m < n OR m = n AND partner < key) AND {den} * m >= {num} * n")
+    crossing = met.join(other, "token").filter(f"key_root <> partner_root AND (m < n OR m = n AND partner < key) AND {rule.large_enough('m')}")
     crossing = crossing.groupBy("key", "partner", "n", "n_long").agg(F.count(F.lit(1)).alias("shared"))
-    crossing = crossing.filter(f"shared >= {least} + 1 - ({_prefix_sql(num, den)} - n_long)").select("key", "partner")
+    crossing = crossing.filter(f"shared >= {least} + 1 - ({rule.prefix_sql()} - n_long)").select("key", "partner")
     rest = place(place(candidates.select("key", "partner"), "key"), "partner").filter("key_root <> partner_root").select("key", "partner")
     rest = rest.unionByName(crossing).distinct().join(best, ["key", "partner"], "left_anti")
     rest = cut(rest, "rest")
     if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, classes, docs, words_each, num, den))
+        links = links.unionByName(_verify(rest, classes, docs, rule))
         roots = cut(components(links), "roots")
 
     keyed = place(classes.select("key", "fp", "rep"), "key")
@@ -271,21 +308,3 @@ def similar(
     rows = sets.select("fp", "n", F.explode("ids").alias("doc_id")).join(named, "fp", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-
-
-def _overlap_sql(n: str, num: int, den: int) -> str:
-    return f"(({n} * {num} + {den - 1}) div {den})"
-
-
-def _slack_sql(n: str, num: int, den: int) -> str:
-    p = f"({n} - {_overlap_sql(n, num, den)} + 1)"
-    return f"least({n} - {p}, greatest({SLACK}, ({p} + 1) div 2))"
-
-
-def _least_sql(num: int, den: int) -> str:
-    """The slack of the smallest partner of a set of n shingles."""
-    return _slack_sql(_overlap_sql("n", num, den), num, den)
-
-
-def _prefix_sql(num: int, den: int) -> str:
-    return f"(n - {_overlap_sql('n', num, den)} + 1 + {_slack_sql('n', num, den)})"

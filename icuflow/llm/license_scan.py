@@ -69,13 +69,13 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
 
 def build_index(templates: dict[str, str], gram: int, window: int) -> Index:
     names = sorted(templates)
-    found = [p.hashes[a:b] for p in words(pa.array([templates[n] for n in names]), ALNUM) for a, b in zip(p.offsets[:-1], p.offsets[1:], strict=True)]
+    found = [p.hashes[a:b] for p in words(pa.array([templates[n] for n in names], pa.string()), ALNUM) for a, b in zip(p.offsets[:-1], p.offsets[1:], strict=True)]
     rows = []
     for t, h in enumerate(found):
         grams = shingles(h, gram)
         rows += [(grams[i], t, i) for i in winnow(grams, window)]
     rows.sort()
-    hashes, template, place = (np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64), strict=True)) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    hashes, template, place = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
     return Index(names, found, hashes, template, place, gram, window)
 
 
@@ -119,14 +119,15 @@ def scan(hashes: np.ndarray, index: Index, band: int, least: float) -> list[tupl
     low, high = np.searchsorted(index.hashes, grams[picked], "left"), np.searchsorted(index.hashes, grams[picked], "right")
     seeds = sorted({(int(index.template[j]), int(p - index.place[j])) for p, a, b in zip(picked.tolist(), low.tolist(), high.tolist(), strict=True) for j in range(a, b)})
     out: list[tuple[str, float, int, int]] = []
-    done: dict[int, int] = {}
+    done: dict[int, int] = {}  # by template, the word behind its last passage
     for template, diagonal in seeds:
-        if template in done and diagonal <= done[template] + band:
+        pattern, behind = index.words[template], done.get(template, 0)
+        if behind and diagonal + len(pattern) <= behind:
             continue
-        done[template] = diagonal
-        pattern = index.words[template]
-        matched, first, last = align(hashes, pattern, diagonal, band)
+        matched, first, last = align(hashes[behind:], pattern, diagonal - behind, band)
+        first, last = first + behind, last + behind
         if matched >= least * len(pattern):
+            done[template] = last
             out.append((index.names[template], round(matched / len(pattern), 6), first, last))
     return sorted(set(out), key=lambda x: (x[2], x[3], x[0]))
 

@@ -37,7 +37,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 @query
 def op1_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
-    return jaccard_join.similar(table(spark, root, "documents"), words_each=3, num=90, den=100)
+    return jaccard_join.similar(table(spark, root, "documents"), jaccard_join.Rule(3, 90, 100))
 
 
 SQL["op1_jaccard_join"] = r"""
