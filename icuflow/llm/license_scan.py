@@ -122,7 +122,7 @@ def scan(hashes: np.ndarray, index: Index, band: int, least: float) -> list[tupl
     done: dict[int, int] = {}  # by template, the word behind its last passage
     for template, diagonal in seeds:
         pattern, behind = index.words[template], done.get(template, 0)
-        if behind and diagonal + len(pattern) <= behind:
+        if behind and diagonal + len(pattern) <= behind or behind >= len(hashes):
             continue
         matched, first, last = align(hashes[behind:], pattern, diagonal - behind, band)
         first, last = first + behind, last + behind
