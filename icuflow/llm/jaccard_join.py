@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from icuflow.llm.components import components
 from icuflow.llm.text import SPACED, mix, shingles, words
 
 _BITS = 22
+ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -30,14 +33,17 @@ class Rule:
     num: int = 80
     den: int = 100
     short: int = 32
-    least_slack: int = 24
+    least_slack: int = 48
 
     def overlap(self, n: int) -> int:
         """The least overlap of a set of n shingles with any partner; the size of its smallest partner too."""
         return -(-n * self.num // self.den)
 
     def slack(self, n: int) -> int:
-        """How many common tokens beyond one the prefixes of two partners of n shingles at least share. Grows with n."""
+        """How many tokens of its prefix a set of n shingles at least shares with the prefix of any partner.
+
+        Of p = n - overlap + 1 tokens one is shared, and one more of each token beyond; rounding can cost one.
+        """
         p = n - self.overlap(n) + 1
         return min(n - p, max(self.least_slack, -(-p // 2)))
 
@@ -45,22 +51,12 @@ class Rule:
         """Tokens by which a set of n shingles is indexed."""
         return n - self.overlap(n) + 1 + self.slack(n)
 
-    def overlap_sql(self, n: str = "n") -> str:
-        return f"(({n} * {self.num} + {self.den - 1}) div {self.den})"
-
-    def slack_sql(self, n: str = "n") -> str:
-        p = f"({n} - {self.overlap_sql(n)} + 1)"
-        return f"least({n} - {p}, greatest({self.least_slack}, ({p} + 1) div 2))"
-
-    def prefix_sql(self) -> str:
-        return f"(n - {self.overlap_sql()} + 1 + {self.slack_sql()})"
+    def slack_sql(self) -> str:
+        p = f"(n - (n * {self.num} + {self.den - 1}) div {self.den} + 1)"
+        return f"least(n - {p}, greatest({self.least_slack}, ({p} + 1) div 2))"
 
-    def least_sql(self) -> str:
-        """The slack of the smallest partner of a set of n shingles."""
-        return self.slack_sql(self.overlap_sql())
-
-    def large_enough(self, small: str) -> str:
-        return f"{self.den} * {small} >= {self.num} * n"
+    def sizes_fit(self, m: str) -> str:
+        return f"{self.den} * least(n, {m}) >= {self.num} * greatest(n, {m})"
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -175,7 +171,7 @@ def merge_lists(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]
 def _search(lists: DataFrame, n_long: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs key, partner, shared from the short lists of each class.
 
-    Partners share ``slack + 1`` tokens of their prefixes at least; tokens whose lists are long are skipped
+    Partners share ``slack`` tokens of their prefixes at least; tokens whose lists are long are skipped
     here, so the rest must be met in the short lists, which a heap merges.
     """
     short = lists.filter("partners IS NOT NULL").join(n_long, "key", "left").select("key", "n", F.coalesce("n_long", F.lit(0)).alias("n_long"), "partners")
@@ -186,7 +182,7 @@ def _search(lists: DataFrame, n_long: DataFrame, rule: Rule) -> DataFrame:
 
         def merged():
             key, n, n_long = now
-            least = rule.slack(rule.overlap(n)) + 1 - n_long
+            least = rule.slack(n) - n_long
             return [(key, p, c) for p, c in merge_lists(held, max(1, least))]
 
         for batch in batches:
@@ -209,47 +205,113 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "partner", "shared"])
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The stored pairs (a, b) that link: the tokens of one set are looked up in the other by binary search.
+class _Texts:
+    """Picks the documents that stand for some classes, before anything is shuffled.
 
-    Sets are made again from the texts, for the classes in question only: a table of 4 million bits, which
-    is all that is broadcast, picks their documents before anything is shuffled.
+    All that is broadcast is a table of 4 million bits by the hash of the documents' ids; documents that
+    share a bit come along and are told apart by the fingerprint of their set.
     """
-    wanted = pairs.select(F.col("key")).unionByName(pairs.select(F.col("partner").alias("key"))).distinct()
-    needed = cut(classes.select("key", "fp", "rep").join(wanted, "key"), "needed")
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << _BITS))
-    bits = np.zeros(1 << _BITS, bool)
-    bits[needed.select(place.alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column(1).to_numpy(zero_copy_only=False)]))
-            found = list(shingle_sets(batch.column(0), rule.words))
-            columns = [pa.array([fingerprint(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["fp", "tokens"])
 
-    rows = docs.select("text", F.pmod(F.xxhash64("id"), F.lit(1 << _BITS)).alias("place"))
-    tokens = cut(rows.mapInArrow(sets, "fp binary, tokens binary").join(needed.select("key", "fp"), "fp").select("key", "tokens"), "tokens")
-    left = tokens.select("key", F.col("tokens").alias("left"))
-    right = tokens.select(F.col("key").alias("partner"), F.col("tokens").alias("right"))
+    def __init__(self, classes: DataFrame, keys: DataFrame, docs: DataFrame):
+        place = F.pmod(F.xxhash64("rep"), F.lit(1 << _BITS))
+        self.needed = cut(classes.select("key", "fp", "rep").join(keys.select("key").distinct(), "key"), "needed")
+        bits = np.zeros(1 << _BITS, bool)
+        bits[self.needed.select(place.alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)] = True
+        self.bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+        self.rows = docs.select("text", F.pmod(F.xxhash64("id"), F.lit(1 << _BITS)).alias("place"))
+
+    def map(self, fn, schema: str) -> DataFrame:
+        """fn(texts) gives the rows of each batch of picked documents."""
+        shared = self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(shared.value).astype(bool)
+            for batch in batches:
+                yield fn(batch.filter(pa.array(bits[batch.column(1).to_numpy(zero_copy_only=False)])).column(0))
+
+        return self.rows.mapInArrow(run, schema)
+
+
+def _pack(text: pa.Scalar) -> bytes:
+    return zlib.compress((text.as_py() or "").encode(), 1)
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The stored pairs (a, b) that link. Compressed texts travel; sets are made again where two meet, and the
+    tokens of one are looked up in the other by binary search."""
+    picked = _Texts(classes, pairs.select("key").unionByName(pairs.select(F.col("partner").alias("key"))), docs)
+
+    def pack(texts: pa.Array) -> pa.RecordBatch:
+        found = [fingerprint(x) for x in shingle_sets(texts, rule.words)]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([_pack(t) for t in texts], pa.binary())], names=["fp", "packed"])
+
+    packed = picked.map(pack, "fp binary, packed binary").join(picked.needed.select("key", "fp"), "fp")
+    packed = cut(packed.groupBy("key").agg(F.first("packed").alias("packed")), "texts")
+    left = packed.select("key", F.col("packed").alias("left"))
+    right = packed.select(F.col("key").alias("partner"), F.col("packed").alias("right"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int(np.count_nonzero(y[at] == x))
-                keep.append(rule.den * common >= rule.num * (len(x) + len(y) - common))
-            linked = batch.select(["key", "partner"]).filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(linked.columns, names=["a", "b"])
+            keep: list[bool] = []
+            for a in range(0, batch.num_rows, 256):
+                some = batch.slice(a, 256)
+                sides = [pa.array([zlib.decompress(v.as_py()).decode() for v in some.column(i)], pa.string()) for i in (2, 3)]
+                for x, y in zip(*(shingle_sets(s, rule.words) for s in sides), strict=True):
+                    keep.append(linked(x, y, rule))
+            found = batch.select(["key", "partner"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, names=["a", "b"])
 
     joined = pairs.select("key", "partner").join(left, "key").join(right, "partner").select("key", "partner", "left", "right")
     return cut(joined.mapInArrow(compare, "a long, b long"), "links")
 
 
+def linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
+    """Whether two sets, as ordered tokens, are similar enough."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int(np.count_nonzero(y[at] == x))
+    return rule.den * common >= rule.num * (len(x) + len(y) - common)
+
+
+def _against_all(keys: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule, block_bytes: int = 4 << 20) -> DataFrame:
+    """The stored links (a, b) of some query classes with any member: sets of a block of queries are broadcast,
+    every member's document counts its common tokens with all of them, and only links leave a task."""
+
+    def tokens(texts: pa.Array) -> pa.RecordBatch:
+        found = list(shingle_sets(texts, rule.words))
+        return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.binary()) for f in (fingerprint, np.ndarray.tobytes)], names=["fp", "tokens"])
+
+    picked = _Texts(classes, keys, docs)
+    queries = cut(picked.map(tokens, "fp binary, tokens binary").join(picked.needed.select("key", "fp"), "fp").select("key", "tokens").dropDuplicates(["key"]), "queries")
+    size = queries.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    n = -(-size // block_bytes)
+    everyone = _Texts(classes, members, docs)
+    out = None
+    for i in range(n):
+        block = queries.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == i).collect()
+        sets = [np.frombuffer(r["tokens"], np.uint64) for r in block]
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+        shared = docs.sparkSession.sparkContext.broadcast((flat[order], owner, np.array([len(s) for s in sets]), np.array([r["key"] for r in block], np.int64)))
+
+        def meet(texts: pa.Array, shared=shared) -> pa.RecordBatch:
+            flat, owner, sizes, names = shared.value
+            keys, fps = [], []
+            for x in shingle_sets(texts, rule.words):
+                low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                each = high - low
+                common = np.bincount(owner[np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())], minlength=len(sizes)) if each.any() else np.zeros(len(sizes), np.int64)
+                hit = np.flatnonzero((common > 0) & (rule.den * common >= rule.num * (len(x) + sizes - common)))
+                keys += names[hit].tolist()
+                fps += [fingerprint(x)] * len(hit)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps, pa.binary())], names=["a", "fp"])
+
+        found = everyone.map(meet, "a long, fp binary").join(everyone.needed.select(F.col("key").alias("b"), "fp"), "fp").filter("a <> b").select("a", "b")
+        found = cut(found, "links")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else classes.select(F.col("key").alias("a"), F.col("key").alias("b")).filter("false")
+
+
 def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -263,10 +325,10 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
     1. Each class is indexed under its first tokens in hash order (``Rule.prefix``).
     2. Short lists are merged by a heap; long ones are skipped as long as partners must also meet in a short
        one (DivideSkip). Of its candidates each class first checks the one it shares most with.
-    3. Classes with too many long lists take part in these too: each first checks one class per list, the
-       smallest, that it shares most lists with; groups of near copies are connected by that.
-    4. What is not connected yet is checked in full: every candidate pair, and every pair of such classes
-       that meets in a long list often enough, if the two are still in different components.
+    3. Classes with too many long lists take part in these too. In ``ROUNDS`` rounds each checks one pivot, the
+       one that it shares most long lists with and is not connected with; groups of near copies grow together.
+    4. Candidates of step 2 that are still in different components are all checked. Where a long list still
+       holds several components, the classes outside its largest are compared with all classes of step 3.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = _sets(docs, rule)
@@ -275,32 +337,43 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
     lists = _index(classes, rule)
 
     n_long = lists.filter("partners IS NULL").groupBy("key", "n").agg(F.count(F.lit(1)).alias("n_long"))
-    least = rule.least_sql()
-    dense = cut(n_long.filter(f"n_long > {least}"), "dense")
+    dense = n_long.filter(f"n_long >= {rule.slack_sql()}").select("key")
     candidates = cut(_search(lists, n_long.select("key", "n_long"), rule), "candidates")
-    meeting = cut(lists.filter("partners IS NULL").select("token", "key", "n").join(dense.select("key", "n_long"), "key"), "meeting")
-    first = meeting.groupBy("token").agg(F.min(F.struct("n", "key")).alias("first"))
-    first = meeting.join(first, "token").filter(f"key <> first.key AND {rule.large_enough('first.n')}")
-    first = first.groupBy("key", F.col("first.key").alias("partner")).agg(F.count(F.lit(1)).alias("shared"))
-    best = candidates.unionByName(first).groupBy("key").agg(F.max_by("partner", F.struct("shared", -F.col("partner"))).alias("partner"))
-    best = cut(best, "best")
-    links = _verify(best, classes, docs, rule)
-
-    roots = cut(components(links), "roots")
-    place = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    met = cut(place(meeting, "key"), "met")
-    open_lists = met.groupBy("token").agg(F.min("key_root").alias("low"), F.max("key_root").alias("high")).filter("low <> high").select("token")
-    met = met.join(open_lists, "token")
-    other = met.select("token", F.col("key").alias("partner"), F.col("n").alias("m"), F.col("key_root").alias("partner_root"))
-    crossing = met.join(other, "token").filter(f"key_root <> partner_root AND (m < n OR m = n AND partner < key) AND {rule.large_enough('m')}")
-    crossing = crossing.groupBy("key", "partner", "n", "n_long").agg(F.count(F.lit(1)).alias("shared"))
-    crossing = crossing.filter(f"shared >= {least} + 1 - ({rule.prefix_sql()} - n_long)").select("key", "partner")
+    meeting = cut(lists.filter("partners IS NULL").select("token", "key", "n").join(dense, "key"), "meeting")
+
+    def place(df: DataFrame, column: str) -> DataFrame:
+        named = roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+        return df.join(named, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
+
+    def pivots(seed: int) -> DataFrame:
+        met = place(meeting, "key")
+        first = met.groupBy("token").agg(F.min_by(F.struct("n", "key", "key_root"), F.xxhash64("key", F.lit(seed))).alias("first"))
+        pairs = met.join(first, "token").filter(f"key_root <> first.key_root AND {rule.sizes_fit('first.n')}")
+        return pairs.groupBy("key", F.col("first.key").alias("partner")).agg(F.count(F.lit(1)).alias("shared"))
+
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    links, tried = [], []
+    for seed in range(ROUNDS):
+        proposed = pivots(seed) if seed else candidates.unionByName(pivots(seed))
+        best = proposed.groupBy("key").agg(F.max_by("partner", F.struct("shared", -F.col("partner"))).alias("partner"))
+        tried.append(cut(best, "best"))
+        if tried[-1].isEmpty():
+            break
+        links.append(_verify(tried[-1], classes, docs, rule))
+        roots = cut(components(reduce(DataFrame.unionByName, links)), "roots")
+
     rest = place(place(candidates.select("key", "partner"), "key"), "partner").filter("key_root <> partner_root").select("key", "partner")
-    rest = rest.unionByName(crossing).distinct().join(best, ["key", "partner"], "left_anti")
-    rest = cut(rest, "rest")
+    rest = cut(rest.join(tried[0], ["key", "partner"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, classes, docs, rule))
-        roots = cut(components(links), "roots")
+        links.append(_verify(rest, classes, docs, rule))
+    parts = place(meeting, "key").groupBy("token", "key_root").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("token").agg(F.max_by("key_root", F.struct("n", "key_root")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+    outside = place(meeting, "key").join(largest.filter("parts > 1"), "token").filter("key_root <> largest").select("key").distinct()
+    outside = cut(outside, "outside")
+    if not outside.isEmpty():
+        links.append(_against_all(outside, meeting, classes, docs, rule))
+    if links:
+        roots = cut(components(reduce(DataFrame.unionByName, links)), "roots")
 
     keyed = place(classes.select("key", "fp", "rep"), "key")
     lowest = keyed.groupBy("key_root").agg(F.min("rep").alias("component_id"))
