@@ -3,28 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: tempfile.TemporaryDirectory | None = None
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder that ``spark.checkpoint.dir`` names.
-
-    Where it is not set, as in tests on one machine, a temporary folder that
-    lasts as long as the process.
-    """
-    global _local
+    """A new folder under the shared folder that ``spark.checkpoint.dir`` names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        if _local is None:
-            _local = tempfile.TemporaryDirectory(prefix="icuflow-")
-        base = _local.name
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 

@@ -20,8 +20,12 @@ _HEX_DIGITS = 3
 
 
 def value_bucket(value: Column, per_unit: int = 64) -> Column:
-    """Ordered bucket of any finite number on a logarithmic grid."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(per_unit)).cast("int")
+    """Ordered bucket of any number on a logarithmic grid; infinities get the outermost, NaN the last."""
+    place = F.signum(value) * F.log1p(F.abs(value)) * F.lit(per_unit)
+    inside = F.least(F.greatest(place, F.lit(-1e9)), F.lit(1e9))
+    return F.when(F.isnan(value.cast("double")), F.lit(1_000_000_001)).otherwise(
+        F.floor(inside).cast("int")
+    )
 
 
 def probability_bucket(p: Column, per_unit: int = 64) -> Column:

@@ -16,12 +16,21 @@ from icuflow.functions.ordering import probability_bucket, running_totals
 
 _EPS = 1e-8
 METRICS = ("auc_roc", "auc_pr", "f1", "precision", "recall", "specificity")
+# Shift names and their thresholds.
 OPERATING_POINTS = (("night_weekend", 0.5), ("day_standard", 0.3), ("emergency", 0.15))
 
 
+def known_scores(scores: DataFrame) -> DataFrame:
+    """The same rows; a missing score or one that is no number is an error, never a rank."""
+    p = F.col("y_prob")
+    message = F.lit("y_prob must be a number in every row")
+    known = F.when(p.isNotNull() & ~F.isnan(p.cast("double")), p)
+    return scores.withColumn("y_prob", known.otherwise(F.raise_error(message).cast("double")))
+
+
 def score_counts(scores: DataFrame) -> DataFrame:
-    """Positives and negatives of every distinct score."""
-    return scores.groupBy("model", "y_prob").agg(
+    """Positives and negatives of every distinct score. Scores must be known."""
+    return known_scores(scores).groupBy("model", "y_prob").agg(
         F.count_if(F.col("y_true") == 1).alias("pos"),
         F.count_if(F.col("y_true") == 0).alias("neg"),
     )
@@ -182,7 +191,8 @@ def confusion(scores: DataFrame, thresholds: DataFrame | float) -> DataFrame:
     """True and false positives and negatives at one threshold, or at each model's own."""
     counts = score_counts(scores)
     if isinstance(thresholds, DataFrame):
-        at = counts.join(thresholds.select("model", "threshold"), "model")
+        own = thresholds.select("model", "threshold")
+        at = counts.join(F.broadcast(own), "model")  # one row per model
     else:
         at = counts.withColumn("threshold", F.lit(float(thresholds)))
     hit = F.col("y_prob") >= F.col("threshold")
@@ -303,7 +313,9 @@ def score_histogram(scores: DataFrame, bins: int = 50) -> DataFrame:
     range of one around it.
     """
     counted = (
-        scores.groupBy("model", "y_true", "y_prob").agg(F.count(F.lit(1)).alias("n"))
+        known_scores(scores)
+        .groupBy("model", "y_true", "y_prob")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     spans = counted.groupBy("model", "y_true").agg(
         F.min("y_prob").alias("_lo"), F.max("y_prob").alias("_hi")
@@ -313,7 +325,7 @@ def score_histogram(scores: DataFrame, bins: int = 50) -> DataFrame:
     hi = F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi"))
     position = F.floor((F.col("y_prob") - lo) / (hi - lo) * bins)
     return (
-        counted.join(spans, ["model", "y_true"])
+        counted.join(F.broadcast(spans), ["model", "y_true"])  # two rows per model
         .groupBy("model", "y_true", F.least(position, F.lit(bins - 1)).cast("int").alias("bin_no"))
         .agg(F.sum("n").alias("n_rows"))
     )
@@ -351,7 +363,8 @@ def blend(
     ).scalar()
     share = weights.select("model", raw.alias("_w"))
     mixed = (
-        scores.join(share, "model")
+        known_scores(scores)
+        .join(F.broadcast(share), "model")  # one row per model
         .groupBy(*keys)
         .agg(
             F.max("y_true").alias("y_true"),

@@ -7,10 +7,10 @@ from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icuflow.functions.arrays import sanitize_sequence, sigmoid
-from icuflow.functions.cut import cut
 from icuflow.functions.ordering import ranked
 from icuflow.functions.time import shift
 from icuflow.operators.quality import cells_tall
@@ -136,20 +136,27 @@ def subject_risk(scores: DataFrame) -> DataFrame:
     )
 
 
-def high_risk(scores: DataFrame, k: int = 50, tie: Sequence[str] = ("tiebreak",)) -> DataFrame:
-    """The ``k`` subjects with the highest score above 0.7, with their trend.
+def high_risk(
+    scores: DataFrame, k: int | None = None, tie: Sequence[str] = ("tiebreak",)
+) -> DataFrame:
+    """The subjects with a score above 0.7, with their trend; with ``k`` each model's highest ``k``.
 
-    The few subjects are written first, so that their scores are found by a
-    lookup of known small size and trends are worked out for them only.
+    Spark cuts every task's subjects to ``k`` per model before it ranks them.
+    Trends are worked out for the listed subjects only.
     """
-    subjects = subject_risk(scores).filter(F.col("max_risk") > HIGH)
-    top = cut(subjects.orderBy(F.desc("max_risk"), "model", "subject_id").limit(k), "top")
+    top = subject_risk(scores).filter(F.col("max_risk") > HIGH)
+    if k is not None:
+        place = F.row_number().over(W.partitionBy("model").orderBy(F.desc("max_risk"), "subject_id"))
+        top = top.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
     wanted = scores.join(top.select(*_SUBJECT), list(_SUBJECT), "left_semi")
     return top.join(risk_trend(wanted, tie).select(*_SUBJECT, "risk_trend"), list(_SUBJECT))
 
 
-def risk_summary(scores: DataFrame) -> DataFrame:
-    """Per model: band counts, mean highest risk and length, event rates overall, high and low."""
+def risk_summary(scores: DataFrame, auc: DataFrame | None = None) -> DataFrame:
+    """Per model: band counts, mean highest risk and length, event rates overall, high and low.
+
+    ``auc`` has one row ``(model, auc_roc)`` per model; with it the summary has ``model_auc``.
+    """
     m, event = F.col("max_risk"), F.col("mortality_outcome")
     high, low = m > HIGH, m < LOW
 
@@ -157,7 +164,7 @@ def risk_summary(scores: DataFrame) -> DataFrame:
         n = F.count_if(where)
         return F.when(n > 0, F.count_if(where & (event == 1)) / n).otherwise(0.0)
 
-    return subject_risk(scores).groupBy("model").agg(
+    summary = subject_risk(scores).groupBy("model").agg(
         F.count(F.lit(1)).alias("total_patients"),
         F.count_if(high).alias("high_risk_count"),
         F.count_if(~high & ~low).alias("medium_risk_count"),
@@ -169,6 +176,15 @@ def risk_summary(scores: DataFrame) -> DataFrame:
         rate(high).alias("high_risk_mortality_rate"),
         rate(low).alias("low_risk_mortality_rate"),
     )
+    if auc is None:
+        return summary
+    return summary.join(auc.select("model", F.col("auc_roc").alias("model_auc")), "model", "left")
+
+
+def logit(p: Column) -> Column:
+    """Log odds of a probability, kept away from 0 and 1."""
+    q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1.0 - 1e-6))
+    return F.log(q / (F.lit(1.0) - q))
 
 
 def top_factors(
@@ -216,13 +232,21 @@ def top_factors(
 
 
 def variance_importance(
-    windows: DataFrame, scores: DataFrame, features: Sequence[str], x: str = "x"
+    windows: DataFrame,
+    scores: DataFrame,
+    features: Sequence[str],
+    x: str = "x",
+    output: Column | None = None,
 ) -> DataFrame:
-    """Feature variance over all windows and steps times the variance of the model's output."""
+    """Feature variance over all windows and steps times the variance of the model's output.
+
+    ``output`` is the model's raw output in ``scores``; by default the log odds of ``y_prob``.
+    """
+    raw = logit(F.col("y_prob")) if output is None else output
     names = F.array(*[F.lit(f) for f in features])
     per_feature = cells_tall(windows, (), x).groupBy("pos").agg(F.var_pop("value").alias("v"))
     listed = per_feature.agg(F.collect_list(F.struct("pos", "v")).alias("list")).scalar()
-    per_model = scores.groupBy("model").agg(F.var_samp("y_prob").alias("output_variance"))
+    per_model = scores.groupBy("model").agg(F.var_samp(raw).alias("output_variance"))
     return per_model.select(
         "model", "output_variance", F.inline(listed)
     ).select(

@@ -37,7 +37,7 @@ class PressureComponent:
 @dataclass(frozen=True)
 class Params:
     bin_seconds: int = 3600
-    max_bins: int | None = 168
+    max_bins: int | None = None  # bins of a stay, at most; None keeps all
 
     obs_bins: int = 18
     pred_bins: int = 6

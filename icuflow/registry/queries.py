@@ -20,7 +20,9 @@ from icuflow.operators import sampling as S
 from icuflow.operators import windows as W
 from icuflow.params import Channel, PressureComponent, channel_features
 from icuflow.registry import views as V
+from icuflow.registry.session import prepare
 from icuflow.registry.views import CHANNELS, DAY, PARAMS
+from icuflow.sources import tables as X
 from icuflow.streaming import alerts as A
 from icuflow.streaming import bins as L
 
@@ -56,13 +58,78 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        prepare(spark)
         return tidy(fn(spark, root))
 
     QUERIES[fn.__name__] = run
     return fn
 
 
+# Landing and sinks: the given tables in the shape of raw files, written, landed and read back.
+
+
+def _raw_events(spark: SparkSession, root: str) -> DataFrame:
+    """The readings as a raw event table, every column as text, in file order."""
+    found = V.readings(spark, root).select(
+        "stay_id",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("charttime"),
+        (F.array_position(F.array(*[F.lit(c) for c in CHANNELS]), F.col("channel"))).alias("itemid"),
+        F.col("value").alias("valuenum"),
+    )
+    columns = T.StructType.fromDDL(X.EVENT_SCHEMAS["chartevents"]).fieldNames()
+    return found.select(*[(F.col(c) if c in found.columns else F.lit(None)).cast("string").alias(c) for c in columns])
+
+
+def _raw_files(spark: SparkSession, root: str) -> str:
+    folder = work_folder(spark, "raw")
+    tables = {
+        "patients": V.patients(spark, root),
+        "admissions": V.admissions(spark, root),
+        "icustays": V.icustays(spark, root),
+        "chartevents": _raw_events(spark, root),
+    }
+    for name, df in tables.items():
+        text = df.select(*[F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in df.schema.fields])
+        text.write.option("header", True).option("compression", "gzip").csv(f"{folder}/{X.PATHS[name]}")
+    return folder
+
+
+@query
+def landing_report(spark, root):
+    return X.ingest_raw(spark, _raw_files(spark, root), work_folder(spark, "landed"))
+
+
+@query
+def read_events_csv(spark, root):
+    return X.read_table(spark, _raw_files(spark, root), "chartevents").select(
+        "stay_id", F.col("charttime").alias("ts"), "itemid", "valuenum"
+    )
+
+
+@query
+def read_dimension_csv(spark, root):
+    return X.read_dim(spark, _raw_files(spark, root), "patients")
+
+
+@query
+def dataset_roundtrip(spark, root):
+    folder = work_folder(spark, "dataset")
+    X.write_dataset(_windows(spark, root), G.feature_names(spark, FEATURES), folder, files=4)
+    return X.read_parquet(spark, f"{folder}/windows", ["stay_id", "window_id", "label"])
+
+
+@query
+def documents_json(spark, root):
+    folder = work_folder(spark, "documents")
+    X.write_documents(K.explanation_docs(V.scores(spark, root)), folder)
+    shape = "subject_id long, death_probability double, actual_death int"
+    document = F.from_json("value", shape).alias("d")
+    return spark.read.text(folder).select(document).select(
+        F.col("d.death_probability").alias("death_probability"),
+        F.col("d.actual_death").alias("actual_death"),
+    )
+
+
 # Inputs shared by the queries below.
 
 
@@ -471,9 +538,19 @@ def label_diff(spark, root):
     return W.label_diff(_windows(spark, root))
 
 
+@query
+def complete_windows(spark, root):
+    kept = _candidates(spark, root).filter(~F.col("removed"))
+    return W.filter_completeness(kept, PARAMS, only_negative=False).select(
+        "stay_id", "window_id", "label", "obs_completeness"
+    )
+
+
 @query
 def lost_positives(spark, root):
-    return W.lost_positives(_windows(spark, root), V.stays(spark, root))
+    kept = _candidates(spark, root).filter(~F.col("removed"))
+    windows = W.filter_completeness(kept, PARAMS, only_negative=False)
+    return W.lost_positives(windows, V.stays(spark, root))
 
 
 @query
@@ -714,6 +791,12 @@ def confusion(spark, root):
     return J.confusion(V.scores(spark, root), 0.5)
 
 
+@query
+def confusion_own_threshold(spark, root):
+    scores = V.scores(spark, root)
+    return J.confusion(scores, J.best_threshold(scores))
+
+
 @query
 def metrics(spark, root):
     return J.metrics(V.scores(spark, root))
@@ -807,12 +890,18 @@ def subject_risk(spark, root):
 
 @query
 def high_risk(spark, root):
+    return K.high_risk(V.scores(spark, root), 50)
+
+
+@query
+def high_risk_all(spark, root):
     return K.high_risk(V.scores(spark, root))
 
 
 @query
 def risk_summary(spark, root):
-    return K.risk_summary(V.scores(spark, root))
+    scores = V.scores(spark, root)
+    return K.risk_summary(scores, J.roc_auc(scores))
 
 
 @query

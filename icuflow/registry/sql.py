@@ -268,7 +268,9 @@ CTE: dict[str, str] = {
     "importance": """
         SELECT model, pos, v * o AS score
         FROM (SELECT pos, var_pop(value) AS v FROM cells GROUP BY 1),
-             (SELECT model, var_samp(y_prob) AS o FROM v_scores GROUP BY 1)""",
+             (SELECT model, var_samp(ln(p / (1 - p))) AS o
+              FROM (SELECT model, least(greatest(y_prob, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p
+                    FROM v_scores) GROUP BY 1)""",
     "filled_forward": "SELECT subject_id, bin, "
     + ", ".join(
         f"last_value({f} IGNORE NULLS) OVER "
@@ -635,7 +637,39 @@ add(
 add(
     "lost_positives",
     """SELECT DISTINCT subject_id FROM v_stays WHERE deathtime IS NOT NULL
-       AND subject_id NOT IN (SELECT subject_id FROM windows WHERE label = 1)""",
+       AND subject_id NOT IN (SELECT subject_id FROM candidates
+                              WHERE label = 1 AND NOT removed AND obs_completeness >= 0.3)""",
+)
+add(
+    "complete_windows",
+    f"""SELECT stay_id, window_id, label, {r("obs_completeness")} FROM candidates
+        WHERE NOT removed AND obs_completeness >= 0.3""",
+)
+
+# Landing and sinks
+
+add(
+    "landing_report",
+    """SELECT 'patients' AS name, true AS present, count(*) AS n_rows FROM v_patients
+       UNION ALL SELECT 'admissions', true, count(*) FROM v_admissions
+       UNION ALL SELECT 'icustays', true, count(*) FROM v_icustays
+       UNION ALL SELECT 'chartevents', true, count(*) FROM v_readings
+       UNION ALL SELECT 'inputevents', false, NULL
+       UNION ALL SELECT 'procedureevents', false, NULL""",
+)
+add(
+    "read_events_csv",
+    f"""SELECT stay_id, ts, CAST(list_position(['view', 'click', 'signup', 'purchase', 'error'], channel) AS INT)
+               AS itemid, {r("value", "valuenum")} FROM v_readings""",
+)
+add("read_dimension_csv", "SELECT subject_id, gender, anchor_age FROM v_patients")
+add("dataset_roundtrip", "SELECT stay_id, window_id, label FROM windows")
+add(
+    "documents_json",
+    f"""SELECT {r("max_risk", "death_probability")}, first_outcome AS actual_death
+        FROM (SELECT max(y_prob) AS max_risk,
+                     arg_min(y_true, ROW(obs_start_hour, tiebreak, y_prob)) AS first_outcome
+              FROM v_scores GROUP BY model, subject_id)""",
 )
 add("sequences_tall", f"SELECT subject_id, stay_id, window_id, step, {_ROUNDED} FROM steps")
 add("sequence_arrays", f"SELECT stay_id, window_id, step, pos, {r('value')} FROM cells")
@@ -865,6 +899,11 @@ add(
     f"""SELECT model, 0.5::DOUBLE AS threshold, {_cells_at("(y_prob >= 0.5)")}
         FROM v_scores GROUP BY 1""",
 )
+add(
+    "confusion_own_threshold",
+    "SELECT model, CAST(round(CAST(threshold AS DECIMAL(38, 9)), 6) AS DOUBLE) AS threshold, tn, fp, fn, tp"
+    " FROM confused",
+)
 _RATES = ("auc_roc", "auc_pr", "f1", "precision", "recall", "specificity", "npv", "alarm_rate")
 add(
     "metrics",
@@ -1025,12 +1064,19 @@ add(
     f"""SELECT model, subject_id, {_RISKS}, a.hour_count, first_hour, latest_hour,
                mortality_outcome, risk_trend
         FROM (SELECT * FROM risk WHERE max_risk > 0.7::DOUBLE
-              ORDER BY max_risk DESC, model, subject_id LIMIT 50) a
+              QUALIFY row_number() OVER (PARTITION BY model
+                                         ORDER BY max_risk DESC, subject_id) <= 50) a
              JOIN trends USING (model, subject_id)""",
 )
+add(
+    "high_risk_all",
+    f"""SELECT model, subject_id, {_RISKS}, a.hour_count, first_hour, latest_hour,
+               mortality_outcome, risk_trend
+        FROM risk a JOIN trends USING (model, subject_id) WHERE max_risk > 0.7::DOUBLE""",
+)
 add(
     "risk_summary",
-    f"""SELECT model, count(*) AS total_patients, count(*) FILTER (hi) AS high_risk_count,
+    f"""SELECT model, any_value(auc) AS model_auc, count(*) AS total_patients, count(*) FILTER (hi) AS high_risk_count,
                count(*) FILTER (NOT hi AND NOT lo) AS medium_risk_count,
                count(*) FILTER (lo) AS low_risk_count, {r("avg(max_risk)", "avg_max_risk")},
                {r("avg(hour_count)", "avg_hour_count")}, count(*) FILTER (e) AS total_deaths,
@@ -1040,7 +1086,8 @@ add(
                {r("coalesce(count(*) FILTER (e AND lo) / nullif(count(*) FILTER (lo), 0), 0)",
                   "low_risk_mortality_rate")}
         FROM (SELECT *, max_risk > 0.7::DOUBLE AS hi, max_risk < 0.3::DOUBLE AS lo,
-                     mortality_outcome = 1 AS e FROM risk)
+                     mortality_outcome = 1 AS e FROM risk) JOIN
+             (SELECT model, {r("auc_roc", "auc")} FROM auc) USING (model)
         GROUP BY 1""",
 )
 add(

@@ -91,8 +91,8 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 def write_table(
     df: DataFrame, path: str, files: int | None = None, partition_by: Sequence[str] = ()
 ) -> str:
-    """Overwrite a Parquet table, in at most ``files`` files per partition directory."""
-    out = df.coalesce(files) if files else df
+    """Overwrite a Parquet table; with ``files`` in so many files, without slowing what makes the rows."""
+    out = df.repartition(files) if files else df
     writer = out.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -100,14 +100,15 @@ def write_table(
     return path
 
 
-def cluster_events(df: DataFrame, ts: str, salts: int = 16) -> DataFrame:
-    """Lay events out for channel reads: by item, a frequent item over many files, in time order.
+def cluster_events(df: DataFrame, ts: str) -> DataFrame:
+    """Lay events out for channel reads: by item, then stay and time, in ranges of equal size.
 
+    However frequent an item is, it fills as many files as its share asks for.
     Sorted files give narrow item ranges per row group, so a filter on the item
     skips the rest.
     """
-    salt = F.pmod(F.xxhash64("stay_id"), F.lit(salts))
-    return df.repartition("itemid", salt).sortWithinPartitions("itemid", "stay_id", ts)
+    order = ["itemid", "stay_id", ts]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def ingest_raw(
@@ -145,12 +146,12 @@ def write_dataset(dataset: DataFrame, names: DataFrame, path: str, files: int |
 
 
 def write_documents(
-    documents: DataFrame, path: str, key: str = "subject_id", per_key: bool = True
+    documents: DataFrame, path: str, key: str = "subject_id", per_key: bool = False
 ) -> str:
-    """Write the column ``document`` as JSON.
+    """Write the column ``document`` as JSON, one document per line, spread by subject.
 
-    ``per_key`` makes a directory per subject. For very many subjects turn it
-    off: the files then hold one document per line, spread by subject.
+    ``per_key`` makes a directory per subject instead, for a reader that opens
+    one subject's file; with very many subjects that is very many files.
     """
     if per_key:
         lines = documents.select(F.to_json("document").alias("value"), F.col(key))

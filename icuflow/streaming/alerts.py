@@ -11,22 +11,20 @@ from icuflow.operators.risk import alert_columns, risk_band
 
 _SUBJECT = ("model", "subject_id")
 _ORDER = ("obs_start_hour", "tiebreak", "y_prob")
-_STATE = "model string, subject_id long, last_hour int, last_band string"
 
 
 def band_changes(scores: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Scores whose band differs from the subject's score before, the first one included.
 
-    ``state`` holds the last hour and band of subjects seen earlier; scores
-    before that hour are ignored. A subject has a few dozen windows at most.
+    ``state`` holds the last score in order and its band for subjects seen
+    earlier; scores that come before it are late (``late_scores``) and take no
+    part. A subject has a few dozen windows at most.
     """
     banded = scores.withColumn("risk_level", risk_band("y_prob"))
     before = F.lag("risk_level").over(W.partitionBy(*_SUBJECT).orderBy(*_ORDER))
     if state is not None:
         known = banded.join(state, list(_SUBJECT), "left")
-        banded = known.filter(
-            F.col("last_hour").isNull() | (F.col("obs_start_hour") >= F.col("last_hour"))
-        )
+        banded = known.filter(F.col("last").isNull() | (F.struct(*_ORDER) >= F.col("last")))
         before = F.coalesce(before, F.col("last_band"))
     return (
         banded.withColumn("_before", before)
@@ -35,21 +33,33 @@ def band_changes(scores: DataFrame, state: DataFrame | None = None) -> DataFrame
     )
 
 
+def late_scores(scores: DataFrame, state: DataFrame) -> DataFrame:
+    """Scores that come before their subject's last one in order (hour, tie-break, score)."""
+    known = scores.join(state, list(_SUBJECT))
+    return known.filter(F.struct(*_ORDER) < F.col("last")).select(*scores.columns)
+
+
 def next_state(scores: DataFrame, state: DataFrame) -> DataFrame:
-    """The last hour and band per subject after these scores."""
-    newest = F.struct("obs_start_hour", "tiebreak", "y_prob")
+    """The last score in order and its band per subject after these scores."""
+    newest = F.struct(*_ORDER)
     batch = scores.groupBy(*_SUBJECT).agg(
-        F.max("obs_start_hour").cast("int").alias("_hour"),
+        F.max(newest).alias("_newest"),
         F.max_by(risk_band("y_prob"), newest).alias("_band"),
     )
-    newer = F.col("last_hour").isNull() | (F.col("_hour") >= F.col("last_hour"))
+    newer = F.col("last").isNull() | (F.col("_newest") >= F.col("last"))
     return batch.join(state, list(_SUBJECT), "full_outer").select(
         *_SUBJECT,
-        F.when(newer, F.col("_hour")).otherwise(F.col("last_hour")).alias("last_hour"),
+        F.when(newer, F.col("_newest")).otherwise(F.col("last")).alias("last"),
         F.when(newer, F.col("_band")).otherwise(F.col("last_band")).alias("last_band"),
     )
 
 
+def _no_state(scores: DataFrame) -> DataFrame:
+    """A state without subjects, in the types of the scores."""
+    last = F.struct(*_ORDER).alias("last")
+    return scores.filter("false").select(*_SUBJECT, last, F.lit("").alias("last_band"))
+
+
 def batch_alerts(scores: DataFrame) -> DataFrame:
     """All alerts of a stored table."""
     return alert_columns(band_changes(scores))
@@ -58,17 +68,21 @@ def batch_alerts(scores: DataFrame) -> DataFrame:
 def write_alerts(scores: DataFrame, folder: str) -> StreamingQuery:
     """Write each batch's alerts to ``folder/alerts`` and the bands to ``folder/bands``.
 
-    Batch n reads the bands of batch n - 1 and writes its own, each in a
+    Scores that come after a later one of their subject are written to
+    ``folder/late``, so none is lost silently. Batch n reads the bands of batch n - 1 and writes its own, each in a
     sub-folder by batch number, so a batch that is run again gives the same.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        none = next_state(batch, _no_state(batch)).schema
         state = (
-            spark.read.schema(_STATE).parquet(f"{folder}/bands/batch={batch_id - 1}")
+            spark.read.schema(none).parquet(f"{folder}/bands/batch={batch_id - 1}")
             if batch_id > 0
-            else spark.createDataFrame([], _STATE)
+            else spark.createDataFrame([], none)
         )
+        late = late_scores(batch, state)
+        late.write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
         alerts = alert_columns(band_changes(batch, state))
         alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
         bands = next_state(batch, state)
@@ -84,3 +98,8 @@ def write_alerts(scores: DataFrame, folder: str) -> StreamingQuery:
 
 def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/alerts").drop("batch")
+
+
+def read_late(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores that came too late to make an alert."""
+    return spark.read.parquet(f"{folder}/late").drop("batch")

@@ -199,3 +199,12 @@ def test_hot_stay_is_split_over_buckets(spark):
     assert C.rolling_stddev(df, 300).count() == len(data)
     flagged = C.flag_near(df, df, 60)
     assert flagged.count() == len(data) and flagged.filter("sedated_flag = 1").count() == len(data)
+
+
+def test_infinite_values_have_a_place_in_the_quantiles(spark):
+    from icuflow.functions.ordering import value_bucket
+
+    values = [float("-inf"), -2.0, 0.0, 3.5, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    places = [r[0] for r in df.select(value_bucket(df["v"])).collect()]
+    assert places == sorted(places) and None not in places

@@ -251,11 +251,11 @@ def test_sinks(spark, built, tmp_path):
         "model string, subject_id long, obs_start_hour int, tiebreak long, y_true int, y_prob double",
     )
     tables = M.dashboard_tables(scores)
-    T.write_documents(tables["trend_documents"], str(tmp_path / "docs"))
+    T.write_documents(tables["trend_documents"], str(tmp_path / "docs"), per_key=True)
     (file,) = (tmp_path / "docs" / "subject_id=1").glob("*.txt")
     document = json.loads(file.read_text())
     assert [p["hour"] for p in document["predictions_timeline"]] == [0, 8]
-    T.write_documents(tables["explanations"], str(tmp_path / "lines"), per_key=False)
+    T.write_documents(tables["explanations"], str(tmp_path / "lines"))
     lines = [json.loads(x) for f in (tmp_path / "lines").glob("*.txt") for x in f.read_text().splitlines()]
     assert sorted(d["subject_id"] for d in lines) == [1, 2]
     assert rows(T.head_sample(scores.select("subject_id", "obs_start_hour"), 1, ["subject_id", "obs_start_hour"])) == [(1, 0)]

@@ -211,6 +211,10 @@ def test_trends_lists_and_documents(spark):
     assert trends == {1: "stable", 2: "increasing", 3: "decreasing", 4: "stable"}
     top = K.high_risk(s, 2).collect()
     assert sorted(r.subject_id for r in top) == [1, 2]
+    twice = s.unionByName(s.withColumn("model", F.lit("other")))
+    listed = [(r.model, r.subject_id) for r in K.high_risk(twice, 1).collect()]
+    assert len(listed) == 2 and {m for m, _ in listed} == {"other", s.first().model}
+    assert K.high_risk(twice).count() == 2 * K.high_risk(s).count()
     summary = K.risk_summary(s).first()
     assert (summary.total_patients, summary.high_risk_count, summary.total_deaths) == (4, 4, 2)
     assert summary.low_risk_mortality_rate == 0.0 and summary.high_risk_mortality_rate == 0.5
@@ -266,3 +270,25 @@ def test_any_model_scores_in_batches(spark):
 
     scored = K.score_with(df, predict)
     assert rows(scored.filter("abs(y_prob - 2 * v) > 1e-12")) == [] and scored.count() == 10
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_missing_scores_are_refused(spark, bad):
+    scores = spark.createDataFrame([("m", 1, 0.9), ("m", 0, 0.2), ("m", 1, bad)], "model string, y_true int, y_prob double")
+    for table in (J.metrics(scores), J.confusion(scores, 0.5), J.score_histogram(scores)):
+        with pytest.raises(Exception, match="y_prob must be a number"):
+            table.collect()
+
+
+def test_cells_add_up_and_small_tables_are_broadcast(spark):
+    scores = spark.createDataFrame([("m", i % 2, i / 50) for i in range(50)], "model string, y_true int, y_prob double")
+    own = spark.createDataFrame([("m", 0.3)], "model string, threshold double")
+    for cells in (J.confusion(scores, own), J.confusion(scores, 0.5)):
+        r = cells.first()
+        assert r.tn + r.fp + r.fn + r.tp == 50
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = J.confusion(scores, own)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

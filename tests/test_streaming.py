@@ -55,6 +55,7 @@ def test_alerts_remember_the_last_band(spark, tmp_path):
         spark.createDataFrame(part, SCORE).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCORE).parquet(source)
         A.write_alerts(stream, str(tmp_path)).awaitTermination()
+    assert rows(A.read_late(spark, str(tmp_path)), "subject_id", "obs_start_hour") == [(1, 4)]
     got = rows(A.read_alerts(spark, str(tmp_path)), "subject_id", "obs_start_hour", "risk_level")
     assert got == [
         (1, 0, "Low"), (1, 24, "High"), (2, 0, "High"), (2, 8, "Medium"), (3, 0, "Medium")
@@ -77,4 +78,4 @@ def test_work_folder_follows_the_session(spark):
     assert work_folder(Session("yarn", "hdfs://shared/tmp"), "x").startswith("hdfs://shared/tmp/x-")
     assert work_folder(spark, "x") != work_folder(spark, "x")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        work_folder(Session("yarn"), "x")
+        work_folder(Session("local[4]"), "x")
