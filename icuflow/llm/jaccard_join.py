@@ -351,6 +351,9 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
         pairs = met.join(first, "token").filter(f"key_root <> first.key_root AND {rule.sizes_fit('first.n')}")
         return pairs.groupBy("key", F.col("first.key").alias("partner")).agg(F.count(F.lit(1)).alias("shared"))
 
+    def connected(links: DataFrame) -> DataFrame:
+        return cut(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     links, tried = [], []
     for seed in range(ROUNDS):
@@ -359,8 +362,7 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
         tried.append(cut(best, "best"))
         if tried[-1].isEmpty():
             break
-        links.append(_verify(tried[-1], classes, docs, rule))
-        roots = cut(components(reduce(DataFrame.unionByName, links)), "roots")
+        roots = connected(_verify(tried[-1], classes, docs, rule))
 
     rest = place(place(candidates.select("key", "partner"), "key"), "partner").filter("key_root <> partner_root").select("key", "partner")
     rest = cut(rest.join(tried[0], ["key", "partner"], "left_anti"), "rest")
@@ -373,7 +375,7 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
     if not outside.isEmpty():
         links.append(_against_all(outside, meeting, classes, docs, rule))
     if links:
-        roots = cut(components(reduce(DataFrame.unionByName, links)), "roots")
+        roots = connected(reduce(DataFrame.unionByName, links))
 
     keyed = place(classes.select("key", "fp", "rep"), "key")
     lowest = keyed.groupBy("key_root").agg(F.min("rep").alias("component_id"))
