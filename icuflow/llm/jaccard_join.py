@@ -18,7 +18,7 @@ from icuflow.llm.components import components
 from icuflow.llm.text import SPACED, mix, shingles, words
 
 _BITS = 22
-ROUNDS = 3
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -273,43 +273,48 @@ def linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
 
 
 def _against_all(keys: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule, block_bytes: int = 4 << 20) -> DataFrame:
-    """The stored links (a, b) of some query classes with any member: sets of a block of queries are broadcast,
-    every member's document counts its common tokens with all of them, and only links leave a task."""
+    """The stored links (a, b) of some query classes with the components of all members (key, root).
+
+    Sets of a block of queries are broadcast; each task counts the tokens that its members share with all of
+    them, and a query leaves it once for each component that it links with. The sets of all members are stored.
+    """
 
     def tokens(texts: pa.Array) -> pa.RecordBatch:
         found = list(shingle_sets(texts, rule.words))
         return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.binary()) for f in (fingerprint, np.ndarray.tobytes)], names=["fp", "tokens"])
 
-    picked = _Texts(classes, keys, docs)
-    queries = cut(picked.map(tokens, "fp binary, tokens binary").join(picked.needed.select("key", "fp"), "fp").select("key", "tokens").dropDuplicates(["key"]), "queries")
-    size = queries.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    n = -(-size // block_bytes)
-    everyone = _Texts(classes, members, docs)
-    out = None
+    picked = _Texts(classes, members, docs)
+    found = picked.map(tokens, "fp binary, tokens binary").join(picked.needed.select("key", "fp"), "fp").dropDuplicates(["fp"])
+    everyone = cut(found.select("key", "tokens").join(members, "key"), "members")
+    queries = everyone.join(keys, "key", "left_semi")
+    n = -(-(queries.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // block_bytes)
+    out = []
     for i in range(n):
-        block = queries.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == i).collect()
+        block = queries.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == i).select("key", "tokens").collect()
         sets = [np.frombuffer(r["tokens"], np.uint64) for r in block]
-        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        flat = np.concatenate([np.empty(0, np.uint64), *sets])
         order = np.argsort(flat, kind="stable")
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
-        shared = docs.sparkSession.sparkContext.broadcast((flat[order], owner, np.array([len(s) for s in sets]), np.array([r["key"] for r in block], np.int64)))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)[order]
+        shared = docs.sparkSession.sparkContext.broadcast((flat[order], owner, sizes, np.array([r["key"] for r in block], np.int64)))
 
-        def meet(texts: pa.Array, shared=shared) -> pa.RecordBatch:
+        def meet(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             flat, owner, sizes, names = shared.value
-            keys, fps = [], []
-            for x in shingle_sets(texts, rule.words):
-                low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-                each = high - low
-                common = np.bincount(owner[np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())], minlength=len(sizes)) if each.any() else np.zeros(len(sizes), np.int64)
-                hit = np.flatnonzero((common > 0) & (rule.den * common >= rule.num * (len(x) + sizes - common)))
-                keys += names[hit].tolist()
-                fps += [fingerprint(x)] * len(hit)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps, pa.binary())], names=["a", "fp"])
-
-        found = everyone.map(meet, "a long, fp binary").join(everyone.needed.select(F.col("key").alias("b"), "fp"), "fp").filter("a <> b").select("a", "b")
-        found = cut(found, "links")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else classes.select(F.col("key").alias("a"), F.col("key").alias("b")).filter("false")
+            for batch in batches:
+                met: set[tuple[int, int]] = set()
+                for x, key, root in zip(batch.column("tokens"), batch.column("key").to_pylist(), batch.column("root").to_pylist(), strict=True):
+                    x = np.frombuffer(x.as_buffer(), np.uint64)
+                    low = np.searchsorted(flat, x, "left")
+                    each = np.searchsorted(flat, x, "right") - low
+                    same = owner[np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())]
+                    common = np.bincount(same, minlength=len(sizes))
+                    hit = (common > 0) & (names != key) & (rule.den * common >= rule.num * (len(x) + sizes - common))
+                    met.update((q, root) for q in names[hit].tolist())
+                pairs = sorted(met)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        out.append(cut(everyone.mapInArrow(meet, "a long, b long"), "links"))
+    return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], "a long, b long")
 
 
 def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,8 +356,9 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
         pairs = met.join(first, "token").filter(f"key_root <> first.key_root AND {rule.sizes_fit('first.n')}")
         return pairs.groupBy("key", F.col("first.key").alias("partner")).agg(F.count(F.lit(1)).alias("shared"))
 
-    def connected(links: DataFrame) -> DataFrame:
-        return cut(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return cut(components(links.unionByName(known), rounds), "roots")
 
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     links, tried = [], []
@@ -362,7 +368,7 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
         tried.append(cut(best, "best"))
         if tried[-1].isEmpty():
             break
-        roots = connected(_verify(tried[-1], classes, docs, rule))
+        roots = connected(_verify(tried[-1], classes, docs, rule), 1)
 
     rest = place(place(candidates.select("key", "partner"), "key"), "partner").filter("key_root <> partner_root").select("key", "partner")
     rest = cut(rest.join(tried[0], ["key", "partner"], "left_anti"), "rest")
@@ -373,7 +379,8 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
     outside = place(meeting, "key").join(largest.filter("parts > 1"), "token").filter("key_root <> largest").select("key").distinct()
     outside = cut(outside, "outside")
     if not outside.isEmpty():
-        links.append(_against_all(outside, meeting, classes, docs, rule))
+        members = place(meeting.select("key").distinct(), "key").withColumnRenamed("key_root", "root")
+        links.append(_against_all(outside, members, classes, docs, rule))
     if links:
         roots = connected(reduce(DataFrame.unionByName, links))
 
