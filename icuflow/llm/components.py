@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 from icuflow.functions.cut import cut
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b): root is the smallest node of its component.
 
-    With ``rounds`` it stops after so many: a root is then a node of the component, not always the smallest.
-
     Large-star and small-star steps in turn: each node links its greater neighbours, then its smaller
     ones, to the smallest it knows. The number of rounds grows with the logarithm of the longest path;
     the table never grows. Every step is written to the shared folder, so lineage stays short.
     """
     a, b = F.col("a"), F.col("b")
     edges = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
-    before, done = None, 0
+    before = None
     while True:
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
@@ -28,9 +26,6 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(b.alias("a"), F.col("low").alias("b")).filter("a <> b")
         edges = cut(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
-        done += 1
-        if done == rounds:
-            break
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -356,10 +356,6 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
         pairs = met.join(first, "token").filter(f"key_root <> first.key_root AND {rule.sizes_fit('first.n')}")
         return pairs.groupBy("key", F.col("first.key").alias("partner")).agg(F.count(F.lit(1)).alias("shared"))
 
-    def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
-        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        return cut(components(links.unionByName(known), rounds), "roots")
-
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     links, tried = [], []
     for seed in range(ROUNDS):
@@ -368,7 +364,9 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
         tried.append(cut(best, "best"))
         if tried[-1].isEmpty():
             break
-        roots = connected(_verify(tried[-1], classes, docs, rule), 1)
+        links.append(_verify(tried[-1], classes, docs, rule))
+        # Not whole components yet, but near copies that met a pivot share it; that is enough to choose who is checked.
+        roots = cut(reduce(DataFrame.unionByName, links).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "roots")
 
     rest = place(place(candidates.select("key", "partner"), "key"), "partner").filter("key_root <> partner_root").select("key", "partner")
     rest = cut(rest.join(tried[0], ["key", "partner"], "left_anti"), "rest")
@@ -382,7 +380,7 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
         members = place(meeting.select("key").distinct(), "key").withColumnRenamed("key_root", "root")
         links.append(_against_all(outside, members, classes, docs, rule))
     if links:
-        roots = connected(reduce(DataFrame.unionByName, links))
+        roots = cut(components(reduce(DataFrame.unionByName, links)), "roots")
 
     keyed = place(classes.select("key", "fp", "rep"), "key")
     lowest = keyed.groupBy("key_root").agg(F.min("rep").alias("component_id"))
