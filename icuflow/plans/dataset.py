@@ -15,8 +15,9 @@ from icuflow.functions.cut import cut
 from icuflow.operators import bins as B
 from icuflow.operators import clean as C
 from icuflow.operators import features as G
+from icuflow.operators import quality as H
 from icuflow.operators import windows as W
-from icuflow.operators.cohort import select_cohort
+from icuflow.operators.cohort import cohort_attrition, select_cohort
 from icuflow.params import Params
 
 STAY_KEYS = ("subject_id", "hadm_id", "stay_id")
@@ -131,10 +132,12 @@ def build_bins(readings: DataFrame, cohort: DataFrame, p: Params = Params()) ->
 
 
 def build_dataset(tables: dict[str, DataFrame], p: Params = Params()) -> dict[str, DataFrame]:
-    """Cohort, readings, bins, windows, dataset and reports from the six raw tables."""
-    cohort = cut(
-        select_cohort(tables["patients"], tables["admissions"], tables["icustays"], p), "cohort"
-    )
+    """Cohort, readings, bins, windows, dataset and reports from the six raw tables.
+
+    The reports (attrition, counts, coverage, missing rates, checks) run only when they are read.
+    """
+    dimensions = (tables["patients"], tables["admissions"], tables["icustays"])
+    cohort = cut(select_cohort(*dimensions, p), "cohort")
     readings = cut(
         clean_readings(
             tables["chartevents"], tables["inputevents"], tables["procedureevents"], cohort, p
@@ -153,4 +156,23 @@ def build_dataset(tables: dict[str, DataFrame], p: Params = Params()) -> dict[st
         "coverage": B.coverage(bins),
         "missing": B.missing_rate(bins, FEATURES),
         "window_summary": W.window_summary(windows),
+        "attrition": cohort_attrition(*dimensions, p),
+        "window_counts": W.window_stats(
+            W.candidate_windows(bins, cohort, FEATURES, p, sequences=False), p
+        ),
+        "health": H.tensor_health(windows),
+        "class_balance": H.class_balance(windows),
     }
+
+
+def impute_dataset(
+    bins: DataFrame, windows: DataFrame, cohort: DataFrame, p: Params = Params()
+) -> DataFrame:
+    """The dataset of stored windows with sequences taken again from imputed bins.
+
+    Labels, bounds and completeness stay those of the original bins.
+    """
+    imputed = G.impute(bins.select("subject_id", "stay_id", "bin", *FEATURES), FEATURES)
+    keys = ["stay_id", "window_id"]
+    filled = W.assemble_sequences(windows.select(*keys), imputed, FEATURES, p).select(*keys, "x")
+    return G.finalize(windows.drop("x").join(filled, keys), cohort, FEATURES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +54,32 @@ def evaluation_tables(scores: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def dashboard_tables(scores: DataFrame) -> dict[str, DataFrame]:
-    """Timelines, trends, high-risk list, summary and documents for all scored subjects."""
+def blend_best(
+    scores: DataFrame, keys: Sequence[str], metric: str = "auc_roc", k: int = 2
+) -> DataFrame:
+    """The blend of the ``k`` best models, weighted by their metric on the same scores."""
+    best = J.rank_models(J.metrics(scores), metric, k).select("model", F.col(metric).alias("weight"))
+    return J.blend(scores, best, keys)
+
+
+def dashboard_tables(
+    scores: DataFrame, windows: DataFrame | None = None, features: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """Timelines, trends, high-risk list, summary and documents for all scored subjects.
+
+    With the scored ``windows`` and the names of their features also the features' importance.
+    """
+    importance = {}
+    if windows is not None:
+        per_model = K.variance_importance(windows, scores, features)
+        importance = {"importance": per_model, "global_importance": K.global_importance(per_model)}
     return {
+        **importance,
         "timelines": K.risk_timeline(scores),
         "trends": K.risk_trend(scores),
         "subjects": K.subject_risk(scores),
         "high_risk": K.high_risk(scores),
-        "summary": K.risk_summary(scores),
+        "summary": K.risk_summary(scores, J.roc_auc(scores)),
         "explanations": K.explanation_docs(scores),
         "trend_documents": K.trend_docs(scores),
         "performance": K.performance_table(J.metrics(scores)),

@@ -230,6 +230,16 @@ def test_model_input_and_tables(built):
     assert not (subjects[0] & subjects[2]) and not (subjects[0] & subjects[1])
 
 
+def test_reports_and_imputed_dataset(built):
+    _, _, result, _ = built
+    counts = result["window_counts"].first()
+    assert counts.created == result["windows"].count() and counts.total_possible >= counts.created
+    assert result["attrition"].count() > 0 and result["class_balance"].count() == 1
+    assert result["health"].first().x_inf == 0
+    imputed = D.impute_dataset(result["bins"], result["windows"], result["cohort"], P)
+    assert imputed.count() == result["dataset"].count() and set(imputed.columns) == set(result["dataset"].columns)
+
+
 def test_cleaning_plan_pushes_items_down(built):
     _, _, result, tables = built
     plan = (

@@ -10,6 +10,7 @@ from icuflow.functions.ordering import hash_ranked, ranked, running_totals, valu
 from icuflow.operators import evaluate as J
 from icuflow.operators import risk as K
 from icuflow.operators import sampling as S
+from icuflow.plans import model as M
 
 SCORE = "model string, subject_id long, obs_start_hour int, tiebreak long, y_true int, y_prob double"
 
@@ -280,6 +281,13 @@ def test_missing_scores_are_refused(spark, bad):
             table.collect()
 
 
+def test_best_models_are_blended(spark):
+    rows_ = [(m, s, s % 2, p) for s in range(20) for m, p in (("a", 0.2 + 0.6 * (s % 2)), ("b", 0.4 + 0.1 * (s % 3)), ("c", 0.5))]
+    scores = spark.createDataFrame(rows_, "model string, subject_id long, y_true int, y_prob double")
+    mixed = M.blend_best(scores, ["subject_id"])
+    assert mixed.count() == 20 and mixed.filter("y_true = 1").selectExpr("min(y_prob) AS p").first().p > 0.5
+
+
 def test_cells_add_up_and_small_tables_are_broadcast(spark):
     scores = spark.createDataFrame([("m", i % 2, i / 50) for i in range(50)], "model string, y_true int, y_prob double")
     own = spark.createDataFrame([("m", 0.3)], "model string, threshold double")
