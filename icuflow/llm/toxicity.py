@@ -23,6 +23,8 @@ FILTERS = 4  # of each width
 SIZE = 12  # of an embedding
 GUESS_BITS = 13
 BLOCK = 1 << 17  # words
+SPAN, STEPS = 16, 32  # thresholds are chosen among log odds from -SPAN to SPAN, so many to one
+BINS = 2 * SPAN * STEPS
 
 
 def word_rows(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,6 +116,10 @@ class Model:
     thresholds: np.ndarray = field(default_factory=lambda: np.array([0.5]))
     default: float = 0.0
 
+    def languages(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The guessed languages of texts that begin at the given words."""
+        return np.add.reduceat(self.guess[(mix(hashes) >> np.uint64(64 - GUESS_BITS)).astype(np.int64)], starts, axis=0).argmax(axis=1)
+
     def scores(self, rows: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Scores of texts given by their words; the language's threshold is moved to 0.5."""
         n = len(offsets) - 1
@@ -123,8 +129,7 @@ class Model:
             return out
         starts = offsets[full]
         raw = 1 / (1 + np.exp(-self.net.logits(rows, starts)))
-        votes = np.add.reduceat(self.guess[(mix(hashes) >> np.uint64(64 - GUESS_BITS)).astype(np.int64)], starts, axis=0)
-        t = self.thresholds[votes.argmax(axis=1)]
+        t = self.thresholds[self.languages(hashes, starts)]
         out[full] = np.where(raw < t, 0.5 * raw / t, 0.5 + 0.5 * (raw - t) / (1 - t))
         return np.clip(out, 0.0, 1.0)
 
@@ -201,38 +206,85 @@ def fit_net(texts: list[np.ndarray], truth: np.ndarray, epochs: int, batch: int,
     return net
 
 
-def calibrate(raw: np.ndarray, truth: np.ndarray, language: np.ndarray, n: int, least: int = 20) -> np.ndarray:
-    """For each language the threshold with the best F1; languages with fewer than ``least`` toxic texts use all texts'."""
+def calibrate(counts: np.ndarray, least: int = 20) -> np.ndarray:
+    """For each language the threshold with the best F1 over all its labelled texts.
+
+    ``counts`` has, by language, bin of the log odds, class and number (texts, weight), how many texts there are and
+    how many they stand for. Languages with fewer than ``least`` toxic texts use all texts' threshold.
+    """
 
-    def best(p: np.ndarray, y: np.ndarray) -> float:
-        if not y.any() or y.all():
+    def best(weight: np.ndarray) -> float:
+        positive = weight[:, 1].sum()
+        if not positive or positive == weight.sum():
             return 0.5
-        order = np.argsort(-p)
-        hit = np.cumsum(y[order])
-        f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-        f1[:-1][p[order][:-1] == p[order][1:]] = 0
-        at = int(f1.argmax())
-        low = p[order][at + 1] if at + 1 < len(y) else 0.0
-        return float(np.clip((p[order][at] + low) / 2, 0.01, 0.99))
+        bins = np.flatnonzero(weight.sum(axis=1))[::-1]
+        hit, marked = np.cumsum(weight[bins, 1]), np.cumsum(weight[bins].sum(axis=1))
+        at = int((2 * hit / (marked + positive)).argmax())
+        edges = _chance(bins[at : at + 2])
+        return float(edges.mean() if len(edges) == 2 else edges[0] / 2)
+
+    overall = best(counts[..., 1].sum(axis=0))
+    return np.array([best(c[..., 1]) if c[:, 1, 0].sum() >= least else overall for c in counts])
+
+
+def _chance(bins: np.ndarray) -> np.ndarray:
+    """The score in the middle of bins of the log odds."""
+    return 1 / (1 + np.exp(SPAN - (bins + 0.5) / STEPS))
+
+
+def labelled_counts(docs: DataFrame, known: DataFrame, fitted: DataFrame, model: Model, max_chars: int) -> np.ndarray:
+    """Counts for ``calibrate`` of all labelled rows with words, of any length.
 
-    overall = best(raw, truth)
-    return np.array([best(raw[language == j], truth[language == j]) if truth[language == j].sum() >= least else overall for j in range(n)])
+    Rows that the weights were fitted on score too well, so those of a language, class and length (up to ``max_chars``
+    or beyond) are stood for by the rows that were not, in equal parts; they count themselves where there are no others.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pa.Array) -> list:
+        language, bins = np.full(len(texts), -1, np.int32), np.zeros(len(texts), np.int32)
+        for first, rows, hashes, offsets in word_rows(texts):
+            full = np.flatnonzero(np.diff(offsets))
+            if len(full):
+                starts = offsets[full]
+                language[first + full] = shared.value.languages(hashes, starts)
+                logits = shared.value.net.logits(rows, starts)
+                bins[first + full] = np.clip(np.floor((logits + SPAN) * STEPS), 0, BINS - 1)
+        return [language, bins]
+
+    rows = docs.filter(F.col("text").isNotNull()).select("id", "text", (F.length("text") > max_chars).alias("long"))
+    rows = add_columns(rows, "text", run, "language int, bin int").drop("text").filter("language >= 0")
+    marks = known.join(F.broadcast(fitted.withColumn("used", F.lit(True))), ["id", "y"], "left").fillna(False, ["used"])
+    found = rows.join(marks, "id").groupBy("language", "bin", "y", "long", "used").count().collect()
+    out = np.zeros((model.guess.shape[1], BINS, 2, 2))
+    if not found:
+        return out
+    language, bins, y, long, used, n = (np.array([r[k] for r in found]) for k in ("language", "bin", "y", "long", "used", "count"))
+    group = (language * 2 + y) * 2 + long
+    every, rest = np.bincount(group, n), np.bincount(group, n * ~used)
+    counted = ~used | (rest[group] == 0)
+    stands = np.where(rest[group] == 0, 1.0, every[group] / np.maximum(rest[group], 1))
+    at = language[counted], bins[counted], y[counted]
+    np.add.at(out[..., 0], at, n[counted])
+    np.add.at(out[..., 1], at, (n * stands)[counted])
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = 2000, max_chars: int = 20_000, epochs: int = 6, batch: int = 64, seed: int = 11) -> Model:
-    """The classifier, fitted on a bounded sample: at most ``per_class`` labelled texts of each class, up to
-    ``max_chars`` characters long, chosen by a hash of their id, none of them held out.
+    """The classifier. Its weights are fitted on a bounded sample: of each class the first three quarters of the
+    labelled texts by a hash of their id, at most ``per_class``, those up to ``max_chars`` characters long, none held out.
 
-    A quarter of the sample sets the thresholds. Their languages, like those of texts to score, are guessed
-    from words. Without both classes every text scores the share of toxic ones (0 without labels).
+    All labelled texts that are not held out, of any length, set the thresholds, each class with its share in the
+    corpus. Their languages, like those of texts to score, are guessed from words. Without both classes every text
+    scores the share of toxic ones (0 without labels).
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out(F.col("id"))).distinct()
+    sizes = dict(known.groupBy("y").count().collect())
     chosen = None
     for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(per_class)
+        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(per_class, -(-sizes.get(y, 0) * 3 // 4)))
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(chosen), "id").select("id", "y", "lang", "text")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")))
+    rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(chosen), "id").select("id", "y", "lang", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,15 +307,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for t, r in zip(texts, found, strict=True):
         np.add.at(votes[:, place[r["lang"] or ""]], (mix(np.unique(t)) >> np.uint64(64 - GUESS_BITS)).astype(np.int64), 1)
     guess = np.log(votes / votes.sum(axis=0)).astype(np.float32)
-    cut = max(1, len(texts) * 3 // 4)
-    net = fit_net(rows[:cut], truth[:cut], epochs, batch, seed).freeze()
+    net = fit_net(rows, truth, epochs, batch, seed).freeze()
     model = Model(net, guess, np.full(len(names), 0.5))
-    hashes, offsets = _join(texts[cut:] or texts)
-    y = truth[cut:] if len(texts) > cut else truth
-    raw = 1 / (1 + np.exp(-net.logits(_join(rows[cut:] or rows)[0], offsets[:-1])))
-    language = np.add.reduceat(guess[(mix(hashes) >> np.uint64(64 - GUESS_BITS)).astype(np.int64)], offsets[:-1], axis=0).argmax(axis=1)
-    model.thresholds = calibrate(raw, y, language, len(names))
-    model.default = float(raw.min() * 0.5)
+    counts = labelled_counts(docs, known, chosen, model, max_chars)
+    model.thresholds = calibrate(counts)
+    scored = np.flatnonzero(counts[..., 0].sum(axis=(0, 2)))
+    model.default = float(_chance(scored[:1])[0] * 0.5)
     return model
 
 

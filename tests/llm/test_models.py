@@ -89,6 +89,23 @@ def test_toxicity_held_out(llm):
     assert found[1000]["score"] == found[1001]["score"] and found[1000]["predicted"] == 0
 
 
+def test_toxicity_thresholds_know_how_common_the_classes_are(llm):
+    """A word of half the toxic texts stands in more clean ones: marking it lowers F1 unless the classes are balanced."""
+    rows, toxic = [], set()
+    for i, text, _ in speech(900):
+        if i % 10 == 0:
+            toxic.add(i)
+        extra = {0: "idiot", 10: "grey"}.get(i % 20, "grey" if i % 20 in (1, 2, 3) else "plain")
+        # Most clean texts are beyond max_chars: they set the thresholds too.
+        rows.append((i, text.replace(" ", f" {extra} ", 1) + (" ship" * 80 if i % 20 in (1, 2, 4, 5, 6) else ""), "en"))
+    labels = llm.createDataFrame([(i, int(i in toxic)) for i, _, _ in rows], "doc_id long, toxic int")
+    df = frame(llm, rows)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, toxicity.train(df, labels, per_class=60, max_chars=400)).collect()}
+    kept = [i for i, _, _ in rows if held(i)]
+    assert np.mean([found[i] for i in kept if i % 20 == 0]) > 0.9
+    assert np.mean([found[i] for i in kept if i % 20 in (1, 2, 3, 10)]) < 0.1
+
+
 def test_toxicity_without_labels(llm):
     df, none = frame(llm, speech(5)), llm.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(df, toxicity.train(df, none)).collect()} == {0.0}
