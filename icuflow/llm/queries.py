@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, license_scan, pii, quality, token_counts, toxicity
+from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, license_scan, pii, quality, spelling, token_counts, toxicity
 from icuflow.llm.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,43 @@ FROM plain WINDOW same AS (PARTITION BY t)
 @query
 def op10_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality.resample(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query
+def op13_spelling(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.variants(table(spark, root, "documents"))
+
+
+#: crc32 byte by byte; its table follows from the polynomial. The letters beyond ASCII have two bytes, 195 and their number less 64.
+SQL["op13_spelling"] = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce([CAST(b AS UBIGINT)] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) u(b)),
+seen AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+        FROM documents)
+  GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+           lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::UBIGINT] ELSE [195::UBIGINT, (ord(c) - 64)::UBIGINT] END)),
+           lambda c, b: xor(c >> 8, t[1 + xor(c % 256, b)::BIGINT])), 4294967295) AS h
+  FROM seen, crc),
+word AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN run[:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+part AS (SELECT DISTINCT word, i, word[:i] || word[i + 2:] AS rest FROM word, unnest(range(0, length(word))) u(i)),
+near AS (
+  SELECT a.word, b.word AS other FROM part a JOIN part b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT part.word, word.word FROM part JOIN word ON word.word = rest
+  UNION SELECT word.word, part.word FROM part JOIN word ON word.word = rest),
+best AS (
+  SELECT near.word, count(*) AS n_near, min_by(other, (-o.n, other)) AS other, max(o.n) AS other_n
+  FROM near JOIN word o ON o.word = near.other GROUP BY near.word),
+form AS (SELECT word.word, other AS form, other_n AS form_n FROM word JOIN best ON best.word = word.word WHERE other_n >= 10 * n),
+chain AS (SELECT word, form AS root FROM form UNION ALL SELECT chain.word, form.form FROM chain JOIN form ON form.word = chain.root)
+SELECT word.word, form.form, coalesce(last.root, word.word) AS root, word.n, coalesce(best.n_near, 0) AS n_near, form.form_n
+FROM word LEFT JOIN best ON best.word = word.word LEFT JOIN form ON form.word = word.word
+     LEFT JOIN (SELECT chain.word, chain.root FROM chain LEFT JOIN form ON form.word = chain.root WHERE form.word IS NULL) last ON last.word = word.word
+"""
