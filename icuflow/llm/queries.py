@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, license_scan, pii, quality, spelling, token_counts, toxicity
+from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, license_scan, periodic, pii, quality, spelling, token_counts, toxicity
 from icuflow.llm.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +179,46 @@ def op10_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality.resample(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+def replanted(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents repeat a part of their words to the end; a null id is never among them."""
+
+    def repeat(i: int | None, text: bytes) -> bytes:
+        h = zlib.crc32(str(i).encode())
+        if i is None or h % 10:
+            return text
+        words = text.split()
+        if not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return b" ".join(words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [repeat(i.as_py(), bytes(t.as_buffer()) if t.is_valid else b"") for i, t in zip(*batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string")
+
+
+@query
+def op12_periodic(spark: SparkSession, root: str) -> DataFrame:
+    found = periodic.periodic_runs(replanted(table(spark, root, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n")))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def op13_spelling(spark: SparkSession, root: str) -> DataFrame:
     return spelling.variants(table(spark, root, "documents"))
