@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, license_scan, periodic, pii, quality, spelling, token_counts, toxicity
+from icuflow.llm import bpe, decontamination, exact_dedup, imatch, jaccard_join, language_id, license_scan, periodic, pii, quality, spelling, token_counts, toxicity
 from icuflow.llm.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +179,57 @@ def op10_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality.resample(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+@query
+def op11_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, root, "documents"))
+
+
+SQL["op11_fingerprints"] = r"""
+WITH ordered AS (
+  SELECT row_number() OVER o AS place, doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, md5(text))),
+part AS (
+  SELECT place, 0 AS side, text FROM ordered
+  UNION ALL SELECT place, 1, text[:length(text) - length(text) // 3] || next[:length(text) // 3] FROM ordered),
+listed AS (SELECT place, side, text, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS terms FROM part),
+scaled AS (
+  SELECT place, side, text, terms, CASE WHEN len(terms) = 0 THEN -1 ELSE least(15, length(bin(len(terms) * 4 // 3)) - 1) END AS scale FROM listed),
+term AS (
+  SELECT place, side, scale, ('0x' || md5(t)[:15])::BIGINT AS key, md5(t) || md5(t || '#') AS digits
+  FROM (SELECT place, side, scale, unnest(terms) AS t FROM scaled)),
+frequency AS (SELECT key, count(*) AS df FROM term WHERE side = 0 GROUP BY key),
+sampled AS (
+  SELECT place, side, level, r, term.key, coalesce(df >= 2 AND df * 32 <= (SELECT count(*) FROM ordered), false) AS band
+  FROM term LEFT JOIN frequency ON frequency.key = term.key, (VALUES (0), (1)) AS l(level), range(16) AS u(r)
+  WHERE scale + level = 0 OR substr(digits, 4 * r + 1, 4) < printf('%04x', 1 << (16 - scale - level))),
+chosen AS (SELECT *, bool_or(band) OVER (PARTITION BY place, side) AS any_band FROM sampled),
+signature AS (
+  SELECT place, side, level, r, md5(string_agg(CAST(key AS VARCHAR), ',' ORDER BY key))[:6] AS sig
+  FROM chosen WHERE band OR NOT any_band GROUP BY ALL),
+print AS (
+  SELECT s.place, s.side, any_value(s.scale) AS scale, any_value(s.text) AS text,
+         list(coalesce(sig, '-') ORDER BY u.r) FILTER (l.level = 0) AS fine, list(coalesce(sig, '-') ORDER BY u.r) FILTER (l.level = 1) AS coarse
+  FROM scaled s CROSS JOIN (VALUES (0), (1)) AS l(level) CROSS JOIN range(16) AS u(r)
+       LEFT JOIN signature g ON g.place = s.place AND g.side = s.side AND g.level = l.level AND g.r = u.r GROUP BY s.place, s.side),
+shown AS (
+  SELECT *, CASE WHEN scale < 0 THEN 'text:' || md5(text) ELSE concat_ws(':', scale, array_to_string(fine, '.'), array_to_string(coarse, '.')) END AS shown FROM print),
+pair AS (
+  SELECT a.place, b.side, a.shown = b.shown AS same,
+         CASE WHEN a.scale = b.scale THEN list_zip(a.fine || a.coarse, b.fine || b.coarse) WHEN a.scale = b.scale + 1 THEN list_zip(a.fine, b.coarse)
+              WHEN a.scale + 1 = b.scale THEN list_zip(a.coarse, b.fine) ELSE [] END AS zipped
+  FROM shown a JOIN shown b ON a.side = 0 AND (b.place = a.place AND b.side = 1
+       OR b.side = 0 AND b.place = a.place % (SELECT count(*) FROM ordered) + 1)),
+likeness AS (
+  SELECT place, side, CASE WHEN same THEN 1.0::DOUBLE WHEN len(used) = 0 THEN 0.0::DOUBLE
+         ELSE round(len(list_filter(used, lambda x: x[1] = x[2]))::DOUBLE / len(used), 6) END AS likeness
+  FROM (SELECT place, side, same, list_filter(zipped, lambda x: x[1] <> '-' OR x[2] <> '-') AS used FROM pair))
+SELECT o.doc_id, length(o.text) AS n_chars, sha256(b.text) AS edited_sha256, a.shown AS fingerprint, b.shown AS edited_fingerprint,
+       x.likeness AS near_edited, y.likeness AS near_next
+FROM ordered o JOIN shown a ON a.place = o.place AND a.side = 0 JOIN shown b ON b.place = o.place AND b.side = 1
+     JOIN likeness x ON x.place = o.place AND x.side = 1 JOIN likeness y ON y.place = o.place AND y.side = 0
+"""
+
+
 def replanted(docs: DataFrame) -> DataFrame:
     """doc_id and text, where a tenth of the documents repeat a part of their words to the end; a null id is never among them."""
 
