@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from icuflow.functions.cut import cut
 
 SUBSETS = 16
-_DIGITS = 4  # hexadecimal digits of a term's hash that place it in one randomised lexicon
+_BITS = 15  # a term has a number of so many bits for each randomised lexicon
 _TERM = r"[\p{L}\p{N}]+"
 _NONE = "-"
 _SEGMENTS = 128
@@ -18,7 +20,7 @@ _BROADCAST = 1_000_000
 
 
 def terms(text: Column) -> Column:
-    """The distinct terms of a text: runs of letters and digits, lower case."""
+    """The distinct terms of a text: lower-case runs of letters and digits."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
@@ -30,12 +32,19 @@ def term_key(term: Column) -> Column:
 def scale(n_terms: Column) -> Column:
     """The s at which a lexicon that keeps one term in 2**s meets 0.75 to 1.5 terms of a text; -1 for a text without terms."""
     fit = F.length(F.bin(F.floor(n_terms * 4 / 3))) - 1
-    return F.when(n_terms == 0, -1).otherwise(F.least(fit, F.lit(4 * _DIGITS - 1)))
+    return F.when(n_terms == 0, -1).otherwise(F.least(fit, F.lit(_BITS - 1)))
+
+
+def factors() -> list[tuple[int, int]]:
+    """For each randomised lexicon the odd factors, below 2**30, of the two halves of a term's 60 bits."""
+    draw = [int.from_bytes(hashlib.md5(f"lexicon {r}".encode()).digest()[:8], "big") for r in range(SUBSETS)]
+    return [(d % (1 << 30) | 1, (d >> 30) % (1 << 30) | 1) for d in draw]
 
 
-def _limits() -> Column:
-    """For each scale what the digits of a term in the lexicon are below."""
-    return F.array(F.lit("g"), *[F.lit(f"{1 << (4 * _DIGITS - s):0{_DIGITS}x}") for s in range(1, 4 * _DIGITS + 1)])
+def place_sql(a: object, b: object, shift: str = "shiftright({}, {})") -> str:
+    """SQL: the number that places a term in a randomised lexicon, from the halves ``low`` and ``high`` of its 60 bits; the term is in the lexicon
+    at scale s if the number is below 2**(15 - s)."""
+    return shift.format(f"((low * {a} + high * {b}) & {(1 << 60) - 1})", 60 - _BITS)
 
 
 def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -89,15 +98,17 @@ def _sampled(texts: DataFrame, *kept: str) -> DataFrame:
     rows = texts.select("place", "side", *facts, terms(F.col("text")).alias("terms"), F.md5(F.col("text").cast("binary")).alias("plain"))
     rows = rows.withColumn("n_terms", F.size("terms"))
     rows = rows.withColumn("scale", scale(F.col("n_terms")))
-    at = lambda s: F.element_at(_limits(), F.greatest(F.col("scale") + s, F.lit(1)))
-    rows = rows.select("place", "side", *kept, "plain", "scale", at(1).alias("limit"), at(2).alias("limit_next"), F.posexplode_outer("terms").alias("at", "term"))
-    rows = rows.withColumn("digits", F.concat(F.md5(F.col("term").cast("binary")), F.md5(F.concat("term", F.lit("#")).cast("binary"))))
-    digits = [F.substring("digits", _DIGITS * r + 1, _DIGITS) for r in range(SUBSETS)]
-    bits = [F.when(d < F.col(limit), F.lit(1 << (r + base))).otherwise(0) for base, limit in ((0, "limit"), (SUBSETS, "limit_next")) for r, d in enumerate(digits)]
-    mask = sum(bits[1:], bits[0].cast("long"))
-    rows = rows.withColumn("mask", F.coalesce(mask, F.lit(0))).filter("mask > 0 OR coalesce(at, 0) = 0")
+    limit = [F.expr(f"shiftright({1 << _BITS}, greatest(scale, 0) + {level})").alias(f"limit_{level}") for level in (0, 1)]
+    rows = rows.select("place", "side", *kept, "plain", "scale", *limit, F.posexplode_outer("terms").alias("at", "term"))
+    # A generator of one row keeps the filter above the hash, which is made once for each term.
+    rows = rows.select("*", F.explode(F.array(term_key(F.col("term")))).alias("key")).drop("term")
+    rows = rows.select("*", F.inline(F.array(F.struct((F.col("key") % (1 << 30)).alias("low"), F.shiftright("key", 30).alias("high")))))
+    rows = rows.filter(f"least({', '.join(place_sql(a, b) for a, b in factors())}) < limit_0 OR coalesce(at, 0) = 0")
+    each = place_sql(*[f"array({', '.join(f'{x[i]}L' for x in factors())})[r]" for i in (0, 1)])
+    mask = f"aggregate(sequence(0, {SUBSETS - 1}), 0L, (m, r) -> m + IF({each} < limit_0, shiftleft(1L, r), 0L) + IF({each} < limit_1, shiftleft(1L, r + {SUBSETS}), 0L))"
+    rows = rows.withColumn("mask", F.when(F.col("key").isNull(), 0).otherwise(F.expr(mask)))
     one = lambda c: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c)
-    return rows.select("place", "side", F.when(F.col("mask") > 0, term_key(F.col("term"))).alias("key"), "mask", one("scale"), one("plain"), *[one(c) for c in kept])
+    return rows.select("place", "side", F.when(F.col("mask") > 0, F.col("key")).alias("key"), "mask", one("scale"), one("plain"), *[one(c) for c in kept])
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:

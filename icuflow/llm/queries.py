@@ -184,24 +184,25 @@ def op11_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return imatch.fingerprints(table(spark, root, "documents"))
 
 
-SQL["op11_fingerprints"] = r"""
+SQL["op11_fingerprints"] = rf"""
 WITH ordered AS (
   SELECT row_number() OVER o AS place, doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next
   FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, md5(text))),
 part AS (
   SELECT place, 0 AS side, text FROM ordered
   UNION ALL SELECT place, 1, text[:length(text) - length(text) // 3] || next[:length(text) // 3] FROM ordered),
-listed AS (SELECT place, side, text, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS terms FROM part),
+listed AS (SELECT place, side, text, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS terms FROM part),
 scaled AS (
-  SELECT place, side, text, terms, CASE WHEN len(terms) = 0 THEN -1 ELSE least(15, length(bin(len(terms) * 4 // 3)) - 1) END AS scale FROM listed),
+  SELECT place, side, text, terms, CASE WHEN len(terms) = 0 THEN -1 ELSE least(14, length(bin(len(terms) * 4 // 3)) - 1) END AS scale FROM listed),
 term AS (
-  SELECT place, side, scale, ('0x' || md5(t)[:15])::BIGINT AS key, md5(t) || md5(t || '#') AS digits
-  FROM (SELECT place, side, scale, unnest(terms) AS t FROM scaled)),
+  SELECT place, side, scale, ('0x' || md5(t)[:15])::BIGINT AS key FROM (SELECT place, side, scale, unnest(terms) AS t FROM scaled)),
+placed AS (
+  SELECT *, [{', '.join(imatch.place_sql(a, b, '{} >> {}') for a, b in imatch.factors())}] AS places FROM (SELECT *, key % 1073741824 AS low, key >> 30 AS high FROM term)),
 frequency AS (SELECT key, count(*) AS df FROM term WHERE side = 0 GROUP BY key),
 sampled AS (
   SELECT place, side, level, r, term.key, coalesce(df >= 2 AND df * 32 <= (SELECT count(*) FROM ordered), false) AS band
-  FROM term LEFT JOIN frequency ON frequency.key = term.key, (VALUES (0), (1)) AS l(level), range(16) AS u(r)
-  WHERE scale + level = 0 OR substr(digits, 4 * r + 1, 4) < printf('%04x', 1 << (16 - scale - level))),
+  FROM placed term LEFT JOIN frequency ON frequency.key = term.key, (VALUES (0), (1)) AS l(level), range(16) AS u(r)
+  WHERE places[r + 1] < 1 << (15 - scale - level)),
 chosen AS (SELECT *, bool_or(band) OVER (PARTITION BY place, side) AS any_band FROM sampled),
 signature AS (
   SELECT place, side, level, r, md5(string_agg(CAST(key AS VARCHAR), ',' ORDER BY key))[:6] AS sig

@@ -22,13 +22,14 @@ def mark(text, count, n, bits=5, least=2):
     terms = words(text)
     if not terms:
         return -1, [], [], "text:" + md5(text)
-    scale = min(15, (len(terms) * 4 // 3).bit_length() - 1)
+    scale = min(14, (len(terms) * 4 // 3).bit_length() - 1)
     lexicon = {}
     for t in terms:
-        digits = md5(t) + md5(t + "#")
+        key = int(md5(t)[:15], 16)
+        numbers = [(key % 2**30 * a + key // 2**30 * b) % 2**60 // 2**45 for a, b in imatch.factors()]
         for level in (0, 1):
             for r in range(16):
-                if int(digits[4 * r : 4 * r + 4], 16) < 1 << (16 - scale - level):
+                if numbers[r] < 1 << (15 - scale - level):
                     lexicon.setdefault((level, r), []).append(t)
     sampled = {t for x in lexicon.values() for t in x}
     band = {t for t in sampled if count[t] >= least and count[t] << bits <= n}
