@@ -241,6 +241,14 @@ def union_distinct(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs).distinct()
 
 
+def _sweep_events(context: DataFrame, keys: Sequence[str], ts: str, kind: str, reach: Column) -> DataFrame:
+    """Context instants as events of the buckets they can reach."""
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in (*keys, ts)])
+    rows = context.filter(known).select(*keys, ts).withColumn("_bucket", F.explode(reach))
+    at = {"_near": F.when(F.lit(kind == "near"), seconds(ts)), "_same": F.when(F.lit(kind == "same"), F.lit(1))}
+    return rows.select(*keys, F.col(ts).alias("_at"), "_bucket", *[c.alias(n) for n, c in at.items()], F.lit(None).cast("boolean").alias("_low"))
+
+
 def clean_low_with_context(
     df: DataFrame,
     exact_context: DataFrame | None,
@@ -253,16 +261,41 @@ def clean_low_with_context(
     """Keep normal values, and low ones only with a context event; distinct rows.
 
     A low value stays when a context event has the same instant (``exact``) or
-    lies within the tolerance (``near``). Only the few low rows are joined.
+    lies within the tolerance (``near``). Readings and context are swept
+    together in time order, in buckets as wide as the tolerance at least; near events
+    are also put into the buckets beside theirs. Context is found and equal rows
+    are merged in one shuffle, and ``df`` is read once.
     """
-    normal = df.filter(F.col(value) > p.low_cut)
-    low = df.filter(F.col(value) <= p.low_cut)
-    kept = [normal]
+    width = max(p.near_seconds, 3600)
+    own = floor_div(seconds(ts), width)
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    low = F.col(value) <= p.low_cut
+    readings = df.filter(F.col(value).isNotNull()).select(
+        *keys, F.col(ts).alias("_at"), own.alias("_bucket"), F.lit(None).cast("long").alias("_near"), F.lit(None).cast("int").alias("_same"),
+        low.alias("_low"), F.struct(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)]).alias("_row"),
+    )
+    events = []
     if exact_context is not None:
-        kept.append(keep_if_same_instant(low, exact_context, keys, ts))
+        events.append(_sweep_events(exact_context, keys, ts, "same", F.array(own)))
     if near_context is not None:
-        kept.append(keep_if_near(low, near_context, p.near_seconds, keys, ts))
-    return union_distinct(*kept)
+        events.append(_sweep_events(near_context, keys, ts, "near", F.array(own - 1, own, own + 1)))
+    swept = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [readings, *events])
+    order = W.partitionBy(*keys, "_bucket").orderBy("_at")
+    second = F.unix_seconds(F.col("_at").cast("timestamp"))
+    before = F.max("_near").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+    after = F.min("_near").over(order.rangeBetween(W.currentRow, W.unboundedFollowing))
+    same = F.max("_same").over(order.rangeBetween(W.currentRow, W.currentRow))
+    near = (second - F.col("_before") <= p.near_seconds) | (F.col("_after") - second <= p.near_seconds)
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in (*keys, "_at")])
+    kept = (
+        swept.repartition(*keys, "_bucket")
+        .select("*", before.alias("_before"), after.alias("_after"), same.alias("_exact"))
+        .filter(F.col("_low").isNotNull())
+        .filter(~F.col("_low") | (known & (F.col("_exact").isNotNull() | F.coalesce(near, F.lit(False)))))
+    )
+    # Merged by the sweep's own partitioning, so equal rows meet without another shuffle.
+    merged = kept.groupBy(*keys, "_bucket", "_row").agg(F.count(F.lit(1)))
+    return merged.select(*[F.col("_row")[n].alias(c) for c, n in zip(df.columns, names, strict=True)])
 
 
 def rolling_stddev(
@@ -375,7 +408,31 @@ def fuse_sources(
 def combine_components(
     parts: Sequence[DataFrame], keys: Sequence[str] = KEYS, ts: str = "ts"
 ) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, [*keys, ts], "full_outer"), parts)
+    """The full outer join of the parts on keys and instant, as one grouping.
+
+    Rows of an instant are collected by part and multiplied out again, so an
+    instant with several rows of a part gives the rows that the joins would give.
+    Rows without a key or an instant meet nothing and stay as they are.
+    """
+    at = [*keys, ts]
+    values = [[c for c in part.columns if c not in at] for part in parts]
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in at])
+
+    def tagged(i: int, part: DataFrame) -> DataFrame:
+        row = F.struct(*values[i]).alias(f"_part{i}")
+        alone = F.when(~known, F.xxhash64(F.lit(i), *part.columns))
+        return part.select(*at, alone.alias("_alone"), row)
+
+    rows = reduce(
+        lambda x, y: x.unionByName(y, allowMissingColumns=True),
+        [tagged(i, part) for i, part in enumerate(parts)],
+    )
+    lists = [F.collect_list(f"_part{i}").alias(f"_part{i}") for i in range(len(parts))]
+    rows = rows.groupBy(*at, "_alone").agg(*lists)
+    for i in range(len(parts)):
+        rows = rows.withColumn(f"_part{i}", F.explode_outer(f"_part{i}"))
+    picked = [F.col(f"_part{i}")[c].alias(c) for i, cs in enumerate(values) for c in cs]
+    return rows.select(*at, *picked)
 
 
 def derive_map(
@@ -400,23 +457,61 @@ def clean_pressure(
     value: str = "value",
     range_mode: str = "filter",
 ) -> DataFrame:
-    """All pressure components by instant, mean pressure filled in."""
+    """All pressure components by instant, mean pressure filled in.
+
+    Equal to fusing primary and fallback of each component and joining the
+    components by full outer joins, in one scan and one shuffle: readings go to their
+    stay's time buckets (primary ones near the end of a bucket also to the next, as history), the
+    deviation of each primary series is taken there, and the readings of an
+    instant are grouped by source. Where an instant has several readings of a
+    source they are multiplied out as the joins would. Readings without an instant take no part.
+    """
+    if range_mode not in ("filter", "flag"):
+        raise ValueError(f"unknown range_mode {range_mode!r}")
     ids = [i for c in components for i in (*c.primary, *c.fallback)]
-    rows = filter_channels(readings, ids, column)
+    rows = filter_channels(readings, ids, column).filter(F.col(ts).isNotNull())
     if cohort is not None:
         rows = restrict_to(rows, cohort, keys)
-    rows = rows.select(*keys, ts, column, value)
-    parts = [
-        fuse_sources(
-            filter_channels(rows, c.primary, column),
-            filter_channels(rows, c.fallback, column),
-            c,
-            p,
-            keys,
-            ts,
-            value,
-            range_mode=range_mode,
+    roles = []  # even: primary of a component, odd: its fallback
+    for i, c in enumerate(components):
+        good = in_range(F.col(value), c.lo, c.hi) if range_mode == "filter" else F.lit(True)
+        for j, source in enumerate((c.primary, c.fallback)):
+            roles.append(F.when(F.col(column).isin(*source) & good, F.lit(2 * i + j)))
+    rows = rows.select(*keys, ts, value, F.explode(F.array_compact(F.array(*roles))).alias("_role"))
+
+    primary = F.col("_role") % 2 == 0
+    width = max(3600, p.flat_seconds, 1)
+    own = floor_div(F.col("_s"), width)
+    reaches = primary & (F.col("_s") + p.flat_seconds >= (own + 1) * width)
+    rows = rows.withColumn("_s", seconds(ts)).withColumn(
+        "_bucket", F.explode(F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own)))
+    )
+    series = W.partitionBy(*keys, "_bucket", "_role").orderBy("_s").rangeBetween(-p.flat_seconds, 0)
+    rows = flag_flatline(
+        rows.repartition(*keys, "_bucket").withColumn(
+            "rolling_std", F.stddev_samp(F.when(primary, F.col(value))).over(series)
+        ),
+        p.flat_std,
+    ).filter(F.col("_bucket") == own)
+    if range_mode == "flag":
+        inside = reduce(
+            lambda otherwise, ic: F.when(F.col("_role") == 2 * ic[0], F.col(value).between(ic[1].lo, ic[1].hi)).otherwise(otherwise),
+            enumerate(components),
+            F.lit(None).cast("boolean"),
         )
-        for c in components
-    ]
-    return derive_map(combine_components(parts, keys, ts))
+        rows = rows.withColumn("is_valid", inside & F.col("is_valid"))
+
+    def listed(role: int) -> Column:
+        mine = F.when(F.col("_role") == role, F.struct(F.col(value).alias("v"), F.col("is_valid").alias("ok")))
+        return F.collect_list(mine).alias(f"_role{role}")
+
+    grouped = rows.groupBy(*keys, "_bucket", ts).agg(*[listed(r) for r in range(len(roles))])
+    for i, c in enumerate(components):
+        first, second = f"_role{2 * i}", f"_role{2 * i + 1}"
+        grouped = grouped.withColumn("_seen", (F.size(first) > 0) | (F.size(second) > 0))
+        grouped = grouped.withColumn(first, F.explode_outer(first)).withColumn(second, F.explode_outer(second))
+        grouped = grouped.withColumns({"_primary": F.col(first)["v"], "_ok": F.col(first)["ok"], "_fallback": F.col(second)["v"]})
+        grouped = prefer_source(grouped, "_primary", "_fallback", "_ok", f"final_{c.name}", f"{c.name}_source")
+        grouped = grouped.withColumn(f"{c.name}_source", F.when(F.col("_seen"), F.col(f"{c.name}_source")))
+    names = [n for c in components for n in (f"final_{c.name}", f"{c.name}_source")]
+    return derive_map(grouped.select(*keys, ts, *names))

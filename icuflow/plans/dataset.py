@@ -56,7 +56,7 @@ def respiration_readings(
 ) -> DataFrame:
     """Respiration: range, quantile trim, low values only under ventilation."""
     rr = P.RESPIRATION
-    kept = C.clean_channel(readings, cohort, rr, STAY_KEYS)
+    kept = cut(C.clean_channel(readings, cohort, rr, STAY_KEYS), "respiration")
     trimmed = C.trim_quantiles(kept, p.trim_low, p.trim_high)
     ventilated = C.restrict_to(
         C.filter_channels(readings, P.VENTILATOR_CHART_IDS), cohort, STAY_KEYS

@@ -388,6 +388,35 @@ def combine_components(spark, root):
     return C.derive_map(C.combine_components(parts, ts="day"))
 
 
+PRESSURE = (
+    PressureComponent("sbp", ("view",), ("click",), 1.0, 60.0),
+    PressureComponent("dbp", ("signup",), ("purchase",), 1.0, 60.0),
+    PressureComponent("map", ("error",), ("click",), 1.0, 60.0),
+)
+
+
+def _pressure(spark, root, mode: str) -> DataFrame:
+    """Instants are days here, so most hold several readings of a source."""
+    rows = V.readings(spark, root).withColumn("ts", F.date_trunc("day", "ts"))
+    cohort = V.stays(spark, root).filter("stay_id % 5 <> 0")
+    return C.clean_pressure(rows, cohort, PRESSURE, PARAMS, column="channel", range_mode=mode)
+
+
+@query
+def clean_pressure(spark, root):
+    return _pressure(spark, root, "filter")
+
+
+@query
+def clean_pressure_flagged(spark, root):
+    return _pressure(spark, root, "flag")
+
+
+@query
+def require_rows(spark, root):
+    return C.require_rows(_channel(spark, root, "view"), "view")
+
+
 # Bins
 
 

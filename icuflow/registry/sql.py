@@ -87,6 +87,8 @@ CTE: dict[str, str] = {
                      CAST(ceil((epoch_us(coalesce(deathtime, outtime)) - epoch_us(intime))
                                / {DAY_US}.0) AS INT)) AS n
         FROM v_stays""",
+    "daily": """
+        SELECT stay_id, date_trunc('day', ts) AS ts, channel, value FROM v_readings WHERE stay_id % 5 <> 0""",
     "spine": """
         SELECT subject_id, stay_id, CAST(b AS INT) AS bin,
                intime + CAST(b AS INT) * INTERVAL 1 DAY AS bin_start,
@@ -486,6 +488,32 @@ add(
              FULL JOIN ({_component("map", "error", "purchase")}) USING (stay_id, day)""",
 )
 
+
+
+def _fused(name: str, primary: str, fallback: str, mode: str) -> str:
+    ranged = "AND value BETWEEN 1 AND 60" if mode == "filter" else ""
+    checked = "value BETWEEN 1 AND 60 AND" if mode == "flag" else ""
+    return f"""
+        SELECT stay_id, ts, CASE WHEN ok AND pv IS NOT NULL THEN pv ELSE fv END AS final_{name},
+               CASE WHEN ok AND pv IS NOT NULL THEN 'IBP' WHEN fv IS NOT NULL THEN 'NIBP' ELSE 'NA' END AS {name}_source
+        FROM (SELECT stay_id, ts, value AS pv,
+                     {checked} NOT (stddev_samp(value) OVER (PARTITION BY stay_id ORDER BY epoch_us(ts) // 1000000
+                                                             RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW) < 5) AS ok
+              FROM daily WHERE channel = '{primary}' {ranged}) a
+             FULL JOIN (SELECT stay_id, ts, value AS fv FROM daily WHERE channel = '{fallback}' {ranged}) b USING (stay_id, ts)"""
+
+
+for _name, _mode in (("clean_pressure", "filter"), ("clean_pressure_flagged", "flag")):
+    add(
+        _name,
+        f"""SELECT stay_id, ts, {r("final_sbp")}, sbp_source, {r("final_dbp")}, dbp_source,
+               CAST(round(CAST(coalesce(final_map, (final_dbp * 2 + final_sbp) / 3.0::DOUBLE) AS DECIMAL(38, 9)), 6) AS DOUBLE)
+                   AS final_map, map_source
+        FROM ({_fused("sbp", "view", "click", _mode)}) FULL JOIN ({_fused("dbp", "signup", "purchase", _mode)}) USING (stay_id, ts)
+             FULL JOIN ({_fused("map", "error", "click", _mode)}) USING (stay_id, ts)""",
+    )
+add("require_rows", f"SELECT {_R} FROM v_readings WHERE channel = 'view'")
+
 # Bins
 
 _ROUNDED = ", ".join(r(f) if f != "sedated_flag" else f for f in FEATURES)

@@ -208,3 +208,65 @@ def test_infinite_values_have_a_place_in_the_quantiles(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     places = [r[0] for r in df.select(value_bucket(df["v"])).collect()]
     assert places == sorted(places) and None not in places
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("mode", ["filter", "flag"])
+def test_pressure_in_one_pass_equals_the_joins(spark, mode):
+    import random
+
+    from icuflow.params import PRESSURE
+
+    rnd = random.Random(mode)
+    items = [i for c in PRESSURE for i in (*c.primary, *c.fallback)]
+    data = [
+        (rnd.randint(1, 3), at(rnd.randint(0, 30) / 3) if rnd.random() < 0.5 else at(2.999), rnd.choice(items), rnd.choice([None, 10.0, 60.0, 61.0, 90.0, 140.0]))
+        for _ in range(120)
+    ]
+    df = spark.createDataFrame(data, "stay_id long, ts timestamp, itemid int, value double")
+    parts = [
+        C.fuse_sources(C.filter_channels(df, c.primary), C.filter_channels(df, c.fallback), c, Params(), range_mode=mode)
+        for c in PRESSURE
+    ]
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.join(part, ["stay_id", "ts"], "full_outer")
+    names = ["stay_id", "ts"] + [n for c in PRESSURE for n in (f"final_{c.name}", f"{c.name}_source")]
+    fused = C.clean_pressure(df, None, PRESSURE, Params(), range_mode=mode)
+    assert rows(fused, *names) == rows(C.derive_map(joined), *names)
+    assert rows(C.derive_map(C.combine_components(parts)), *names) == rows(C.derive_map(joined), *names)
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and _exchanges(fused) == 1
+
+
+def test_components_without_key_or_instant_stay(spark):
+    a = spark.createDataFrame([(None, at(1), 1.0), (None, at(1), 1.0), (1, None, 2.0)], "stay_id long, ts timestamp, a double")
+    b = spark.createDataFrame([(None, at(1), 5.0), (2, at(2), 6.0)], "stay_id long, ts timestamp, b double")
+    joined = a.join(b, ["stay_id", "ts"], "full_outer")
+    assert rows(C.combine_components([a, b]), "stay_id", "ts", "a", "b") == rows(joined, "stay_id", "ts", "a", "b")
+
+
+def test_low_values_in_one_sweep(spark):
+    import random
+
+    rnd = random.Random(3)
+    kind = "stay_id long, ts timestamp, value double"
+
+    def some(n):
+        return [(rnd.choice([1, 2, None]), None if rnd.random() < 0.05 else at(0, rnd.randint(0, 40_000)), rnd.choice([None, 2.0, 6.0, 7.0])) for _ in range(n)]
+
+    df, exact, near = spark.createDataFrame(some(300), kind), spark.createDataFrame(some(40), kind), spark.createDataFrame(some(12), kind)
+    p = Params()
+    normal, low = df.filter("value > 6"), df.filter("value <= 6")
+    for e, n in ((exact, near), (exact, None), (None, near), (None, None)):
+        parts = [normal]
+        parts += [C.keep_if_same_instant(low, e)] if e is not None else []
+        parts += [C.keep_if_near(low, n, p.near_seconds)] if n is not None else []
+        got = C.clean_low_with_context(df, e, n, p)
+        assert rows(got) == rows(C.union_distinct(*parts))
+    swept = C.clean_low_with_context(df, exact, near, p)
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert _exchanges(swept) == 1 and "Join" not in plan and plan.count("Window [") == 1
