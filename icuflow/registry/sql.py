@@ -1055,15 +1055,33 @@ add(
     f"""SELECT * REPLACE ({r("y_prob")}), {_ALERT}
         FROM (SELECT *, {_band("y_prob")} AS risk_level FROM v_scores)""",
 )
-for _name in ("stream_alerts", "batch_alerts"):
-    add(
-        _name,
-        f"""SELECT model, subject_id, obs_start_hour, tiebreak, {r("y_prob")}, risk_level, {_ALERT}
-            FROM (SELECT *, lag(risk_level) OVER (PARTITION BY model, subject_id
-                                 ORDER BY obs_start_hour, tiebreak, y_prob) AS before
-                  FROM (SELECT *, {_band("y_prob")} AS risk_level FROM v_scores))
-            WHERE before IS DISTINCT FROM risk_level""",
-    )
+add(
+    "batch_alerts",
+    f"""SELECT model, subject_id, obs_start_hour, tiebreak, {r("y_prob")}, risk_level, {_ALERT}
+        FROM (SELECT *, lag(risk_level) OVER (PARTITION BY model, subject_id
+                             ORDER BY obs_start_hour, tiebreak, y_prob) AS before
+              FROM (SELECT *, {_band("y_prob")} AS risk_level FROM v_scores))
+        WHERE before IS DISTINCT FROM risk_level""",
+)
+_LANDED = f"""
+    SELECT *, max(place) OVER (PARTITION BY model, subject_id ORDER BY part
+                               RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+    FROM (SELECT *, {_band("y_prob")} AS risk_level,
+                 CASE WHEN tiebreak % 17 = 0 THEN 3 ELSE least(obs_start_hour // 3, 2) END AS part,
+                 CAST(obs_start_hour AS BIGINT) * 100000000000000 + tiebreak * 1000000
+                     + CAST(round(y_prob * 10000) AS BIGINT) AS place
+          FROM v_scores)"""
+add(
+    "stream_alerts",
+    f"""SELECT model, subject_id, obs_start_hour, tiebreak, {r("y_prob")}, risk_level, {_ALERT}
+        FROM (SELECT *, lag(risk_level) OVER (PARTITION BY model, subject_id ORDER BY part, place) AS before
+              FROM ({_LANDED}) WHERE seen IS NULL OR place >= seen)
+        WHERE before IS DISTINCT FROM risk_level""",
+)
+add(
+    "stream_late_scores",
+    f"SELECT model, subject_id, obs_start_hour, tiebreak, {r('y_prob')} FROM ({_LANDED}) WHERE place < seen",
+)
 add(
     "risk_timeline",
     f"""SELECT model, subject_id, CAST(row_number() OVER (PARTITION BY model, subject_id

@@ -2,98 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from icuflow.operators.risk import alert_columns, risk_band
+from icuflow.streaming.state import rocksdb
 
 _SUBJECT = ("model", "subject_id")
 _ORDER = ("obs_start_hour", "tiebreak", "y_prob")
+_ROW = "model string, subject_id long, obs_start_hour int, tiebreak long, y_prob double, risk_level string"
+_STATE = "obs_start_hour int, tiebreak long, y_prob double, risk_level string"
 
 
-def band_changes(scores: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def band_changes(scores: DataFrame) -> DataFrame:
     """Scores whose band differs from the subject's score before, the first one included.
 
-    ``state`` holds the last score in order and its band for subjects seen
-    earlier; scores that come before it are late (``late_scores``) and take no
-    part. A subject has a few dozen windows at most.
+    A subject has a few dozen windows at most.
     """
-    banded = scores.withColumn("risk_level", risk_band("y_prob"))
     before = F.lag("risk_level").over(W.partitionBy(*_SUBJECT).orderBy(*_ORDER))
-    if state is not None:
-        known = banded.join(state, list(_SUBJECT), "left")
-        banded = known.filter(F.col("last").isNull() | (F.struct(*_ORDER) >= F.col("last")))
-        before = F.coalesce(before, F.col("last_band"))
     return (
-        banded.withColumn("_before", before)
+        scores.withColumn("risk_level", risk_band("y_prob"))
+        .withColumn("_before", before)
         .filter(~F.col("risk_level").eqNullSafe(F.col("_before")))
         .select(*_SUBJECT, *_ORDER, "risk_level")
     )
 
 
-def late_scores(scores: DataFrame, state: DataFrame) -> DataFrame:
-    """Scores that come before their subject's last one in order (hour, tie-break, score)."""
-    known = scores.join(state, list(_SUBJECT))
-    return known.filter(F.struct(*_ORDER) < F.col("last")).select(*scores.columns)
-
-
-def next_state(scores: DataFrame, state: DataFrame) -> DataFrame:
-    """The last score in order and its band per subject after these scores."""
-    newest = F.struct(*_ORDER)
-    batch = scores.groupBy(*_SUBJECT).agg(
-        F.max(newest).alias("_newest"),
-        F.max_by(risk_band("y_prob"), newest).alias("_band"),
-    )
-    newer = F.col("last").isNull() | (F.col("_newest") >= F.col("last"))
-    return batch.join(state, list(_SUBJECT), "full_outer").select(
-        *_SUBJECT,
-        F.when(newer, F.col("_newest")).otherwise(F.col("last")).alias("last"),
-        F.when(newer, F.col("_band")).otherwise(F.col("last_band")).alias("last_band"),
-    )
-
-
-def _no_state(scores: DataFrame) -> DataFrame:
-    """A state without subjects, in the types of the scores."""
-    last = F.struct(*_ORDER).alias("last")
-    return scores.filter("false").select(*_SUBJECT, last, F.lit("").alias("last_band"))
-
-
 def batch_alerts(scores: DataFrame) -> DataFrame:
     """All alerts of a stored table."""
     return alert_columns(band_changes(scores))
 
 
-def write_alerts(scores: DataFrame, folder: str) -> StreamingQuery:
-    """Write each batch's alerts to ``folder/alerts`` and the bands to ``folder/bands``.
+def changes(scores: DataFrame, forget_after: str | None = None) -> DataFrame:
+    """Band changes of a stream, and with ``late`` the scores that come before their subject's last one.
+
+    The state of a subject is its last score in order (hour, tie-break, score) and that score's band. A batch
+    reads and writes the state of its own subjects only. With ``forget_after`` (``"30 days"``) a subject without a
+    score for that long is forgotten; its next score then alerts as if it were the first.
+    """
+    banded = scores.select(
+        F.col("model").cast("string"),
+        F.col("subject_id").cast("long"),
+        F.col("obs_start_hour").cast("int"),
+        F.col("tiebreak").cast("long"),
+        F.col("y_prob").cast("double"),
+        risk_band("y_prob").alias("risk_level"),
+    )
 
-    Scores that come after a later one of their subject are written to
-    ``folder/late``, so none is lost silently. Batch n reads the bands of batch n - 1 and writes its own, each in a
-    sub-folder by batch number, so a batch that is run again gives the same.
+    def step(key: tuple, parts: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        columns = [*_ORDER, "risk_level"]
+        scored = sorted(row for part in parts for row in part[columns].itertuples(index=False, name=None))
+        out = []
+        for row in scored:
+            late = last is not None and row[:3] < last[:3]
+            if late or last is None or row[3] != last[3]:
+                out.append((*key, *row, late))
+            if not late:
+                last = row
+        state.update(last)
+        if forget_after:
+            state.setTimeoutDuration(forget_after)
+        if out:
+            yield pd.DataFrame(out, columns=[*_SUBJECT, *columns, "late"])
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
+    return banded.groupBy(*_SUBJECT).applyInPandasWithState(step, f"{_ROW}, late boolean", _STATE, "append", timeout)
+
+
+def write_alerts(scores: DataFrame, folder: str, forget_after: str | None = None) -> StreamingQuery:
+    """Write each batch's alerts to ``folder/alerts``, and late scores to ``folder/late``, so none is lost silently.
+
+    The state store is RocksDB and its changes go to the checkpoint, so a batch costs what its own subjects
+    cost. A batch that is run again replaces its own sub-folders.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        none = next_state(batch, _no_state(batch)).schema
-        state = (
-            spark.read.schema(none).parquet(f"{folder}/bands/batch={batch_id - 1}")
-            if batch_id > 0
-            else spark.createDataFrame([], none)
+        batch = batch.persist()
+        alert_columns(batch.filter("NOT late").drop("late")).write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
+        batch.filter("late").select(*_SUBJECT, *_ORDER).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        batch.unpersist()
+
+    with rocksdb(scores.sparkSession):
+        return (
+            changes(scores, forget_after)
+            .writeStream.outputMode("append")
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
         )
-        late = late_scores(batch, state)
-        late.write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
-        alerts = alert_columns(band_changes(batch, state))
-        alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
-        bands = next_state(batch, state)
-        bands.write.mode("overwrite").parquet(f"{folder}/bands/batch={batch_id}")
-
-    return (
-        scores.writeStream.option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
 
 
 def read_alerts(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,3 +79,21 @@ def test_work_folder_follows_the_session(spark):
     assert work_folder(spark, "x") != work_folder(spark, "x")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_folder(Session("local[4]"), "x")
+
+
+def test_alert_state_is_written_for_the_subjects_of_a_batch(spark, tmp_path):
+    import json
+    from pathlib import Path
+
+    source = str(tmp_path / "in")
+    parts = [[("m", s, 0, 0, 0, 0.1) for s in range(60)], [("m", 7, 8, 0, 0, 0.9)], [("m", 7, 4, 0, 0, 0.5), ("m", 9, 8, 0, 0, 0.1)]]
+    progress = []
+    for part in parts:
+        spark.createDataFrame(part, SCORE).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCORE).parquet(source)
+        query = A.write_alerts(stream, str(tmp_path))
+        query.awaitTermination()
+        progress.append(json.loads(query.lastProgress.json)["stateOperators"][0])
+    assert [p["numRowsUpdated"] for p in progress] == [60, 1, 2]
+    assert "RocksDB" in json.dumps(progress) or any(Path(tmp_path, "state").rglob("*.changelog"))
+    assert rows(A.read_late(spark, str(tmp_path)), "subject_id", "obs_start_hour") == [(7, 4)]
