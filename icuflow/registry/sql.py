@@ -1206,3 +1206,22 @@ add(
     + ", ".join(r(f) for f in FEATURES if f != "sedated_flag")
     + " FROM agg JOIN v_stays USING (stay_id)",
 )
+_IN_PARTS = """
+    SELECT i.*, s.intime + i.bin * INTERVAL 1 DAY AS bin_start,
+           least(date_diff('day', (SELECT min(ts) FROM v_readings)::DATE, i.ts::DATE) // 8
+                 + CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END, 3) AS part
+    FROM inside i JOIN v_stays s USING (stay_id) WHERE bin IS NOT NULL"""
+_SORTED = f"""
+    SELECT *, coalesce(bin_start <= max(bin_start) OVER (ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                       - INTERVAL 2 DAY, false) AS late
+    FROM ({_IN_PARTS})"""
+add(
+    "stream_late_readings",
+    f"SELECT stay_id, event_id, ts, channel, {r('value')}, bin, bin_start FROM ({_SORTED}) WHERE late",
+)
+add(
+    "stream_closed_bins",
+    f"""SELECT s.subject_id, s.stay_id, s.bin, s.bin_start, s.bin_end, {_ROUNDED}
+        FROM spine s LEFT JOIN ({CTE["agg"].replace("FROM inside WHERE bin IS NOT NULL", f"FROM ({_SORTED}) WHERE NOT late")}) a
+             ON a.stay_id = s.stay_id AND a.bin = s.bin""",
+)

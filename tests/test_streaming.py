@@ -97,3 +97,32 @@ def test_alert_state_is_written_for_the_subjects_of_a_batch(spark, tmp_path):
     assert [p["numRowsUpdated"] for p in progress] == [60, 1, 2]
     assert "RocksDB" in json.dumps(progress) or any(Path(tmp_path, "state").rglob("*.changelog"))
     assert rows(A.read_late(spark, str(tmp_path)), "subject_id", "obs_start_hour") == [(7, 4)]
+
+
+def test_bins_close_once_with_empty_ones_and_late_readings_apart(spark, tmp_path):
+    folder = str(tmp_path)
+    stays = spark.createDataFrame([(1, 1, at(0.5), at(9), None), (2, 2, at(0), at(9), at(5))], STAY)
+    stays.write.parquet(f"{folder}/stays")
+    parts = [
+        [(1, at(0.6), "hr", 60.0), (2, at(0.1), "hr", 50.0)],
+        [(1, at(3.7), "hr", 80.0), (2, at(2.5), "hr", 70.0), (2, at(7), "hr", 99.0)],
+        [(1, at(0.7), "hr", 1.0), (1, at(3.6), "hr", 82.0), (2, at(4.5), "hr", 71.0)],
+    ]
+    closed = []
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, READING).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(READING).parquet(f"{folder}/in")
+        L.sort_readings(stream, stays, P, folder, 0).awaitTermination()
+        if i == 2:
+            L.end_readings(spark, stream.schema, folder)
+        known = spark.readStream.schema(stays.schema).parquet(f"{folder}/stays")
+        L.write_closed_bins(spark, stream.schema, known, ["hr"], P, folder, 0).awaitTermination()
+        closed.append(L.closed_bins(spark, folder).count())
+    assert closed[0] < closed[1] < closed[2]  # what is closed is written at once and stays
+    assert rows(L.late_readings(spark, folder), "stay_id", "value") == [(1, 1.0)]
+    kept = spark.createDataFrame([r for p in parts for r in p if r[3] != 1.0], READING)
+    whole = B.bin_spine(stays, P).join(
+        B.bin_aggregate(B.within_stay(kept, stays), ["hr"], P).filter("bin IS NOT NULL"), ["stay_id", "bin"], "left"
+    )
+    names = ("subject_id", "stay_id", "bin", "bin_start", "bin_end", "hr_mean", "hr_last", "hr_min", "hr_max")
+    assert rows(L.closed_bins(spark, folder), *names) == rows(whole, *names)
