@@ -19,6 +19,9 @@ from icuflow.llm.text import SPACED, mix, shingles, words
 
 _BITS = 22
 ROUNDS = 2
+PART_BYTES = 8 << 20
+#: What a Python worker holds at once: rows of whole texts, and bytes.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 @dataclass(frozen=True)
@@ -265,6 +268,25 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -
     return cut(joined.mapInArrow(compare, "a long, b long"), "links")
 
 
+class Forest:
+    """Which nodes are connected so far."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        while (up := self.above.get(node, node)) != node:
+            self.above[node] = self.above.get(up, up)
+            node = up
+        return node
+
+    def join(self, a: int, b: int) -> bool:
+        """Connects two nodes; whether they were not connected before."""
+        a, b = self.root(a), self.root(b)
+        self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
 def linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
     """Whether two sets, as ordered tokens, are similar enough."""
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -276,7 +298,8 @@ def _against_all(keys: DataFrame, members: DataFrame, classes: DataFrame, docs:
     """The stored links (a, b) of some query classes with the components of all members (key, root).
 
     Sets of a block of queries are broadcast; each task counts the tokens that its members share with all of
-    them, and a query leaves it once for each component that it links with. The sets of all members are stored.
+    them. What leaves a task of about ``PART_BYTES`` of sets is a forest that connects the components it found linked,
+    fewer rows than it has queries and members, however many links there are. The sets of all members are stored.
     """
 
     def tokens(texts: pa.Array) -> pa.RecordBatch:
@@ -288,18 +311,21 @@ def _against_all(keys: DataFrame, members: DataFrame, classes: DataFrame, docs:
     everyone = cut(found.select("key", "tokens").join(members, "key"), "members")
     queries = everyone.join(keys, "key", "left_semi")
     n = -(-(queries.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // block_bytes)
+    parts = -(-(everyone.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // PART_BYTES)
+    everyone = everyone.coalesce(max(1, parts))
     out = []
     for i in range(n):
-        block = queries.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == i).select("key", "tokens").collect()
+        block = queries.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == i).select("key", "root", "tokens").collect()
         sets = [np.frombuffer(r["tokens"], np.uint64) for r in block]
         flat = np.concatenate([np.empty(0, np.uint64), *sets])
         order = np.argsort(flat, kind="stable")
         sizes = np.array([len(s) for s in sets], np.int64)
         owner = np.repeat(np.arange(len(sets)), sizes)[order]
-        shared = docs.sparkSession.sparkContext.broadcast((flat[order], owner, sizes, np.array([r["key"] for r in block], np.int64)))
+        shared = docs.sparkSession.sparkContext.broadcast((flat[order], owner, sizes, *(np.array([r[c] for r in block], np.int64) for c in ("key", "root"))))
 
         def meet(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            flat, owner, sizes, names = shared.value
+            flat, owner, sizes, names, parts = shared.value
+            forest = Forest()
             for batch in batches:
                 met: set[tuple[int, int]] = set()
                 for x, key, root in zip(batch.column("tokens"), batch.column("key").to_pylist(), batch.column("root").to_pylist(), strict=True):
@@ -309,8 +335,8 @@ def _against_all(keys: DataFrame, members: DataFrame, classes: DataFrame, docs:
                     same = owner[np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())]
                     common = np.bincount(same, minlength=len(sizes))
                     hit = (common > 0) & (names != key) & (rule.den * common >= rule.num * (len(x) + sizes - common))
-                    met.update((q, root) for q in names[hit].tolist())
-                pairs = sorted(met)
+                    met.update((q, root) for q in np.unique(parts[hit]).tolist())
+                pairs = [p for p in sorted(met) if forest.join(*p)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         out.append(cut(everyone.mapInArrow(meet, "a long, b long"), "links"))
@@ -334,8 +360,20 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
        one that it shares most long lists with and is not connected with; groups of near copies grow together.
     4. Candidates of step 2 that are still in different components are all checked. Where a long list still
        holds several components, the classes outside its largest are compared with all classes of step 3.
+       In a large group whose members differ by about as much as the rule allows these are most of its classes.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    conf = docs.sparkSession.conf
+    before = {k: conf.get(k) for k in _BATCHES}
+    for k, v in _BATCHES.items():
+        conf.set(k, v)
+    try:
+        return _similar(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rule)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
+def _similar(docs: DataFrame, rule: Rule) -> DataFrame:
     sets = _sets(docs, rule)
     grouped = sets.filter("n > 0").groupBy("fp").agg(F.min(F.array_min("ids")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = cut(grouped.withColumn("key", F.monotonically_increasing_id()), "classes")
@@ -365,8 +403,7 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
         if tried[-1].isEmpty():
             break
         links.append(_verify(tried[-1], classes, docs, rule))
-        # Not whole components yet, but near copies that met a pivot share it; that is enough to choose who is checked.
-        roots = cut(reduce(DataFrame.unionByName, links).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "roots")
+        roots = cut(components(reduce(DataFrame.unionByName, links)), "roots")
 
     rest = place(place(candidates.select("key", "partner"), "key"), "partner").filter("key_root <> partner_root").select("key", "partner")
     rest = cut(rest.join(tried[0], ["key", "partner"], "left_anti"), "rest")

@@ -77,3 +77,24 @@ def test_components_of_a_path_and_a_star(llm):
     edges = [(i, i + 1) for i in range(10, 40)] + [(50 + i, 50) for i in range(1, 20)] + [(3, 3)]
     found = dict(map(tuple, components(llm.createDataFrame(edges, "a long, b long")).collect()))
     assert found == {i: 10 for i in range(10, 41)} | {50 + i: 50 for i in range(20)}
+
+
+def test_large_group_at_the_limit_leaves_few_rows(docs, monkeypatch):
+    """Members that mostly just miss each other, and texts that share only a passage: rows stay in proportion, results whole."""
+    from icuflow.llm import jaccard_join as J
+
+    rows = corpus(11, 1, 260, words=70, changes=3) + [(9000 + i, t) for i, (_, t) in enumerate(corpus(12, 150, 1))]
+    made = {}
+    cut = J.cut
+    monkeypatch.setattr(J, "cut", lambda df, name="cut": made.setdefault(name, []).append(df := cut(df, name)) or df)
+    rule = Rule(3, 90, 100, short=8, least_slack=2)
+    assert got(similar(docs(rows), rule)) == brute(rows, rule)
+    assert all(df.count() < 3 * len(rows) for df in made["links"])
+
+
+def test_forest_keeps_connections():
+    from icuflow.llm.jaccard_join import Forest
+
+    forest = Forest()
+    assert [forest.join(*p) for p in [(5, 3), (3, 9), (9, 5), (1, 2), (2, 9), (1, 5)]] == [True, True, False, True, True, False]
+    assert {forest.root(n) for n in (1, 2, 3, 5, 9)} == {1}
