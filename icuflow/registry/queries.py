@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -425,6 +426,11 @@ def bin_spine(spark, root):
     return B.bin_spine(V.stays(spark, root), PARAMS)
 
 
+@query
+def bin_spine_capped(spark, root):
+    return B.bin_spine(V.stays(spark, root), replace(PARAMS, max_bins=10))
+
+
 @query
 def within_stay(spark, root):
     return B.within_stay(V.readings(spark, root), V.stays(spark, root)).select(

@@ -82,8 +82,7 @@ CTE: dict[str, str] = {
         FROM v_readings r""",
     "st": f"""
         SELECT *, coalesce(deathtime, outtime) AS obs_end,
-               least(168,
-                     CAST(ceil((epoch_us(outtime) - epoch_us(intime)) / {DAY_US}.0) AS INT),
+               least(CAST(ceil((epoch_us(outtime) - epoch_us(intime)) / {DAY_US}.0) AS INT),
                      CAST(ceil((epoch_us(coalesce(deathtime, outtime)) - epoch_us(intime))
                                / {DAY_US}.0) AS INT)) AS n
         FROM v_stays""",
@@ -518,6 +517,7 @@ add("require_rows", f"SELECT {_R} FROM v_readings WHERE channel = 'view'")
 
 _ROUNDED = ", ".join(r(f) if f != "sedated_flag" else f for f in FEATURES)
 add("bin_spine", "SELECT * FROM spine")
+add("bin_spine_capped", "SELECT * FROM spine WHERE bin < 10")
 add(
     "within_stay",
     f"""SELECT stay_id, event_id, ts, channel, {r("value")} FROM v_readings JOIN v_stays
@@ -580,8 +580,8 @@ add(
         FROM labelled""",
 )
 CTE["long_bins"] = f"""
-    SELECT subject_id, stay_id, unnest(range(0, least(168, CAST(ceil(
-               (epoch_us(outtime) - epoch_us(intime)) / {DAY_US}.0) AS INT)))) AS bin
+    SELECT subject_id, stay_id, unnest(range(0, CAST(ceil(
+               (epoch_us(outtime) - epoch_us(intime)) / {DAY_US}.0) AS INT))) AS bin
     FROM v_stays"""
 _LONG = {
     "starts": CTE["starts"].replace("FROM bins", "FROM long_bins"),

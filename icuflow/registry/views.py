@@ -17,7 +17,6 @@ CHANNELS = ("view", "click", "signup", "purchase", "error")
 # The readings are sparse (about 67 per stay and month), so bins are days.
 PARAMS = Params(
     bin_seconds=DAY,
-    max_bins=168,
     obs_bins=5,
     pred_bins=2,
     stride_bins=3,
