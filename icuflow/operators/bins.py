@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from icuflow.functions.time import MICROS, ceil_div, floor_div, hours_between, micros
 from icuflow.params import Params, channel_features
@@ -64,9 +65,23 @@ def assign_bin(inside: DataFrame, p: Params) -> DataFrame:
     return inside.withColumn("bin", F.when(covered, position))
 
 
-def _statistics(channel: str, tie: str | None) -> list[Column]:
+def _moment(df: DataFrame, tie: str | None) -> Column:
+    """What orders readings: their instant, then ``tie``.
+
+    A whole-number tie is packed behind the microseconds of the instant into one decimal, which a hash
+    aggregate can hold; a struct would make it sort all readings.
+    """
+    if tie is None:
+        return F.col("ts")
+    if not isinstance(df.schema[tie].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.struct("ts", tie)
+    least, width = (F.lit(str(n)).cast("decimal(20,0)") for n in (-(1 << 63), 2 * 10**19))
+    rank = F.coalesce(F.col(tie).cast("decimal(20,0)"), least) - least
+    return (micros("ts").cast("decimal(18,0)") * width + rank).cast("decimal(38,0)")
+
+
+def _statistics(channel: str, at: str) -> list[Column]:
     mine = f"FILTER (WHERE channel = '{channel}')"
-    at = "ts" if tie is None else f"struct(ts, {tie})"
     known = f"FILTER (WHERE channel = '{channel}' AND value IS NOT NULL)"
     return [
         F.expr(f"avg(value) {mine} AS {channel}_mean"),
@@ -103,10 +118,11 @@ def aggregate_bins(
     ``flag`` is ``(column, channel)``: any set flag among the channel's rows of
     the bin, missing when the channel has no value there (``plain_flag=True``
     gives 0 or 1 whenever it has a row). ``tie`` orders readings at the same
-    instant, so that ``last`` does not depend on task order; without it the
-    aggregate is hash based and somewhat faster. ``_rows_<channel>`` counts rows.
+    instant, so that ``last`` does not depend on task order; the aggregate is hash
+    based without it or with a whole-number tie. ``_rows_<channel>`` counts rows.
     """
-    aggs = [a for c in channels for a in _statistics(c, tie)]
+    binned = binned.withColumn("_moment", _moment(binned, tie))
+    aggs = [a for c in channels for a in _statistics(c, "_moment")]
     if flag is not None:
         name, channel = flag
         mine = F.col("channel") == channel

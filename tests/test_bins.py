@@ -171,3 +171,12 @@ def test_readings_are_scanned_once(spark, tmp_path):
     plan = bins._jdf.queryExecution().executedPlan().toString()
     assert plan.count(str(tmp_path / "r")) == 1
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan
+
+
+def test_whole_number_ties_need_no_sort(spark):
+    data = [(1, 0, at(1), "hr", 5.0, 7), (1, 0, at(1), "hr", 6.0, -9), (1, 0, at(1), "hr", 4.0, None), (1, 0, at(0.5), "hr", 9.0, 1 << 62), (1, 1, at(2), "hr", 1.0, None)]
+    df = spark.createDataFrame(data, "stay_id long, bin int, ts timestamp, channel string, value double, event_id long")
+    made = B.aggregate_bins(df, ["hr"], tie="event_id")
+    assert rows(made, "bin", "hr_last") == [(0, 5.0), (1, 1.0)]
+    assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert rows(B.aggregate_bins(df, ["hr"], tie="value"), "bin", "hr_last") == [(0, 6.0), (1, 1.0)]
