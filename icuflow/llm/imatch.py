@@ -44,7 +44,7 @@ def factors() -> list[tuple[int, int]]:
 def place_sql(a: object, b: object, shift: str = "shiftright({}, {})") -> str:
     """SQL: the number that places a term in a randomised lexicon, from the halves ``low`` and ``high`` of its 60 bits; the term is in the lexicon
     at scale s if the number is below 2**(15 - s)."""
-    return shift.format(f"((low * {a} + high * {b}) & {(1 << 60) - 1})", 60 - _BITS)
+    return shift.format(f"((low * {a} + high * {b}) & {(1 << 30) - 1})", 30 - _BITS)
 
 
 def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:

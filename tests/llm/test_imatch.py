@@ -26,7 +26,7 @@ def mark(text, count, n, bits=5, least=2):
     lexicon = {}
     for t in terms:
         key = int(md5(t)[:15], 16)
-        numbers = [(key % 2**30 * a + key // 2**30 * b) % 2**60 // 2**45 for a, b in imatch.factors()]
+        numbers = [(key % 2**30 * a + key // 2**30 * b) % 2**30 // 2**15 for a, b in imatch.factors()]
         for level in (0, 1):
             for r in range(16):
                 if numbers[r] < 1 << (15 - scale - level):
