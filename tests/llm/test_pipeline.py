@@ -50,5 +50,5 @@ def test_stages_keep_the_columns_and_survive_empty_tables(llm, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
