@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,18 +73,63 @@ def cells_tall(windows: DataFrame, keys: Sequence[str] = _KEYS, x: str = "x") ->
     return steps.select(*keys, "step", F.posexplode("_row").alias("pos", "value"))
 
 
-def top_null(windows: DataFrame, by: str = "window", k: int = 5, x: str = "x") -> DataFrame:
-    """The ``k`` windows, steps or feature positions with the most missing cells."""
+def row_width(windows: DataFrame, x: str = "x") -> int:
+    """Cells of the longest step. Reads ``windows``, which should be a stored table."""
+    widest = F.array_max(F.transform(x, lambda row: F.size(row)))
+    return windows.agg(F.max(widest)).first()[0] or 0
+
+
+def per_position(
+    windows: DataFrame,
+    aggregates: Callable[[Column, Column], Mapping[str, Column]],
+    width: int | None = None,
+    x: str = "x",
+) -> DataFrame:
+    """One row per feature position: ``pos`` and aggregates of its cells over all windows and steps.
+
+    Steps become rows once and all positions are aggregated side by side in a single row, so no
+    cell ever is a row. ``aggregates`` gets a cell, null where the step is shorter, and whether
+    the step has it. Positions that no step has give no row, nor does an empty table. ``width``
+    is read from the data where it is not given; a step longer than that is an error.
+    """
+    width = row_width(windows, x) if width is None else width
+    if not width:
+        width, windows = 1, windows.limit(0)
+
+    def entry(i: int) -> Column:
+        made = aggregates(F.get("_row", F.lit(i)), F.size("_row") > i)
+        return F.struct(F.lit(i).alias("pos"), *[v.alias(k) for k, v in made.items()])
+
+    entries = [entry(i) for i in range(width)]
+    steps = windows.select(F.explode(x).alias("_row"))
+    one = steps.agg(F.max(F.size("_row")).alias("_width"), F.array(*entries).alias("_entries"))
+    too_long = F.raise_error(F.lit(f"a step has more than {width} features")).cast("int")
+    found = F.when(F.col("_width") > width, too_long).otherwise(F.col("_width"))
+    return one.select(found.alias("_width"), F.inline("_entries")).filter("pos < _width").drop("_width")
+
+
+def top_null(
+    windows: DataFrame, by: str = "window", k: int = 5, x: str = "x", width: int | None = None
+) -> DataFrame:
+    """The ``k`` windows, steps or feature positions with the most missing cells.
+
+    ``width``: features of a step, read from the data where a report by feature is not given it.
+    """
     if by == "window":
         counted = windows.select(*_KEYS, count_cells(x, _is_missing).alias("missing"))
         return counted.orderBy(F.desc("missing"), *_KEYS).limit(k)
-    key = {"step": "step", "feature": "pos"}[by]
-    counted = (
-        cells_tall(windows, (), x)
-        .groupBy(key)
-        .agg(F.sum(_is_missing(F.col("value")).cast("long")).alias("missing"))
-    )
-    return counted.orderBy(F.desc("missing"), key).limit(k)
+    if by == "step":
+        steps = windows.select(F.posexplode(x).alias("step", "_row")).filter(F.size("_row") > 0)
+        missing = F.size(F.filter("_row", _is_missing)).cast("long")
+        counted = steps.groupBy("step").agg(F.sum(missing).alias("missing"))
+        return counted.orderBy(F.desc("missing"), "step").limit(k)
+    if by != "feature":
+        raise ValueError(f"unknown report by {by!r}")
+
+    def gaps(cell: Column, there: Column) -> dict[str, Column]:
+        return {"missing": F.count_if(there & _is_missing(cell))}
+
+    return per_position(windows, gaps, width, x).orderBy(F.desc("missing"), "pos").limit(k)
 
 
 def missing_per_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:

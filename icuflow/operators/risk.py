@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from icuflow.functions.arrays import sanitize_sequence, sigmoid
 from icuflow.functions.ordering import ranked
 from icuflow.functions.time import shift
-from icuflow.operators.quality import cells_tall
+from icuflow.operators.quality import per_position
 
 HIGH, LOW = 0.7, 0.3
 
@@ -244,7 +244,8 @@ def variance_importance(
     """
     raw = logit(F.col("y_prob")) if output is None else output
     names = F.array(*[F.lit(f) for f in features])
-    per_feature = cells_tall(windows, (), x).groupBy("pos").agg(F.var_pop("value").alias("v"))
+    variance = lambda cell, there: {"v": F.var_pop(cell)}
+    per_feature = per_position(windows, variance, len(features), x)
     listed = per_feature.agg(F.collect_list(F.struct("pos", "v")).alias("list")).scalar()
     per_model = scores.groupBy("model").agg(F.var_samp(raw).alias("output_variance"))
     return per_model.select(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icuflow.functions.arrays import sanitize_sequence
 from icuflow.functions.cut import cut
 from icuflow.functions.ordering import hash_ranked, shuffle_key
-from icuflow.operators.quality import cells_tall, subject_labels
+from icuflow.operators.quality import per_position, subject_labels
 
 
 def subsample_windows(windows: DataFrame, start: str = "obs_start_hour") -> DataFrame:
@@ -106,25 +106,27 @@ def undersample(
 
 
 def fit_scaler(
-    windows: DataFrame, x: str = "x", missing: str = "zero", names: Sequence[str] | None = None
+    windows: DataFrame,
+    x: str = "x",
+    missing: str = "zero",
+    names: Sequence[str] | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Mean and population deviation per feature position over all windows and steps.
 
     ``missing='zero'`` counts missing cells as 0 (the training scaler),
-    ``'skip'`` leaves them out. A deviation of zero becomes 1.
+    ``'skip'`` leaves them out. A deviation of zero becomes 1. Without ``names`` and
+    ``width`` the number of features is read from the data first.
     """
     if missing not in ("zero", "skip"):
         raise ValueError(f"unknown missing {missing!r}")
     source = windows.withColumn(x, sanitize_sequence(x)) if missing == "zero" else windows
-    spread = F.stddev_pop("value")
-    stats = (
-        cells_tall(source, (), x)
-        .groupBy("pos")
-        .agg(
-            F.avg("value").alias("mean"),
-            F.when(spread == 0, 1.0).otherwise(spread).alias("std"),
-        )
-    )
+
+    def moments(cell: Column, there: Column) -> dict[str, Column]:
+        spread = F.stddev_pop(cell)
+        return {"mean": F.avg(cell), "std": F.when(spread == 0, 1.0).otherwise(spread)}
+
+    stats = per_position(source, moments, len(names) if names else width, x)
     if names is None:
         return stats
     return stats.withColumn("feature", F.get(F.array(*[F.lit(n) for n in names]), F.col("pos")))

@@ -657,9 +657,7 @@ def feature_names(spark, root):
     """Feature names in order with how many cells of the dataset hold a value."""
     names = F.array(*[F.lit(n) for n in FINAL])
     return (
-        H.cells_tall(_final(spark, root), ())
-        .groupBy("pos")
-        .agg(F.count("value").alias("n_values"))
+        H.per_position(_final(spark, root), lambda c, _: {"n_values": F.count(c)}, len(FINAL))
         .select("pos", F.get(names, F.col("pos")).alias("name"), "n_values")
     )
 
@@ -694,7 +692,7 @@ def top_null_step(spark, root):
 
 @query
 def top_null_feature(spark, root):
-    return H.top_null(_final(spark, root), "feature")
+    return H.top_null(_final(spark, root), "feature", width=len(FINAL))
 
 
 @query
@@ -765,7 +763,7 @@ def fit_scaler_skip(spark, root):
 @query
 def apply_scaler(spark, root):
     windows = _kept_windows(spark, root, sequences=True)
-    scaled = S.apply_scaler(windows, S.fit_scaler(windows))
+    scaled = S.apply_scaler(windows, S.fit_scaler(windows, width=len(FEATURES)))
     return H.cells_tall(scaled)
 
 
@@ -942,7 +940,7 @@ def risk_summary(spark, root):
 @query
 def top_factors(spark, root):
     windows = _kept_windows(spark, root, sequences=True)
-    scaled = S.apply_scaler(windows, S.fit_scaler(windows))
+    scaled = S.apply_scaler(windows, S.fit_scaler(windows, width=len(FEATURES)))
     rounded = scaled.withColumn(
         "x", F.transform("x", lambda row: F.transform(row, lambda v: F.round(F.round(v, 9), 6)))
     )
@@ -1005,7 +1003,7 @@ def tile_snapshot(spark, root):
 @query
 def score_linear(spark, root):
     windows = _kept_windows(spark, root, sequences=True)
-    scaled = S.apply_scaler(windows, S.fit_scaler(windows))
+    scaled = S.apply_scaler(windows, S.fit_scaler(windows, width=len(FEATURES)))
     weights = spark.createDataFrame(
         [(i, (i % 5 - 2) / 10.0) for i in range(len(FEATURES))], "pos int, weight double"
     )

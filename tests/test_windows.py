@@ -1,10 +1,12 @@
 import random
 
+import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
 from icuflow.operators import features as G
 from icuflow.operators import quality as H
+from icuflow.operators import sampling as S
 from icuflow.operators import windows as W
 from icuflow.params import Params
 
@@ -167,6 +169,20 @@ def test_tensor_reports(spark):
     assert [tuple(r) for r in H.top_null(w, "window", 2).collect()] == [(1, 0, 2), (1, 1, 2)]
     assert [tuple(r) for r in H.top_null(w, "step", 1).collect()] == [(0, 3)]
     assert [tuple(r) for r in H.top_null(w, "feature").collect()] == [(0, 2), (1, 2)]
+    ragged = spark.createDataFrame([(1, 0, [[1.0, None], None, [], [None]])], "stay_id long, window_id int, x array<array<double>>")
+    assert [tuple(r) for r in H.top_null(ragged, "feature").collect()] == [(0, 1), (1, 1)]
+    assert [tuple(r) for r in H.top_null(ragged, "step").collect()] == [(0, 1), (3, 1)]
+    assert H.top_null(ragged.limit(0), "feature").collect() == []
+    with pytest.raises(Exception, match="more than 1 features"):
+        H.top_null(ragged, "feature", width=1).collect()
+
+
+def test_cells_never_become_rows(spark):
+    w = spark.createDataFrame([(1, 0, [[1.0, 2.0]])], "stay_id long, window_id int, x array<array<double>>")
+    for df in (S.fit_scaler(w, width=2), H.top_null(w, "feature", width=2)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") == 1
+    assert "posexplode(_row" not in H.top_null(w, "step")._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_class_reports(spark):
