@@ -77,6 +77,8 @@ def fingerprint(tokens: np.ndarray) -> bytes:
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """Stored rows fp, n, ids, prefix: one per distinct set of a batch, with the ids of the rows that have it."""
+    kind = docs.schema["id"].dataType.simpleString()
+    ids = pa.list_(pa.binary() if kind == "binary" else pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +89,10 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                     found[fp] = n, [], tokens[: rule.prefix(n) if n else 0].view(np.int64).copy()
                 found[fp][1].append(i)
             columns = [list(found), [x[0] for x in found.values()], [x[1] for x in found.values()], [x[2] for x in found.values()]]
-            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.binary(), pa.int64(), ids, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["fp", "n", "ids", "prefix"])
 
-    return cut(docs.mapInArrow(run, "fp binary, n long, ids array<bigint>, prefix array<bigint>"), "sets")
+    return cut(docs.mapInArrow(run, f"fp binary, n long, ids array<{kind}>, prefix array<bigint>"), "sets")
 
 
 class _Lists:
@@ -351,7 +353,7 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
     smallest doc_id reachable by links. Null, empty and blank texts have no set, link with nothing and keep
     their own id. Documents with equal sets are one class, so copies are never paired. Rows without id count in
     their class and get its component. Rows that repeat a doc_id stand for themselves. An empty table
-    gives no rows. Other columns are not read.
+    gives no rows. Other columns are not read. The id may be a number or binary, which is ordered by its bytes.
 
     1. Each class is indexed under its first tokens in hash order (``Rule.prefix``).
     2. Short lists are merged by a heap; long ones are skipped as long as partners must also meet in a short
@@ -367,7 +369,8 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
     for k, v in _BATCHES.items():
         conf.set(k, v)
     try:
-        return _similar(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rule)
+        kind = "binary" if docs.schema[id_col].dataType.simpleString() == "binary" else "long"
+        return _similar(docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text")), rule)
     finally:
         for k, v in before.items():
             conf.set(k, v)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,9 +132,39 @@ def resample(
     Null texts and texts without words tell nothing: log_weight is null and they are never selected.
     Repeated rows of one id share noise and verdict, so ties at the limit are selected together; rows
     without id have noise 0. Documents without a label are scored like others. An empty table gives no
-    rows; without labels every text with words is selected.
+    rows; without labels every text with words is selected. A text of any length is read whole.
     """
-    ratio, share = fit(docs, labels, id_col, text_col, label_col, max_target)
+    score, share = _scorer(docs, fit(docs, labels, id_col, text_col, label_col, max_target))
+    scored = _stored_scores(docs, score, id_col, text_col, seed)
+    limit = _limit(scored, share)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "log_weight", "key", F.coalesce(F.col("key") >= limit, F.lit(False)).alias("selected"))
+
+
+def chosen(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    max_target: int = 20_000,
+    seed: int = 1,
+) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` selects, with all their columns.
+
+    A row is judged by its own id and text, so rows without id or with the id of another text do not share
+    its verdict. Texts are scored once for the limit and once to filter; nothing is joined or shuffled. Null
+    texts and texts without words go. A text of any length is read whole. An empty table gives no rows.
+    """
+    score, share = _scorer(docs, fit(docs, labels, id_col, text_col, label_col, max_target))
+    limit = _limit(_stored_scores(docs, score, id_col, text_col, seed), share)
+    scored = add_columns(docs, text_col, score, "log_weight double")
+    key = F.col(scored.columns[-1]) + _noise(F.col(f"`{id_col}`"), seed)
+    return scored.filter(key >= limit).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _scorer(docs: DataFrame, model: tuple[np.ndarray, float]) -> tuple[Callable, float]:
+    """What ``add_columns`` calls for the log weights of texts, and the target's share."""
+    ratio, share = model
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(texts: pa.Array) -> list:
@@ -147,13 +177,23 @@ def resample(
                 seen[first : first + len(sums)] += np.bincount(text)
         return [pa.array(out, mask=seen == 0)]
 
+    return score, share
+
+
+def _noise(id_col: Column, seed: int) -> Column:
+    uniform = (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return F.when(id_col.isNull(), F.lit(0.0)).otherwise(-F.log(-F.log(uniform)))
+
+
+def _stored_scores(docs: DataFrame, score: Callable, id_col: str, text_col: str, seed: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    noise = F.when(F.col("doc_id").isNull(), F.lit(0.0)).otherwise(-F.log(-F.log(uniform)))
-    scored = add_columns(rows, "text", score, "log_weight double").select("doc_id", "log_weight", (F.col("log_weight") + noise).alias("key"))
-    scored = cut(scored, "quality")
+    scored = add_columns(rows, "text", score, "log_weight double")
+    return cut(scored.select("doc_id", "log_weight", (F.col("log_weight") + _noise(F.col("doc_id"), seed)).alias("key")), "quality")
+
+
+def _limit(scored: DataFrame, share: float) -> float:
+    """The smallest key that is selected."""
     weighed = scored.filter("key IS NOT NULL")
     accepted = F.sum(F.least(F.lit(1.0), F.exp(F.least(F.col("log_weight"), F.lit(50.0))) * share))
     k = round(weighed.agg(accepted).first()[0] or 0)
-    limit = top_k(weighed, "key", k) if k else float("inf")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "log_weight", "key", F.coalesce(F.col("key") >= limit, F.lit(False)).alias("selected"))
+    return top_k(weighed, "key", k) if k else float("inf")

@@ -49,6 +49,36 @@ def test_stages_keep_the_columns_and_survive_empty_tables(llm, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](llm, empty, str(tmp_path)).count() == 0
 
 
+def test_rows_without_id_or_with_a_shared_id_are_judged_by_their_text(llm, tmp_path):
+    tables(llm, str(tmp_path))
+    rnd = random.Random(5)
+    good = [" ".join(rnd.choices(WORDS, k=80)).capitalize() + "." for _ in range(6)]
+    junk = " | ".join(rnd.choices(WORDS, k=80))
+    leak = good[5] + " " + llm.read.parquet(f"{tmp_path}/benchmark.parquet").first()["text"]
+
+    def near(text):
+        return text.replace(text.split()[40], "changed")
+
+    rows = [
+        (None, good[0]), (None, near(good[0])), (None, junk), (None, None),  # of the first two one stays
+        (None, near(good[1])), (1000, good[1]),  # the one with an id stays
+        (7000, good[2]), (7000, good[3]), (7000, junk), (7000, leak),
+        (-3, near(good[4])), (500, good[4]),  # the smallest id stays
+    ]
+    docs = llm.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _row string")
+    docs = docs.union(llm.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id", "text", "'x'")).repartition(3)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = llm.createDataFrame(stage(llm, docs, str(tmp_path)).collect(), docs.schema)
+        kept[name] = {(r["doc_id"], r["text"]) for r in docs.collect()} & set(rows)
+    assert kept["quality classifier"] == kept["exact dedup"] == {r for r in rows if r[1] not in (None, junk)}
+    gone = {(None, near(good[1])), (500, good[4])}
+    left = kept["exact dedup"] - gone - kept["n-gram jaccard join"]
+    assert len(left) == 1 and left < {(None, good[0]), (None, near(good[0]))}
+    assert not gone & kept["n-gram jaccard join"]
+    assert kept["benchmark decontamination"] == kept["n-gram jaccard join"] - {(7000, leak)}
+
+
 def test_every_query_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
