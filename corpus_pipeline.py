@@ -5,25 +5,30 @@ Each stage works on all rows that the one before kept; what it returns is writte
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icuflow.functions.cut import cut
 from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, quality
 from icuflow.llm.queries import table, tokenizer_path
 from icuflow.llm.session import prepare
+from icuflow.llm.text import fresh
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among ids; a null id matches a null id."""
-    ids = ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+def _row_key() -> Column:
+    """A row's id and text as bytes, ordered by id; rows without id come last.
+
+    Rows that lack an id or share one are still told apart by the SHA-256 of their text.
+    """
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    place = F.coalesce(F.concat(F.lit("00"), number), F.lit("01"))
+    return F.unhex(F.concat(place, F.sha2(F.coalesce("text", F.lit("")), 256)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality sample selects. Texts without words go."""
     prepare(spark)
-    return _keep(docs, quality.resample(docs, table(spark, sf_dir, "labels")).filter("selected"))
+    return quality.chosen(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +40,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles (similarity 0.8 or more), the one with the smallest doc_id.
 
-    Documents without words are in no group and stay.
+    A document without id stays only if none of its group has one; among those, and among different texts
+    under one id, the smallest SHA-256 decides. Documents without words are in no group and stay.
     """
     prepare(spark)
-    found = jaccard_join.similar(docs, jaccard_join.Rule(5, 80, 100))
-    return _keep(docs, found.filter("component_id <=> doc_id"))
+    (key,) = fresh(docs, "_row")
+    keyed = docs.withColumn(key, _row_key())
+    found = jaccard_join.similar(keyed, jaccard_join.Rule(5, 80, 100), key)
+    kept = found.filter("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
