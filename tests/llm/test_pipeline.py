@@ -57,7 +57,7 @@ def test_rows_without_id_or_with_a_shared_id_are_judged_by_their_text(llm, tmp_p
     leak = good[5] + " " + llm.read.parquet(f"{tmp_path}/benchmark.parquet").first()["text"]
 
     def near(text):
-        return text.replace(text.split()[40], "changed")
+        return " ".join(w if i != 40 else "changed" for i, w in enumerate(text.split()))
 
     rows = [
         (None, good[0]), (None, near(good[0])), (None, junk), (None, None),  # of the first two one stays
