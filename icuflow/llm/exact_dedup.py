@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icuflow.functions.cut import cut
+from icuflow.llm.session import settings
 
+#: Bytes of whole texts that a Python worker gets at once; it holds their normalised copies beside them.
+BATCH_BYTES = 8 << 20
 _WHITE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
@@ -99,7 +102,8 @@ def build_index(
                 sizes[cell] = sizes.get(cell, 0) + len(text) + 64
         yield pa.RecordBatch.from_arrays([pa.array(sizes.keys(), pa.int32()), pa.array(sizes.values(), pa.int64())], names=["cell", "size"])
 
-    cells = rows.mapInArrow(count, "cell int, size long").groupBy("cell").agg(F.sum("size").alias("size")).toPandas()
+    with settings(docs.sparkSession, maxBytesPerBatch=BATCH_BYTES):
+        cells = rows.mapInArrow(count, "cell int, size long").groupBy("cell").agg(F.sum("size").alias("size")).toPandas()
     directory = Directory(cells["cell"].to_numpy(np.int64), cells["size"].to_numpy(np.int64), bucket_bytes, max_depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +138,8 @@ def build_index(
 
     placed = rows.mapInArrow(place, "bucket int, key long, sha256 binary, text binary, ids array<bigint>")
     owned = placed.repartition("bucket").sortWithinPartitions("bucket", "key")
-    return cut(owned.mapInArrow(own, "bucket int, key long, slot int, sha256 binary, ids array<bigint>"), "dedup-index")
+    with settings(docs.sparkSession, maxBytesPerBatch=BATCH_BYTES):
+        return cut(owned.mapInArrow(own, "bucket int, key long, slot int, sha256 binary, ids array<bigint>"), "dedup-index")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from icuflow.functions.cut import cut
 from icuflow.llm.components import components
+from icuflow.llm.session import settings
 from icuflow.llm.text import SPACED, mix, shingles, words
 
 _BITS = 22
 ROUNDS = 2
 PART_BYTES = 8 << 20
 #: What a Python worker holds at once: rows of whole texts, and bytes.
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+_BATCHES = {"maxRecordsPerBatch": 1000, "maxBytesPerBatch": 8 << 20}
 
 
 @dataclass(frozen=True)
@@ -364,16 +365,9 @@ def similar(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
        holds several components, the classes outside its largest are compared with all classes of step 3.
        In a large group whose members differ by about as much as the rule allows these are most of its classes.
     """
-    conf = docs.sparkSession.conf
-    before = {k: conf.get(k) for k in _BATCHES}
-    for k, v in _BATCHES.items():
-        conf.set(k, v)
-    try:
-        kind = "binary" if docs.schema[id_col].dataType.simpleString() == "binary" else "long"
+    kind = "binary" if docs.schema[id_col].dataType.simpleString() == "binary" else "long"
+    with settings(docs.sparkSession, **_BATCHES):
         return _similar(docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text")), rule)
-    finally:
-        for k, v in before.items():
-            conf.set(k, v)
 
 
 def _similar(docs: DataFrame, rule: Rule) -> DataFrame:

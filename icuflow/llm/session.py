@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -36,6 +38,29 @@ def prepare(spark: SparkSession) -> None:
     context.setCheckpointDir(f"file://{_folder()}")
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: int) -> Iterator[None]:
+    """Other values of ``spark.sql.execution.arrow.*`` for the jobs that run inside."""
+    names = {f"spark.sql.execution.arrow.{k}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers that give freed memory back at once, as they live on from one stage to the next.
+
+    Large blocks are then mapped on their own and smaller ones trimmed; the C library reads these when a worker starts.
+    """
+    lean = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
+    spark.sparkContext.environment.update(lean)
+
+
 def _folder() -> str:
     folder = tempfile.mkdtemp(prefix="icuflow-llm-")
     atexit.register(shutil.rmtree, folder, True)
