@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from icuflow.functions.cut import cut
 from icuflow.llm import bpe, decontamination, exact_dedup, jaccard_join, quality
 from icuflow.llm.queries import table, tokenizer_path
-from icuflow.llm.session import prepare
+from icuflow.llm.session import lean_workers, prepare
 from icuflow.llm.text import fresh
 
 
+def _prepare(spark: SparkSession) -> None:
+    prepare(spark)
+    lean_workers(spark)
+
+
 def _row_key() -> Column:
     """A row's id and text as bytes, ordered by id; rows without id come last.
 
@@ -27,13 +32,13 @@ def _row_key() -> Column:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality sample selects. Texts without words go."""
-    prepare(spark)
+    _prepare(spark)
     return quality.chosen(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one with the smallest doc_id; of repeated rows, one."""
-    prepare(spark)
+    _prepare(spark)
     return exact_dedup.unique(docs)
 
 
@@ -43,7 +48,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document without id stays only if none of its group has one; among those, and among different texts
     under one id, the smallest SHA-256 decides. Documents without words are in no group and stay.
     """
-    prepare(spark)
+    _prepare(spark)
     (key,) = fresh(docs, "_row")
     keyed = docs.withColumn(key, _row_key())
     found = jaccard_join.similar(keyed, jaccard_join.Rule(5, 80, 100), key)
@@ -53,14 +58,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item."""
-    prepare(spark)
+    _prepare(spark)
     marked, (_, spans, _) = decontamination.mark(docs, table(spark, sf_dir, "benchmark"))
     return marked.filter(F.size(F.col(f"`{spans}`")) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids (little-endian unsigned 32-bit integers), and whether decoding gives the text again."""
-    prepare(spark)
+    _prepare(spark)
     path = tokenizer_path()
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
     return coded.select("doc_id", "n_tokens", "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
@@ -80,7 +85,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on the documents table, one after the other; each result is written and read again."""
-    prepare(spark)
+    _prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
