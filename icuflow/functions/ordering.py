@@ -41,9 +41,13 @@ def running_totals(
     bucket: Column,
     sums: Sequence[str],
     descending: bool = False,
+    neighbours: bool = False,
 ) -> DataFrame:
     """Add ``cum_<s>`` (inclusive running sum by ``key``) and ``all_<s>`` (group total).
 
+    With ``neighbours`` also ``next_<s>``, the value at the key that follows in the group
+    (missing at its end), and ``is_first``. Across bucket borders both come from the bucket table.
+
     ``bucket`` must grow with ``key``; ``key`` must be unique within a group
     and not missing. Both reads of ``df`` ask for the same columns and rows, so
     Spark can share the shuffle below them.
@@ -53,19 +57,36 @@ def running_totals(
     order = F.col(key).desc() if descending else F.col(key).asc()
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     inside = W.partitionBy(*by, _BUCKET).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*by).orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
-    totals = d.groupBy(*by, _BUCKET).agg(*[F.sum(s).alias(s) for s in sums])
+    buckets = W.partitionBy(*by).orderBy(bucket_order)
+    before = buckets.rowsBetween(W.unboundedPreceding, -1)
+    edge, at_edge = (F.max, F.max_by) if descending else (F.min, F.min_by)
+    heads, following, own, found = [], [], [], []
+    if neighbours:
+        heads = [edge(key).alias("_edge"), *[at_edge(s, key).alias(f"_head_{s}") for s in sums]]
+        following = [
+            edge("_edge").over(W.partitionBy(*by)).alias("_start"),
+            *[F.lead(f"_head_{s}").over(buckets).alias(f"_after_{s}") for s in sums],
+        ]
+        ordered = W.partitionBy(*by, _BUCKET).orderBy(order)
+        own = [F.lead(s).over(ordered).alias(f"_lead_{s}") for s in sums]
+        found = [
+            *[F.coalesce(f"_lead_{s}", f"_after_{s}").alias(f"next_{s}") for s in sums],
+            (F.col(key) == F.col("_start")).alias("is_first"),
+        ]
+    totals = d.groupBy(*by, _BUCKET).agg(*[F.sum(s).alias(s) for s in sums], *heads)
     offsets = totals.select(
         *by,
         _BUCKET,
         *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
         *[F.sum(s).over(W.partitionBy(*by)).alias(f"all_{s}") for s in sums],
+        *following,
     )
-    running = d.select("*", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums])
+    running = d.select("*", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums], *own)
     return running.join(offsets, [*by, _BUCKET]).select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
         *[F.col(f"all_{s}") for s in sums],
+        *found,
     )
 
 

@@ -36,8 +36,11 @@ def score_counts(scores: DataFrame) -> DataFrame:
     )
 
 
-def score_totals(scores: DataFrame) -> DataFrame:
-    """Per distinct score: ``cum_pos`` and ``cum_neg`` at or above it, and the class totals."""
+def score_totals(scores: DataFrame, neighbours: bool = False) -> DataFrame:
+    """Per distinct score: ``cum_pos`` and ``cum_neg`` at or above it, and the class totals.
+
+    ``neighbours`` adds the counts of the next lower score and whether a score is the highest.
+    """
     return running_totals(
         score_counts(scores),
         ["model"],
@@ -45,6 +48,7 @@ def score_totals(scores: DataFrame) -> DataFrame:
         probability_bucket(F.col("y_prob")),
         ["pos", "neg"],
         descending=True,
+        neighbours=neighbours,
     )
 
 
@@ -52,50 +56,29 @@ def _share(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(0.0)
 
 
-def _next_counts(totals: DataFrame) -> DataFrame:
-    """Add the class counts of the next lower score, across bucket borders."""
-    bucket = probability_bucket(F.col("y_prob"))
-    d = totals.withColumn("_b", bucket)
-    lower = W.partitionBy("model", "_b").orderBy(F.desc("y_prob"))
-    tops = d.groupBy("model", "_b").agg(
-        F.max_by(F.struct("pos", "neg"), "y_prob").alias("_top")
-    )
-    tops = tops.select(
-        "model",
-        "_b",
-        F.lead("_top").over(W.partitionBy("model").orderBy(F.desc("_b"))).alias("_following"),
-    )
-    return (
-        d.withColumn("_inside", F.lead(F.struct("pos", "neg")).over(lower))
-        .join(tops, ["model", "_b"])
-        .withColumn("_next", F.coalesce("_inside", "_following"))
-    )
-
-
 def roc_curve(scores: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     """ROC points, from the origin (threshold infinity) down to the lowest score.
 
     ``drop_intermediate`` leaves out points on a straight line: those whose
-    next lower score adds the same counts as they do.
+    next lower score adds the same counts as they do. The origin comes with the
+    highest score of a model, so the scores are read once.
     """
-    totals = score_totals(scores)
+    totals = score_totals(scores, neighbours=True)
     if drop_intermediate:
-        same = (F.col("_next.pos") == F.col("pos")) & (F.col("_next.neg") == F.col("neg"))
-        first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
-        totals = _next_counts(totals).filter(first | F.col("_next").isNull() | ~same)
-    points = totals.select(
-        "model",
-        _share(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
-        _share(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
-        F.col("y_prob").alias("threshold"),
-    )
-    origin = scores.select("model").distinct().select(
-        "model",
-        F.lit(0.0).alias("fpr"),
-        F.lit(0.0).alias("tpr"),
-        F.lit(float("inf")).alias("threshold"),
+        same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+        totals = totals.filter(F.col("is_first") | F.col("next_pos").isNull() | ~same)
+
+    def row(fpr: Column, tpr: Column, threshold: Column) -> Column:
+        return F.struct(fpr.alias("fpr"), tpr.alias("tpr"), threshold.alias("threshold"))
+
+    point = row(
+        _share(F.col("cum_neg"), F.col("all_neg")),
+        _share(F.col("cum_pos"), F.col("all_pos")),
+        F.col("y_prob").cast("double"),
     )
-    return origin.unionByName(points)
+    origin = row(F.lit(0.0), F.lit(0.0), F.lit(float("inf")))
+    points = F.when(F.col("is_first"), F.array(origin, point)).otherwise(F.array(point))
+    return totals.select("model", F.inline(points))
 
 
 def _auc_column() -> Column:
@@ -120,24 +103,21 @@ def _recall() -> Column:
     return F.when(F.col("all_pos") > 0, F.col("cum_pos") / F.col("all_pos")).otherwise(1.0)
 
 
-def _pr_points(totals: DataFrame) -> DataFrame:
-    return totals.select(
-        "model",
-        F.col("y_prob").alias("threshold"),
-        _precision().alias("precision"),
-        _recall().alias("recall"),
-    )
+def pr_curve(scores: DataFrame) -> DataFrame:
+    """Precision and recall at every score, and the end point without a threshold.
 
+    The end point comes with the lowest score of a model.
+    """
 
-def pr_curve(scores: DataFrame) -> DataFrame:
-    """Precision and recall at every score, and the end point without a threshold."""
-    end = scores.select("model").distinct().select(
-        "model",
-        F.lit(None).cast("double").alias("threshold"),
-        F.lit(1.0).alias("precision"),
-        F.lit(0.0).alias("recall"),
-    )
-    return _pr_points(score_totals(scores)).unionByName(end)
+    def row(threshold: Column, precision: Column, recall: Column) -> Column:
+        names = {"threshold": threshold, "precision": precision, "recall": recall}
+        return F.struct(*[c.alias(n) for n, c in names.items()])
+
+    point = row(F.col("y_prob").cast("double"), _precision(), _recall())
+    end = row(F.lit(None).cast("double"), F.lit(1.0), F.lit(0.0))
+    last = F.col("next_pos").isNull()
+    points = F.when(last, F.array(point, end)).otherwise(F.array(point))
+    return score_totals(scores, neighbours=True).select("model", F.inline(points))
 
 
 def average_precision(scores: DataFrame) -> DataFrame:

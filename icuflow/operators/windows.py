@@ -14,6 +14,7 @@ from icuflow.params import Params
 LABEL = "label"
 PLAIN_LABEL = "label_plain"
 _KEYS = ("stay_id", "window_id")
+_BLOCK = 8  # consecutive windows cut from one array of bins
 
 
 def window_starts(bins: DataFrame, p: Params) -> DataFrame:
@@ -91,14 +92,36 @@ def spread_to_windows(bins: DataFrame, p: Params) -> DataFrame:
     The window numbers follow from the bin number, so this needs no range join;
     a bin belongs to at most ``ceil(obs / stride)`` windows.
     """
+    return _spread(bins, p.obs_bins, p.stride_bins, "window_id", "step")
+
+
+def _spread(bins: DataFrame, length: int, stride: int, number: str, place: str) -> DataFrame:
     b = F.col("bin").cast("long")
-    first = F.greatest(ceil_div(b - p.obs_bins + 1, p.stride_bins), F.lit(0))
-    last = floor_div(b, p.stride_bins)
+    first = F.greatest(ceil_div(b - length + 1, stride), F.lit(0))
+    last = floor_div(b, stride)
     return (
         bins.filter(first <= last)
-        .withColumn("window_id", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-        .withColumn("step", (F.col("bin") - F.col("window_id") * p.stride_bins).cast("int"))
+        .withColumn(number, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+        .withColumn(place, (F.col("bin") - F.col(number) * stride).cast("int"))
+    )
+
+
+def _blocks(bins: DataFrame, p: Params, empty: Column) -> DataFrame:
+    """One row per stay and block of windows: ``_rows`` has ``_row`` of every bin in order, ``empty`` in gaps.
+
+    A bin goes to one block, or to two if windows of the block before still observe it, so blocks
+    repeat far fewer bins than windows do; a long stay is many blocks.
+    """
+    stride = _BLOCK * p.stride_bins
+    length = stride - p.stride_bins + p.obs_bins
+    placed = _spread(bins, length, stride, "_block", "_place").groupBy("stay_id", "_block").agg(
+        F.map_from_entries(F.collect_list(F.struct("_place", "_row"))).alias("_by_place")
     )
+    dense = F.transform(
+        F.sequence(F.lit(0), F.lit(length - 1)),
+        lambda s: F.coalesce(F.try_element_at("_by_place", s), empty),
+    )
+    return placed.select("stay_id", "_block", dense.alias("_rows"))
 
 
 def filled_cells(features: Sequence[str]) -> Column:
@@ -143,28 +166,27 @@ def assemble_sequences(
 ) -> DataFrame:
     """Add ``x``: one array of features per step, in step order, empty where no bin is.
 
-    Also adds the completeness counts, which come from the same shuffle. A
-    window without any bin gets an all-missing sequence.
+    Also adds the completeness counts. Each window is cut from the array of its block
+    of windows. A window without any bin gets an all-missing sequence.
     """
-    row = F.expr("array(" + ", ".join(f"double({f})" for f in features) + ")")
-    per_window = spread_to_windows(
-        bins.select(
-            "stay_id", "bin", row.alias("_row"), filled_cells(features).alias("_filled")
-        ),
-        p,
-    ).groupBy(*_KEYS).agg(
-        F.collect_list(F.struct("step", "_row")).alias("_steps"),
-        F.sum("_filled").alias("_filled"),
-    )
-    joined = windows.join(per_window, list(_KEYS), "left")
-    empty = F.array_repeat(F.lit(None).cast("double"), len(features))
-    by_step = F.map_from_entries("_steps")
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(p.obs_bins - 1)),
-        lambda s: F.coalesce(F.try_element_at(by_step, s), empty),
+    cells = F.expr("array(" + ", ".join(f"double({f})" for f in features) + ")")
+    row = F.struct(cells.alias("cells"), filled_cells(features).alias("n"))
+    nothing = F.array_repeat(F.lit(None).cast("double"), len(features))
+    empty = F.struct(nothing.alias("cells"), F.lit(0).alias("n"))
+    blocks = _blocks(bins.select("stay_id", "bin", row.alias("_row")), p, empty)
+    number = F.col("window_id").cast("long")
+    start = F.pmod(number, F.lit(_BLOCK)) * p.stride_bins
+    own = F.slice("_rows", start.cast("int") + 1, F.lit(p.obs_bins))
+    joined = (
+        windows.withColumn("_block", floor_div(number, _BLOCK).cast("int"))
+        .join(blocks, ["stay_id", "_block"], "left")
+        .withColumn("_own", own)
+        .withColumn("_filled", F.aggregate("_own.n", F.lit(0).cast("long"), lambda t, n: t + n))
     )
-    x = F.when(F.col("_steps").isNull(), null_steps(p.obs_bins, len(features))).otherwise(dense)
-    return _with_cells(joined, len(features), p).withColumn("x", x).drop("_steps", "_filled")
+    x = F.coalesce(F.col("_own.cells"), null_steps(p.obs_bins, len(features)))
+    made = _with_cells(joined, len(features), p).withColumn("x", x)
+    kept = [*windows.columns, "total_values", "missing_values", "obs_completeness", "x"]
+    return made.select(*kept)
 
 
 def sequences_tall(
