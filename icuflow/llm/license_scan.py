@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,10 @@ from icuflow.llm.text import ALNUM, add_columns, shingles, words
 
 # Licence notices as they are commonly printed, by name.
 TEMPLATES = {
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -26,6 +31,17 @@ TEMPLATES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "bsd-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": (
@@ -34,6 +50,18 @@ TEMPLATES = {
         "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
         "PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+        "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+        "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "lgpl-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
     "mit-line": "Released under the MIT License.",
     "mit-notice": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
@@ -42,20 +70,44 @@ TEMPLATES = {
         "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
         "of the Software."
     ),
+    "mit-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
 }
 
+#: A template of up to so many words keeps all its pairs of words as fingerprints.
+SHORT = 15
+
 
 @dataclass
 class Index:
-    """Templates as word hashes, and the inverted index of their fingerprints: hash, template, place, in hash order."""
+    """Templates as word hashes, and inverted indexes of their fingerprints: one for long templates, one for short ones."""
 
     names: list[str]
     words: list[np.ndarray]
+    parts: list[Part]
+
+
+@dataclass
+class Part:
+    """Fingerprints of some templates by one gram and window: hash, template, place, in hash order."""
+
+    gram: int
+    window: int
     hashes: np.ndarray
     template: np.ndarray
     place: np.ndarray
-    gram: int
-    window: int
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -67,16 +119,25 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + window - 1 - view[:, ::-1].argmin(axis=1))
 
 
-def build_index(templates: dict[str, str], gram: int, window: int) -> Index:
+def build_index(templates: dict[str, str], gram: int = 3, window: int = 2) -> Index:
+    """Long templates are winnowed by ``gram`` and ``window``; short ones keep all their pairs of words.
+
+    Of a template of L words with e of them replaced or left out, or e words put between, the rest lies in at most e + 1
+    runs. With e at most L / 5 one run has 4 words if L is above ``SHORT``, which the default winnowing is sure
+    to meet, and 2 words (or all) if not. So every such copy has a seed.
+    """
     names = sorted(templates)
     found = [p.hashes[a:b] for p in words(pa.array([templates[n] for n in names], pa.string()), ALNUM) for a, b in zip(p.offsets[:-1], p.offsets[1:], strict=True)]
-    rows = []
-    for t, h in enumerate(found):
-        grams = shingles(h, gram)
-        rows += [(grams[i], t, i) for i in winnow(grams, window)]
-    rows.sort()
-    hashes, template, place = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
-    return Index(names, found, hashes, template, place, gram, window)
+
+    def part(gram: int, window: int, belongs: Callable[[int], bool]) -> Part:
+        rows = []
+        for t, h in enumerate(found):
+            grams = shingles(h, gram) if belongs(len(h)) else h[:0]
+            rows += [(grams[i], t, i) for i in winnow(grams, window)]
+        rows.sort()
+        return Part(gram, window, *(np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64))))
+
+    return Index(names, found, [part(gram, window, lambda n: n > SHORT), part(1, 1, lambda n: n == 1), part(2, 1, lambda n: 1 < n <= SHORT)])
 
 
 def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
@@ -112,15 +173,43 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> t
     return best[1:]
 
 
+def _common(text: np.ndarray, pattern: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How many words, as often as the pattern has each at most, it shares with each range of the text."""
+    total = np.zeros(len(first), np.int64)
+    known, times = np.unique(pattern, return_counts=True)
+    number = np.minimum(np.searchsorted(known, text), len(known) - 1)
+    at = np.flatnonzero(known[number] == text)
+    at = at[np.argsort(number[at], kind="stable")]
+    edges = np.searchsorted(number[at], np.arange(len(known) + 1))
+    for a, b, n in zip(edges[:-1].tolist(), edges[1:].tolist(), times.tolist(), strict=True):
+        total += np.minimum(np.searchsorted(at[a:b], last) - np.searchsorted(at[a:b], first), n)
+    return total
+
+
+def seeds(hashes: np.ndarray, index: Index, band: int, least: float) -> list[tuple[int, int]]:
+    """(template, diagonal) where a fingerprint meets and enough words of the template stand within the band around it."""
+    out: set[tuple[int, int]] = set()
+    for part in index.parts:
+        if not len(part.hashes) or len(hashes) < min(part.gram, 2):
+            continue
+        grams = shingles(hashes, part.gram)
+        picked = winnow(grams, part.window)
+        low, high = np.searchsorted(part.hashes, grams[picked], "left"), np.searchsorted(part.hashes, grams[picked], "right")
+        each = high - low
+        at = np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())
+        template, diagonal = part.template[at], np.repeat(picked, each) - part.place[at]
+        for t in np.unique(template).tolist():
+            pattern = index.words[t]
+            d = np.unique(diagonal[template == t])
+            out.update((t, x) for x in d[_common(hashes, pattern, d - band, d + len(pattern) + band) >= least * len(pattern)].tolist())
+    return sorted(out)
+
+
 def scan(hashes: np.ndarray, index: Index, band: int, least: float) -> list[tuple[str, float, int, int]]:
     """(licence, coverage, first word, last word + 1) for each passage of a text's words that covers a template enough."""
-    grams = shingles(hashes, index.gram)
-    picked = winnow(grams, index.window)
-    low, high = np.searchsorted(index.hashes, grams[picked], "left"), np.searchsorted(index.hashes, grams[picked], "right")
-    seeds = sorted({(int(index.template[j]), int(p - index.place[j])) for p, a, b in zip(picked.tolist(), low.tolist(), high.tolist(), strict=True) for j in range(a, b)})
     out: list[tuple[str, float, int, int]] = []
     done: dict[int, int] = {}  # by template, the word behind its last passage
-    for template, diagonal in seeds:
+    for template, diagonal in seeds(hashes, index, band, least):
         pattern, behind = index.words[template], done.get(template, 0)
         if behind and diagonal + len(pattern) <= behind or behind >= len(hashes):
             continue
@@ -132,12 +221,12 @@ def scan(hashes: np.ndarray, index: Index, band: int, least: float) -> list[tupl
     return sorted(set(out), key=lambda x: (x[2], x[3], x[0]))
 
 
-def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, gram: int = 3, window: int = 3, band: int = 8, least: float = 0.8) -> DataFrame:
+def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, gram: int = 3, window: int = 2, band: int = 8, least: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id and found, an array of struct license, coverage, start, end.
 
     coverage is the share of the template's words that the alignment matches, at least ``least``; start and end
     are bytes of the UTF-8 text, end exclusive. Words are runs of ASCII letters, digits and characters beyond
-    ASCII, A-Z lowered. A template of fewer than ``gram`` words is one fingerprint. Null texts, empty ones and those
+    ASCII, A-Z lowered. Which copies are sure to be found: see ``build_index``. Null texts, empty ones and those
     without words have no spans. Every place of a template in a text is reported. Repeated rows give repeated
     rows, an empty table none. Other columns are not read. Only the index of the templates is broadcast.
     """
