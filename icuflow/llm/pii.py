@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icuflow.functions.cut import cut
@@ -61,8 +62,8 @@ def valid(kind: Column, hit: Column) -> Column:
     )
 
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80) -> DataFrame:
-    """doc_id, text_hash and mentions: kind number, start, end, value, and the text up to ``reach`` characters either side."""
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, mentions (kind number, start, end, value), and of texts that have any, the text with emails blanked."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = []
     for kind in KINDS:
@@ -82,80 +83,91 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         for n, k in enumerate(KINDS)
     ]
     names = F.array(*[F.lit(k) for k in KINDS])
-    df = df.select("doc_id", "text", F.concat(*found).alias("found"))
-    df = df.select("doc_id", "text", F.array_sort(F.filter("found", lambda m: valid(F.element_at(names, m["kind"] + 1), m["value"]))).alias("found"))
-    context = F.transform(
-        "found",
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            m["kind"].alias("kind"),
-            m["end"].alias("end"),
-            F.lower(m["value"]).alias("value"),
-            F.substring("text", F.greatest(m["start"] - reach + 1, F.lit(1)).cast("int"), F.least(m["start"], F.lit(reach)).cast("int")).alias("left"),
-            F.substring("text", (m["end"] + 1).cast("int"), F.lit(reach)).alias("right"),
-        ),
-    )
-    return df.select("doc_id", F.xxhash64("text").alias("text_hash"), context.alias("mentions"))
+    blanked = F.expr("array_join(transform(email_gaps, (g, i) -> concat(g, repeat(' ', coalesce(char_length(get(email_hits, i)), 0)))), '')")
+    df = df.select("doc_id", "text", F.when(F.size("email_hits") > 0, blanked).otherwise(F.col("text")).alias("rest"), F.concat(*found).alias("found"))
+    df = df.select("doc_id", "text", "rest", F.array_sort(F.filter("found", lambda m: valid(F.element_at(names, m["kind"] + 1), m["value"]))).alias("found"))
+    listed = F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.lower(m["value"]).alias("value")))
+    return df.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.size("found") > 0, F.col("rest")).alias("rest"), listed.alias("mentions"))
 
 
 _TERM = r"\p{L}{3,}"
 
 
-def _terms(df: DataFrame, side: str) -> DataFrame:
-    """The words wholly inside one side's context, with their places in the text."""
-    if side == "left":
-        df = df.withColumn("cut", F.when(F.col("start") > F.char_length("left"), F.regexp_extract("left", r"^[\p{L}\p{N}]*", 0)).otherwise(""))
-        df = df.withColumn("place", F.col("start") - F.char_length("left") + F.char_length("cut")).withColumn("near", F.expr("substring(left, char_length(cut) + 1)"))
-    else:
-        df = df.withColumn("near", F.regexp_replace("right", r"[\p{L}\p{N}]+$", "")).withColumn("place", F.col("end"))
-    df = df.withColumn("words", F.regexp_extract_all("near", F.lit(_TERM), F.lit(0))).withColumn("gaps", F.split("near", _TERM, -1))
-    before = "aggregate(slice(words, 1, i), 0, (s, w) -> s + char_length(w)) + aggregate(slice(gaps, 1, i + 1), 0, (s, g) -> s + char_length(g))"
-    found = F.expr(f"transform(words, (w, i) -> named_struct('term', lower(w), 'from', place + {before}, 'size', char_length(w)))")
-    rows = df.select("doc_id", "text_hash", "entity", "start", F.explode(found).alias("t"))
-    return rows.select("doc_id", "text_hash", "entity", "start", "t.term", F.col("t.from").alias("term_start"), (F.col("t.from") + F.col("t.size")).alias("term_end"))
+def _occurrences(held: DataFrame) -> DataFrame:
+    """Stored rows doc, term, start, size of every word of the texts; repeated rows of a document count once."""
+    cut_up = held.select("doc", F.regexp_extract_all("rest", F.lit(_TERM), F.lit(0)).alias("words"), F.split("rest", _TERM, -1).alias("gaps"))
+    listed = F.expr("transform(words, (w, i) -> named_struct('term', xxhash64(lower(w)), 'size', char_length(w), 'gap', char_length(gaps[i])))")
+    # The rows are dealt by document once, which serves the removal of repeats and the running sum.
+    rows = cut_up.select("doc", F.posexplode(listed).alias("i", "w")).select("doc", "i", "w.*").repartition("doc").distinct()
+    before = W.partitionBy("doc").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    start = F.sum(F.col("gap") + F.col("size")).over(before) - F.col("size")
+    return cut(rows.select("doc", "term", start.alias("start"), "size"), "occurrences")
+
+
+def _set_of(column: str) -> list[Column]:
+    """Two sums of hashes that tell sets of documents apart; each stays in a long for four thousand million documents."""
+    return [F.sum(F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 31))) for seed in (1, 2)]
+
 
+def revealing_terms(docs: DataFrame, held: DataFrame, words: DataFrame, text_col: str, smooth: float, generalise: float, remove: float) -> DataFrame:
+    """Stored rows doc, term, action: the terms that reveal an entity that the document mentions.
 
-def revealing_terms(docs: DataFrame, context: DataFrame, mentioned: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:
-    """entity, term, action for the terms that reveal an entity.
+    p(entity | term) is the number of documents that hold both, over those that hold the term, the latter with ``smooth``
+    added, so that few documents prove less than many. The entity's information content is IC = -log2 of its share of
+    all documents, and IC + log2 p(entity | term) is how much of it the term gives away. From ``generalise`` times
+    IC on the term is generalised, from ``remove`` times IC on it is removed.
 
-    p(entity | term) is the share of the term's occurrences, over all texts, that stand beside the entity. The
-    entity's information content is IC = -log2 p(entity) over all words, and PMI = IC + log2 p(entity | term) is
-    how much of it the term gives away. From ``generalise`` times IC on the term is generalised, from ``remove``
-    times IC on it is removed. Only terms beside an entity ``support`` times count as evidence.
+    A term in more documents than an entity's limit cannot reveal it, which leaves rare terms beside rare entities.
+    Entities of the same documents are judged as one, and so are terms, so a document of many single
+    entities and many single words gives one pair.
     """
-    pairs = context.select("entity", "term", "doc_id", "text_hash", "start").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    pairs = pairs.filter(F.col("both") >= support)
-    entities = mentioned.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_TERM), F.lit(0))).alias("term"))
-    counts = cut(words.groupBy(F.xxhash64("term").alias("term_key")).agg(F.count(F.lit(1)).alias("n_term")), "terms")
-    total = counts.agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0]
-    content = F.log2(F.lit(float(max(total, 1))) / F.least(F.col("n_entity"), F.lit(max(total, 1))))
-    given = content + F.log2(F.least(F.col("both") / F.col("n_term"), F.lit(1.0)))
-    scored = pairs.join(entities, "entity").withColumn("term_key", F.xxhash64("term")).join(counts, "term_key")
-    scored = scored.withColumn("action", F.when(given >= remove * content, "remove").when(given >= generalise * content, "generalise"))
-    return scored.filter("action IS NOT NULL").select("entity", "term", "action")
-
-
-def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, support: int = 2, generalise: float = 0.9, remove: float = 0.97) -> DataFrame:
+    total = float(max(docs.count(), 1))
+    weights = held.groupBy("doc").agg(F.count(F.lit(1)).alias("m"))
+    each = held.select("doc", F.explode("mentions").alias("x")).select("doc", F.xxhash64("x.kind", "x.value").alias("entity")).distinct().join(weights, "doc")
+    e1, e2 = _set_of("doc")
+    content = F.log2(F.lit(total) / F.col("n_entity"))
+    entities = each.groupBy("entity").agg(F.sum("m").alias("n_entity"), e1.alias("e1"), e2.alias("e2"))
+    entities = entities.withColumn("ic", content).withColumn("most", F.col("n_entity") * F.pow(F.lit(2.0), F.lit(1 - generalise) * F.col("ic")) - smooth)
+    entity_sets = cut(each.join(entities, "entity").select("doc", "m", "n_entity", "e1", "e2", "ic", "most").distinct(), "entity-sets")
+    most = entity_sets.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+
+    found = F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
+    counts = docs.select(F.explode(F.array_distinct(found)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(F.col("n_term") <= most)
+    own = words.select("doc", "term").distinct()
+    t1, t2 = _set_of("doc")
+    terms = own.groupBy("term").agg(t1.alias("t1"), t2.alias("t2")).join(counts, "term")
+    own = cut(own.join(terms, "term"), "rare-terms")
+    term_set, entity_set = ["n_term", "t1", "t2"], ["n_entity", "e1", "e2"]
+    pairs = cut(own.select("doc", *term_set).distinct().join(entity_sets, "doc").filter("n_term <= most"), "pairs")
+    given = F.col("ic") + F.log2(F.col("both") / (F.col("n_term") + F.lit(smooth)))
+    scored = pairs.groupBy(*term_set, *entity_set, "ic").agg(F.sum("m").alias("both"))
+    level = F.when(given >= remove * F.col("ic"), 2).when(given >= generalise * F.col("ic"), 1)
+    scored = scored.withColumn("level", level).filter("level IS NOT NULL").select(*term_set, *entity_set, "level")
+    marked = pairs.join(scored, [*term_set, *entity_set]).groupBy("doc", *term_set).agg(F.max("level").alias("level"))
+    action = F.when(F.col("level") == 2, "remove").otherwise("generalise")
+    return cut(own.join(marked, ["doc", *term_set]).select("doc", "term", action.alias("action")), "revealing")
+
+
+def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smooth: float = 0.5, generalise: float = 0.9, remove: float = 0.97) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, base and terms, both arrays of spans in order.
 
     base: struct start, kind (number in KINDS), end of every valid match, in code points, end exclusive.
-    terms: struct start, end, action of the terms that reveal an entity mentioned beside them. Null counts as
-    empty; texts without matches have empty arrays. Repeated rows are judged alike, and each counts as evidence
-    once per doc_id and text. Rows without id are treated like others. Nothing is taken from other columns.
+    terms: struct start, end, action of every occurrence of the terms that reveal an entity which the document mentions,
+    however far from it; see ``revealing_terms``. A term is a run of three letters or more, in lower case; those inside
+    an email are none. Null counts as empty; texts without matches have empty arrays. Repeated rows are
+    judged alike, and each counts as evidence. Rows without id are treated like others, and told apart by
+    their text. Nothing is taken from other columns. An empty table gives no rows.
     """
-    base = cut(mentions(docs, id_col, text_col, reach), "mentions")
-    each = base.select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.*")
-    each = each.withColumn("entity", F.xxhash64("kind", "value"))
-    context = cut(_terms(each, "left").unionByName(_terms(each, "right")), "context")
-    mentioned = each.select("entity", "doc_id", "text_hash", "start").distinct()
-    terms = revealing_terms(docs, context, mentioned, text_col, support, generalise, remove)
-    found = context.join(terms, ["entity", "term"]).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    found = found.agg(F.array_sort(F.collect_set(F.struct(F.col("term_start").alias("start"), F.col("term_end").alias("end"), "action"))).alias("terms"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    base = mentions(docs, id_col, text_col).withColumn("doc", F.xxhash64("doc_id", "text_hash"))
+    base = cut(base, "mentions")
+    held = base.filter(F.size("mentions") > 0)
+    words = _occurrences(held)
+    terms = revealing_terms(docs, held, words, text_col, smooth, generalise, remove)
+    spans = F.struct("start", (F.col("start") + F.col("size")).alias("end"), "action")
+    found = words.join(terms, ["doc", "term"]).groupBy("doc").agg(F.array_sort(F.collect_list(spans)).alias("terms"))
     plain = F.transform("mentions", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,action:string>>")
-    return base.join(found, same, "left").select("doc_id", "text_hash", plain.alias("base"), F.coalesce("terms", empty).alias("terms"))
+    return base.join(found, "doc", "left").select("doc_id", "text_hash", plain.alias("base"), F.coalesce("terms", empty).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

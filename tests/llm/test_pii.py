@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -54,5 +55,53 @@ def test_revealing_terms(docs):
     assert "[EMAIL]" in clean[0] and clean[10] == dict(rows)[10]
 
 
+def brute_terms(rows, smooth=0.5, generalise=0.9, remove=0.97):
+    """Per row the (start, end, action) of revealing words, by counting documents."""
+    held, having, seen = [], {}, {}
+    for _, text in rows:
+        text = text or ""
+        rest = re.sub(BASE[0][1], lambda m: " " * len(m.group()), text)
+        places = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", rest)]
+        held.append(({(k, text[a:b].lower()) for a, k, b in brute(text)}, places))
+        for w in {m.group().lower() for m in re.finditer(r"[^\W\d_]{3,}", text)}:
+            having[w] = having.get(w, 0) + 1
+        for e in held[-1][0]:
+            seen[e] = seen.get(e, 0) + 1
+    out = []
+    for entities, places in held:
+        level = {}
+        for w in {p[0] for p in places}:
+            for e in entities:
+                both = sum(e in es and any(p[0] == w for p in ps) for es, ps in held)
+                ic = math.log2(len(rows) / seen[e])
+                given = ic + math.log2(both / (having[w] + smooth))
+                level[w] = max(level.get(w, 0), 2 if given >= remove * ic else 1 if given >= generalise * ic else 0)
+        out.append([(a, b, "remove" if level[w] == 2 else "generalise") for w, a, b in places if level.get(w)])
+    return out
+
+
+def test_terms_like_brute_force(docs):
+    rnd = random.Random(3)
+    names = ["Anna", "Bertram", "Çelik", "Dora", "émile"]
+    rows = []
+    for i in range(150):
+        filler = " ".join(rnd.choices(["the", "weather", "was", "fine", "today", "and", f"word{'xyzuvw'[i % 6] * 3}"], k=rnd.randint(1, 40)))
+        who = rnd.randrange(40)
+        known = f" {names[who]} has {names[who].lower()[:1]}x@mail.org" if who < 5 else f" single{chr(97 + i % 26) * 3} +49 (30) 12345{i:03d}" if who < 8 else ""
+        rows.append((i, filler + known + (" " + filler + " " + names[who] if who < 5 else "")))
+    rows += [(150, rows[3][1]), (151, None), (152, ""), (3, rows[3][1])]
+    rows += [(200 + i, f"Rare{'abc'[i] * 4} mail q@w.er and " + "lorem ipsum " * 300 + f"rare{'abc'[i] * 4}") for i in range(3)]
+    wanted = dict(zip([i for i, _ in rows], brute_terms(rows), strict=True))
+    found = {r["doc_id"]: [tuple(t) for t in r["terms"]] for r in pii.private_spans(docs(rows)).collect()}
+    assert found == wanted and sum(map(bool, wanted.values())) > 10
+
+
+def test_single_mentions_and_far_occurrences(docs):
+    rows = [(1, "Zebulon writes from z@q.org. " + "plain filler words " * 200 + "Then ZEBULON left.")]
+    rows += [(i, "plain filler words then left writes from") for i in range(2, 1200)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(rows)).collect()}
+    assert "zebulon" not in clean[1].lower() and clean[1].count("filler") == 200 and clean[5] == rows[4][1]
+
+
 def test_empty_table(docs):
     assert pii.private_spans(docs([])).collect() == []
