@@ -9,7 +9,7 @@ task gives the same result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,6 +34,65 @@ def probability_bucket(p: Column, per_unit: int = 64) -> Column:
     return F.floor(F.log(q / (F.lit(1.0) - q)) * F.lit(per_unit)).cast("int")
 
 
+def _group(by: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+
+
+def _by_group(df: DataFrame, by: Sequence[str], value: Column) -> Column:
+    """What a small table with one row per group holds for the row's group."""
+    entries = F.collect_list(F.struct(_group(by).alias("k"), value.alias("v")))
+    return F.try_element_at(df.agg(F.map_from_entries(entries).alias("m")).scalar(), _group(by))
+
+
+def quantile_bucket(
+    df: DataFrame, by: Sequence[str], key: str, counts: Sequence[str], parts: int = 128
+) -> Column:
+    """Ordered bucket of a key by approximate quantiles of its group's keys.
+
+    Wherever the keys lie, and however narrow their band is, no bucket holds much more than its share of
+    them. Groups are few: their cut points are one row. ``df`` should hold distinct keys, each met at
+    least once by its ``counts``; as those are read here too, Spark can share the shuffle below ``df``.
+    """
+    met = F.when(sum((F.col(c) for c in counts), F.lit(0)) >= 0, F.col(key))
+    at = F.percentile_approx(met, [i / parts for i in range(1, parts)], 20 * parts)
+    points = _by_group(df.groupBy(*by).agg(at.alias("_points")), by, F.col("_points"))
+    return F.array_position(F.sort_array(F.array_append(points, F.col(key))), F.col(key))
+
+
+def kth_key(
+    df: DataFrame, by: Sequence[str], key: str, quota: Callable[[Column], Column], levels: int = 2
+) -> Column:
+    """For each row the last of its group's first ``quota(size)`` keys; missing if that is none.
+
+    ``key`` is an md5. Keys are counted by their leading digits, which narrows the place of the last one down
+    to a 4096th of the keys a level; only those that are left are ordered. Groups are few.
+    """
+    by = list(by)
+    rows, wanted = df.select(*by, key), None
+    for level in range(levels):
+        digits = F.substring(F.col(key), 1, _HEX_DIGITS * (level + 1))
+        counts = rows.groupBy(*by, digits.alias(_BUCKET)).agg(F.count(F.lit(1)).alias("_n"))
+        before = W.partitionBy(*by).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, 0)
+        ends = counts.select(
+            *by,
+            _BUCKET,
+            "_n",
+            F.sum("_n").over(before).alias("_end"),
+            F.sum("_n").over(W.partitionBy(*by)).alias("_size"),
+        )
+        if wanted is None:
+            ends = ends.withColumn("_wanted", F.least(quota(F.col("_size")), F.col("_size")))
+        else:
+            ends = ends.withColumn("_wanted", wanted)
+        met = ends.filter((F.col("_wanted") <= F.col("_end")) & (F.col("_wanted") > F.col("_end") - F.col("_n")))
+        left = F.struct(F.col(_BUCKET).alias("digits"), (F.col("_wanted") - F.col("_end") + F.col("_n")).alias("n"))
+        place = _by_group(met, by, left)
+        rows, wanted = rows.filter(digits == place.getField("digits")), place.getField("n")
+    order = F.row_number().over(W.partitionBy(*by).orderBy(key))
+    last = rows.withColumn("_rn", order).filter(F.col("_rn") == wanted)
+    return _by_group(last, by, F.col(key))
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
@@ -128,15 +187,3 @@ def shuffle_key(seed: int | str, *ids: str | Column) -> Column:
     """Repeatable random order: the md5 of the seed and the row's ids."""
     parts = [F.col(i) if isinstance(i, str) else i for i in ids]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
-
-
-def hash_ranked(
-    df: DataFrame,
-    by: Sequence[str],
-    key: str,
-    rank: str = "rank",
-    size: str = "size",
-) -> DataFrame:
-    """Rank rows by an md5 column; its leading digits spread a group over many tasks."""
-    bucket = F.conv(F.substring(F.col(key), 1, _HEX_DIGITS), 16, 10).cast("int")
-    return ranked(df, by, bucket, [F.col(key)], rank, size)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from icuflow.functions.ordering import running_totals, value_bucket
+from icuflow.functions.ordering import quantile_bucket, running_totals
 from icuflow.functions.time import floor_div, seconds
 from icuflow.params import Channel, Params, PressureComponent
 
@@ -66,7 +66,7 @@ def quantile_bounds(
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
     counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    cumulative = running_totals(counted, [], value, value_bucket(F.col(value)), ["n"])
+    cumulative = running_totals(counted, [], value, quantile_bucket(counted, [], value, ["n"]), ["n"])
     share = F.col("cum_n") / F.col("all_n")
     return cumulative.agg(
         F.min(F.when(share >= low, F.col(value))).alias("lower"),

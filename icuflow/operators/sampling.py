@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from icuflow.functions.arrays import sanitize_sequence
 from icuflow.functions.cut import cut
-from icuflow.functions.ordering import hash_ranked, shuffle_key
+from icuflow.functions.ordering import kth_key, shuffle_key
 from icuflow.operators.quality import per_position, subject_labels
 
 
@@ -42,22 +42,20 @@ def split_subjects(
     Subjects are ordered by a seeded md5. The test share is taken within the
     positive and the negative subjects apart; the validation share is taken
     from the remaining ones together. The subjects are written once, because
-    both rankings read them again.
+    the last key of each share is found by counting keys, before the subjects are filtered.
     """
     subjects = cut(subject_labels(windows, label).select("subject_id", "subject_label"))
-    keyed = subjects.withColumn("_key", shuffle_key(f"{seed}", "subject_id"))
-    by_class = hash_ranked(keyed, ["subject_label"], "_key")
-    tested = by_class.withColumn(
-        "_test", F.col("rank") <= F.floor(F.col("size") * F.lit(test) + F.lit(0.5))
-    ).select("subject_id", "subject_label", "_test")
-    rest = tested.withColumn("_key", shuffle_key(f"{seed}v", "subject_id"))
-    among_rest = hash_ranked(rest, ["_test"], "_key")
-    split = (
-        F.when(F.col("_test"), "test")
-        .when(F.col("rank") <= F.ceil(F.col("size") * F.lit(val)), "val")
-        .otherwise("train")
+    keyed = subjects.withColumns(
+        {"_key": shuffle_key(f"{seed}", "subject_id"), "_val_key": shuffle_key(f"{seed}v", "subject_id")}
     )
-    return among_rest.select("subject_id", "subject_label", split.alias("split"))
+    last = kth_key(
+        keyed, ["subject_label"], "_key", lambda n: F.floor(n * F.lit(test) + F.lit(0.5))
+    )
+    tested = keyed.withColumn("_test", F.coalesce(F.col("_key") <= last, F.lit(False)))
+    rest = tested.filter(~F.col("_test"))
+    last_val = kth_key(rest, [], "_val_key", lambda n: F.ceil(n * F.lit(val)))
+    split = F.when(F.col("_test"), "test").when(F.col("_val_key") <= last_val, "val").otherwise("train")
+    return tested.select("subject_id", "subject_label", split.alias("split"))
 
 
 def assign_split(windows: DataFrame, splits: DataFrame) -> DataFrame:
@@ -84,8 +82,8 @@ def undersample(
     """All positives and as many negatives, in seeded md5 order, as the target rate allows.
 
     Nothing is removed when a class is empty, or when ``only_below`` is given
-    and the positive rate is not below it. Only the negatives' keys are ranked,
-    to find the last key to keep; the windows themselves are just filtered. The
+    and the positive rate is not below it. The negatives' keys are counted
+    to find the last one to keep; the windows themselves are just filtered. The
     input is read several times, so it should be a stored table.
     """
     keyed = windows.withColumn("_key", shuffle_key(seed, *keys))
@@ -96,12 +94,7 @@ def undersample(
     if only_below is not None:
         keep_all = keep_all | (F.avg(F.col(label).cast("double")) >= only_below)
     limit = windows.agg(F.when(keep_all, n).otherwise(quota).alias("n")).scalar()
-    last = (
-        hash_ranked(negatives, [], "_key")
-        .filter(F.col("rank") <= limit)
-        .agg(F.max("_key").alias("last"))
-        .scalar()
-    )
+    last = kth_key(negatives, [], "_key", lambda _: limit)
     return keyed.filter((F.col(label) == 1) | (F.col("_key") <= last)).drop("_key")
 
 

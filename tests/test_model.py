@@ -6,7 +6,7 @@ import pytest
 from conftest import START, rows
 from pyspark.sql import functions as F
 
-from icuflow.functions.ordering import hash_ranked, ranked, running_totals, value_bucket
+from icuflow.functions.ordering import kth_key, quantile_bucket, ranked, running_totals
 from icuflow.operators import evaluate as J
 from icuflow.operators import risk as K
 from icuflow.operators import sampling as S
@@ -21,20 +21,31 @@ def test_running_totals_and_ranks_match_brute_force(spark):
     data = [(g, v, rng.randrange(9)) for g in "ab" for v in values]
     df = spark.createDataFrame(data, "g string, v double, n long")
     for down in (False, True):
-        got = running_totals(df, ["g"], "v", value_bucket(F.col("v")), ["n"], down)
+        got = running_totals(df, ["g"], "v", quantile_bucket(df, ["g"], "v", ["n"], 16), ["n"], down)
         for r in got.collect():
             mine = [n for g, v, n in data if g == r.g and (v >= r.v if down else v <= r.v)]
             assert r.cum_n == sum(mine)
             assert r.all_n == sum(n for g, _, n in data if g == r.g)
     keyed = df.withColumn("k", F.md5(F.concat("g", F.col("v").cast("string"))))
-    place = {r.k: (r["rank"], r["size"]) for r in hash_ranked(keyed, ["g"], "k").collect()}
-    for g in "ab":
-        keys = sorted(k.k for k in keyed.filter(F.col("g") == g).select("k").collect())
-        assert [place[k] for k in keys] == [(i + 1, len(keys)) for i in range(len(keys))]
+    for levels, share in ((1, 0.3), (2, 0.3), (3, 1.0), (2, 2.0), (2, 0.0)):
+        at = kth_key(keyed, ["g"], "k", lambda n: F.floor(n * F.lit(share)), levels)
+        found = {r.g: r["last"] for r in keyed.select("g", at.alias("last")).distinct().collect()}
+        for g in "ab":
+            keys = sorted(k.k for k in keyed.filter(F.col("g") == g).select("k").collect())
+            n = min(int(len(keys) * share), len(keys))
+            assert found[g] == (keys[n - 1] if n else None)
     hot = ranked(df, [], F.lit(0), ["g", "v"])
     assert sorted(r["rank"] for r in hot.collect()) == list(range(1, len(data) + 1))
 
 
+def test_values_in_a_narrow_band_spread_over_buckets(spark):
+    data = [("m", 0.5 + i / 2e6) for i in range(10_000)] + [("n", float(i)) for i in range(3)]
+    df = spark.createDataFrame(data, "model string, y_prob double")
+    counts = df.groupBy("model", quantile_bucket(df, ["model"], "y_prob", []).alias("b")).count().collect()
+    mine = [r["count"] for r in counts if r.model == "m"]
+    assert len(mine) > 100 and max(mine) < 200 and sum(r["count"] for r in counts if r.model == "n") == 3
+
+
 def windows(spark, counts, positive=()):
     data = [
         (s, s, w, 8 * w, int(s in positive and w == 0))
