@@ -68,7 +68,9 @@ def op2_pii(spark: SparkSession, root: str) -> DataFrame:
     found = pii.private_spans(table(spark, root, "documents"))
     names = F.array(*[F.lit(k) for k in (*pii.KINDS, "term")])
     show = lambda m: F.concat_ws(":", F.element_at(names, m["kind"] + 1), m["start"], m["end"])
-    counts = [F.size(F.filter("base", lambda m, i=i: m["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    # A second argument of the lambda would be the place in the array, so the kind comes from around it.
+    of = lambda i: F.size(F.filter("base", lambda m: m["kind"] == i)).cast("long")
+    counts = [of(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(pii.KINDS)).alias("kind"), t["end"].alias("end")))
     return found.select(
         "doc_id",

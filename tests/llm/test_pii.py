@@ -1,8 +1,9 @@
+import hashlib
 import math
 import random
 import re
 
-from icuflow.llm import pii
+from icuflow.llm import pii, queries
 from llm.conftest import ODD
 
 # The kinds and their patterns in the order of the contract.
@@ -105,3 +106,17 @@ def test_single_mentions_and_far_occurrences(docs):
 
 def test_empty_table(docs):
     assert pii.private_spans(docs([])).collect() == []
+
+
+def test_query_counts_each_kind(docs, tmp_path):
+    rnd = random.Random(4)
+    parts = ["a@b.co ", "1.2.3.4 ", "4111 1111 1111 1111, ", "+49 (30) 1234567 x ", "words é ", "256.1.1.1 "]
+    rows = [(i, "".join(rnd.choices(parts, k=rnd.randint(0, 12)))) for i in range(60)] + [(100, None)]
+    docs(rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.QUERIES["op2_pii"](docs(rows).sparkSession, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    for i, text in rows:
+        spans = brute(text)
+        listed = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in spans)
+        assert [found[i][f"n_{name}"] for name, _ in BASE] == [sum(s[1] == k for s in spans) for k in range(4)]
+        assert found[i]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
