@@ -41,9 +41,10 @@ def batch_alerts(scores: DataFrame) -> DataFrame:
 def changes(scores: DataFrame, forget_after: str | None = None) -> DataFrame:
     """Band changes of a stream, and with ``late`` the scores that come before their subject's last one.
 
-    The state of a subject is its last score in order (hour, tie-break, score) and that score's band. A batch
-    reads and writes the state of its own subjects only. With ``forget_after`` (``"30 days"``) a subject without a
-    score for that long is forgotten; its next score then alerts as if it were the first.
+    A batch reads and writes the state of its own subjects only. The state of a subject is its scores, a few dozen
+    at most, with the time of the batch that brought them; all work on it is done by column functions. With
+    ``forget_after`` (``"30 days"``) a subject without a score for that long is forgotten, and its next score then
+    alerts as if it were the first; that needs a timer, so a Python function sees each subject, many times slower.
     """
     banded = scores.select(
         F.col("model").cast("string"),
@@ -53,7 +54,25 @@ def changes(scores: DataFrame, forget_after: str | None = None) -> DataFrame:
         F.col("y_prob").cast("double"),
         risk_band("y_prob").alias("risk_level"),
     )
+    return _timed_changes(banded, forget_after) if forget_after else _native_changes(banded)
 
+
+def _native_changes(banded: DataFrame) -> DataFrame:
+    now = F.unix_micros(F.current_timestamp())  # in a stream the time of the batch, also when it is run again
+    entry = F.struct(F.struct(*_ORDER, "risk_level").alias("row"), "at")
+    held = banded.withColumn("at", now).groupBy(*_SUBJECT).agg(F.collect_list(entry).alias("held")).withColumn("now", now)
+    rows = lambda own: F.transform(F.filter("held", lambda e: (e["at"] == F.col("now")) == F.lit(own)), lambda e: e["row"])
+    judged = held.select(*_SUBJECT, F.array_max(rows(False)).alias("last"), F.array_sort(rows(True)).alias("own"))
+    # In order, the late scores of a batch come first; any other follows the one before it, or else the last of earlier batches.
+    before = F.expr("transform(own, (r, i) -> struct(r AS row, coalesce(r < last, false) AS late, greatest(last, get(own, i - 1)).risk_level AS level))")
+    return (
+        judged.select(*_SUBJECT, F.inline(before))
+        .filter(F.col("late") | ~F.col("row.risk_level").eqNullSafe(F.col("level")))
+        .select(*_SUBJECT, "row.*", "late")
+    )
+
+
+def _timed_changes(banded: DataFrame, forget_after: str) -> DataFrame:
     def step(key: tuple, parts: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
@@ -71,12 +90,11 @@ def changes(scores: DataFrame, forget_after: str | None = None) -> DataFrame:
             if not late:
                 last = row
         state.update(last)
-        if forget_after:
-            state.setTimeoutDuration(forget_after)
+        state.setTimeoutDuration(forget_after)
         if out:
             yield pd.DataFrame(out, columns=[*_SUBJECT, *columns, "late"])
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.ProcessingTimeTimeout
     return banded.groupBy(*_SUBJECT).applyInPandasWithState(step, f"{_ROW}, late boolean", _STATE, "append", timeout)
 
 
@@ -96,7 +114,7 @@ def write_alerts(scores: DataFrame, folder: str, forget_after: str | None = None
     with rocksdb(scores.sparkSession):
         return (
             changes(scores, forget_after)
-            .writeStream.outputMode("append")
+            .writeStream.outputMode("append" if forget_after else "update")
             .option("checkpointLocation", f"{folder}/state")
             .trigger(availableNow=True)
             .foreachBatch(write)

@@ -126,3 +126,27 @@ def test_bins_close_once_with_empty_ones_and_late_readings_apart(spark, tmp_path
     )
     names = ("subject_id", "stay_id", "bin", "bin_start", "bin_end", "hr_mean", "hr_last", "hr_min", "hr_max")
     assert rows(L.closed_bins(spark, folder), *names) == rows(whole, *names)
+
+
+def test_alerts_need_no_python_and_equal_a_walk_through_the_batches(spark, tmp_path):
+    import random
+
+    rnd, source, last, alerts, late = random.Random(5), str(tmp_path / "in"), {}, [], []
+    for _ in range(3):
+        part = [("m", rnd.randrange(8), rnd.randrange(6), rnd.randrange(2), 0, rnd.choice((0.1, 0.3, 0.5, 0.9))) for _ in range(40)]
+        for m, s, hour, tie, _, p in sorted(part):
+            row, band = (hour, tie, p), "High" if p > 0.7 else "Medium" if p > 0.3 else "Low"
+            before = last.get(s)
+            if before and row < before[0]:
+                late.append((s, *row))
+                continue
+            if before is None or before[1] != band:
+                alerts.append((s, *row, band))
+            last[s] = (row, band)
+        spark.createDataFrame(part, SCORE).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCORE).parquet(source)
+        assert "Pandas" not in A.changes(stream)._jdf.queryExecution().logical().toString()
+        A.write_alerts(stream, str(tmp_path)).awaitTermination()
+    key = ("subject_id", "obs_start_hour", "tiebreak", "y_prob")
+    assert late and rows(A.read_late(spark, str(tmp_path)), *key) == sorted(late, key=lambda t: tuple(map(str, t)))
+    assert rows(A.read_alerts(spark, str(tmp_path)), *key, "risk_level") == sorted(alerts, key=lambda t: tuple(map(str, t)))
