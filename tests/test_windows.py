@@ -195,3 +195,13 @@ def test_class_reports(spark):
     assert H.balance_band(df).first().minority_ratio == 0.25
     none = H.class_balance(df.withColumn("label", F.lit(0))).first()
     assert none.imbalance_ratio is None
+
+
+def test_bins_are_not_broadcast_to_the_windows(spark):
+    p = Params(obs_bins=2, pred_bins=1, stride_bins=1)
+    bins = spark.createDataFrame([(1, 1, b, float(b)) for b in range(30)], "subject_id long, stay_id long, bin int, hr double")
+    starts = W.window_starts(bins, p)
+    made = W.assemble_sequences(starts, bins, ["hr"], p)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    assert sorted(tuple(r) for r in made.select("window_id", "x").collect()) == [(n, [[float(n)], [n + 1.0]]) for n in range(28)]
