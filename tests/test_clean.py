@@ -190,6 +190,16 @@ def test_no_broadcast_is_forced_and_no_cross_join(spark):
     assert "strategy=broadcast" not in plan and "Cross" not in plan
 
 
+def test_context_is_not_broadcast_to_the_readings(spark):
+    df = readings(spark, [(n, at(n), 1.0) for n in range(6)] + [(6, None, 1.0), (None, at(0), 1.0)])
+    near = readings(spark, [(n, at(n, 60 * n), 1.0) for n in range(4)])
+    flagged = C.flag_near(df, near, 120, name="flag").select("stay_id", "flag")
+    found = sorted((r for r in flagged.collect()), key=str)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [tuple(r) for r in found] == [(0, 1), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0), (6, 0), (None, 0)]
+
+
 def test_hot_stay_is_split_over_buckets(spark):
     # One stay holds nearly all rows; its readings land in many groups.
     data = [(1, at(0, 30 * i), float(i % 7)) for i in range(3000)] + [(2, at(0), 1.0)]
