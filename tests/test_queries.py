@@ -6,7 +6,7 @@ import pytest
 from check_queries import difference, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
-from icuflow.registry.queries import QUERIES
+from icuflow.registry.queries import QUERIES, _statics
 from icuflow.registry.sql import SQL
 
 ROOT = "/root/testdata/sf0.001"
@@ -42,3 +42,12 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_patients_are_not_broadcast_to_the_stays(spark, con):
+    statics = _statics(spark, ROOT)
+    n = statics.count()
+    plan = statics._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    both = con.sql(f"SELECT DISTINCT user_id FROM '{ROOT}/events.parquet' JOIN '{ROOT}/customer.parquet' ON user_id = c_custkey")
+    assert n == len(both.df()) > 0

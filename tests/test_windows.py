@@ -205,3 +205,14 @@ def test_bins_are_not_broadcast_to_the_windows(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
     assert sorted(tuple(r) for r in made.select("window_id", "x").collect()) == [(n, [[float(n)], [n + 1.0]]) for n in range(28)]
+
+
+def test_statics_are_not_broadcast_to_the_windows(spark):
+    windows = spark.createDataFrame([(s, s, w) for s in range(6) for w in range(3)], "subject_id long, stay_id long, window_id int")
+    cohort = spark.createDataFrame([(s, s, 40 + s, 1, 0) for s in range(5)], "subject_id long, stay_id long, age int, gender_M int, gender_F int")
+    found = G.attach_static(windows, cohort)
+    held = sorted((tuple(r) for r in found.collect()), key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    static = lambda s: (40 + s, 1, 0) if s < 5 else (None, None, None)
+    assert held == sorted(((s, s, w, *static(s)) for s in range(6) for w in range(3)), key=str)
